@@ -28,10 +28,18 @@ def as_text(c: Column, dt: T.DataType) -> Column:
         positional = F.regexp_replace(
             F.regexp_replace(raw.cast("decimal(38,18)").cast("string"), r"0+$", ""),
             r"\.$", ".0")
+        # Outside [1e-4, 1e16) Python keeps scientific form, written
+        # "1.5e+16" / "1e-05" where Spark writes "1.5E16" / "1.0E-5".
+        mantissa = F.regexp_replace(F.regexp_extract(raw, r"^(-?[0-9.]+)E", 1), r"\.0$", "")
+        exponent = F.regexp_extract(raw, r"E(-?[0-9]+)$", 1).cast("int")
+        scientific = F.concat(mantissa, F.lit("e"),
+                              F.when(exponent < 0, F.lit("-")).otherwise(F.lit("+")),
+                              F.lpad(F.abs(exponent).cast("string"), 2, "0"))
         in_range = (F.abs(c) >= F.lit(1e-4)) & (F.abs(c) < F.lit(1e16))
         return (F.when(F.isnan(c), F.lit(None).cast("string"))
-                .when(raw.contains("E") & in_range, positional)
-                .otherwise(raw))
+                .when(~raw.contains("E"), raw)
+                .when(in_range, positional)
+                .otherwise(scientific))
     return c.cast("string")
 
 

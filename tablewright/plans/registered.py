@@ -11,7 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.predicates import NA_TEXT_VALUES, WHITESPACE
 from ..operators import aggregate as agg
+from ..operators import clean, merge, position, profile
 from ..plans.workflows import merge_workflow
 
 
@@ -21,16 +23,25 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # ---------------------------------------------------------------- fixtures --
 
-DIRTY_CUSTOMER_COLS = [
-    "c_custkey", "c_nationkey",
-    "CASE WHEN c_custkey % 11 = 0 THEN NULL WHEN c_custkey % 13 = 0 THEN '' "
-    "WHEN c_custkey % 17 = 0 THEN ' n/a ' WHEN c_custkey % 19 = 0 THEN 'NULL' "
-    "WHEN c_custkey % 23 = 0 THEN '0' WHEN c_custkey % 29 = 0 THEN concat('  ', c_mktsegment) "
-    "ELSE c_mktsegment END AS seg",
-    "CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 5 = 0 THEN CAST(0 AS DOUBLE) "
-    "ELSE c_acctbal END AS bal",
-]
+def dirty_customer_cols(k: str = "c_custkey") -> list[str]:
+    """Dirt keyed on the expression ``k`` (a shifted key gives dirt elsewhere)."""
+    return [
+        "c_custkey", "c_nationkey",
+        f"CASE WHEN {k} % 11 = 0 THEN NULL WHEN {k} % 13 = 0 THEN '' "
+        f"WHEN {k} % 17 = 0 THEN ' n/a ' WHEN {k} % 19 = 0 THEN 'NULL' "
+        f"WHEN {k} % 23 = 0 THEN '0' WHEN {k} % 29 = 0 THEN concat('  ', c_mktsegment) "
+        "ELSE c_mktsegment END AS seg",
+        f"CASE WHEN {k} % 7 = 0 THEN NULL WHEN {k} % 5 = 0 THEN CAST(0 AS DOUBLE) "
+        "ELSE c_acctbal END AS bal",
+    ]
+
+
+DIRTY_CUSTOMER_COLS = dirty_customer_cols()
 DIRTY_CUSTOMER_SQL = f"SELECT {', '.join(DIRTY_CUSTOMER_COLS)} FROM customer"
+# Two overlapping slices; the right one carries its dirt on other rows.
+LEFT_SLICE_SQL = f"{DIRTY_CUSTOMER_SQL} WHERE c_custkey < 1000"
+RIGHT_SLICE_COLS = dirty_customer_cols("(c_custkey + 3)")
+RIGHT_SLICE_SQL = f"SELECT {', '.join(RIGHT_SLICE_COLS)} FROM customer WHERE c_custkey >= 500"
 
 NULL_ORDERKEY = "CASE WHEN o_orderkey % 5000 = 0 THEN NULL ELSE o_orderkey END"
 NULL_LINE_ORDERKEY = "CASE WHEN l_orderkey % 5000 = 0 THEN NULL ELSE l_orderkey END"
@@ -40,6 +51,49 @@ def dirty_customer(spark, d):
     return read(spark, d, "customer").selectExpr(*DIRTY_CUSTOMER_COLS)
 
 
+def left_slice(spark, d):
+    return dirty_customer(spark, d).where("c_custkey < 1000")
+
+
+def right_slice(spark, d):
+    return read(spark, d, "customer").where("c_custkey >= 500").selectExpr(*RIGHT_SLICE_COLS)
+
+
+# SQL spellings of the predicates (DuckDB), mirroring tablewright.functions.
+WS = WHITESPACE
+NA_LIST = ", ".join(f"'{v}'" for v in NA_TEXT_VALUES)
+
+
+def sql_missing_text(c):
+    return f"({c} IS NULL OR trim({c}, '{WS}') = '' OR lower(trim({c}, '{WS}')) IN ({NA_LIST}))"
+
+
+def sql_missing_num(c):
+    return f"({c} IS NULL OR isnan({c}))"
+
+
+def sql_zero_text(c):
+    return f"(CASE WHEN {c} IS NULL THEN NULL ELSE trim({c}, '{WS}') = '0' END)"
+
+
+def sql_zero_num(c):
+    return f"(CASE WHEN {c} IS NULL OR isnan(CAST({c} AS DOUBLE)) THEN NULL ELSE {c} = 0 END)"
+
+
+def sql_bad_text(c):
+    return f"(coalesce({sql_zero_text(c)}, false) OR {sql_missing_text(c)})"
+
+
+def sql_bad_num(c):
+    return f"(coalesce({sql_zero_num(c)}, false) OR {sql_missing_num(c)})"
+
+
+def sql_zfill(s, w):
+    return (f"(CASE WHEN length({s}) >= {w} THEN {s} "
+            f"WHEN regexp_matches({s}, '^[+-]') THEN substr({s}, 1, 1) || lpad(substr({s}, 2), {w - 1}, '0') "
+            f"ELSE lpad({s}, {w}, '0') END)")
+
+
 # ------------------------------------------------------------------ merges --
 
 WORKFLOW_RULES = [("l_quantity", "sum", "total_qty"), ("l_linenumber", "count", "n_lines"),
@@ -71,10 +125,435 @@ FROM o LEFT JOIN a ON o.o_orderkey IS NOT DISTINCT FROM a.l_orderkey
 """
 
 
-QUERIES = {
-    "merge_workflow": q_merge_workflow,
-}
 
-ORACLE_SQL = {
-    "merge_workflow": SQL_MERGE_WORKFLOW,
-}
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register a Spark query (and its DuckDB text, when SQL can state it)."""
+    def deco(fn):
+        QUERIES[name] = fn
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return fn
+    return deco
+
+
+query("merge_workflow", SQL_MERGE_WORKFLOW)(q_merge_workflow)
+
+
+def rnd(df: DataFrame, digits: int = 6, cols=None) -> DataFrame:
+    """Round double columns for a float-stable comparison (same rounding in SQL)."""
+    names = cols or [f.name for f in df.schema if f.dataType.typeName() == "double"]
+    return df.withColumns({c: F.round(F.col(c), digits) for c in names})
+
+
+# -------------------------------------------------------------- predicates --
+
+@query("missing_flags", f"""
+SELECT c_custkey, {sql_missing_text('seg')} AS seg_missing, {sql_missing_num('bal')} AS bal_missing,
+       (c_nationkey IS NULL) AS nation_missing
+FROM ({DIRTY_CUSTOMER_SQL})""")
+def q_missing_flags(spark, d):
+    from ..functions import is_missing
+    df = dirty_customer(spark, d)
+    s = df.schema
+    return df.select("c_custkey",
+                     is_missing(F.col("seg"), s["seg"].dataType).alias("seg_missing"),
+                     is_missing(F.col("bal"), s["bal"].dataType).alias("bal_missing"),
+                     is_missing(F.col("c_nationkey"), s["c_nationkey"].dataType).alias("nation_missing"))
+
+
+@query("zero_flags", f"""
+SELECT c_custkey, {sql_zero_text('seg')} AS seg_zero, {sql_zero_num('bal')} AS bal_zero,
+       {sql_zero_num('c_nationkey')} AS nation_zero
+FROM ({DIRTY_CUSTOMER_SQL})""")
+def q_zero_flags(spark, d):
+    from ..functions import is_zero
+    df = dirty_customer(spark, d)
+    s = df.schema
+    return df.select("c_custkey",
+                     is_zero(F.col("seg"), s["seg"].dataType).alias("seg_zero"),
+                     is_zero(F.col("bal"), s["bal"].dataType).alias("bal_zero"),
+                     is_zero(F.col("c_nationkey"), s["c_nationkey"].dataType).alias("nation_zero"))
+
+
+@query("bad_flags", f"""
+SELECT c_custkey, {sql_bad_text('seg')} AS seg_bad, {sql_bad_num('bal')} AS bal_bad,
+       {sql_bad_num('c_nationkey')} AS nation_bad
+FROM ({DIRTY_CUSTOMER_SQL})""")
+def q_bad_flags(spark, d):
+    from ..functions import is_bad
+    df = dirty_customer(spark, d)
+    s = df.schema
+    return df.select("c_custkey",
+                     is_bad(F.col("seg"), s["seg"].dataType).alias("seg_bad"),
+                     is_bad(F.col("bal"), s["bal"].dataType).alias("bal_bad"),
+                     is_bad(F.col("c_nationkey"), s["c_nationkey"].dataType).alias("nation_bad"))
+
+
+# --------------------------------------------------------------- profiling --
+
+def _sql_profile_row(col, dtype, zero, empty, na, distinct_expr):
+    return (f"SELECT '{col}' AS \"column\", '{dtype}' AS dtype, count(*) AS \"rows\", "
+            f"round(coalesce(avg(CAST({zero} AS DOUBLE)), 0.0), 9) AS zero_ratio, "
+            f"round(coalesce(avg(CAST({empty} AS DOUBLE)), 0.0), 9) AS empty_ratio, "
+            f"round(coalesce(avg(CAST({na} AS DOUBLE)), 0.0), 9) AS na_ratio, "
+            f"count(DISTINCT {distinct_expr}) AS unique_count FROM ({DIRTY_CUSTOMER_SQL})")
+
+
+SQL_COLUMN_PROFILE = " UNION ALL ".join([
+    _sql_profile_row("seg", "string", sql_zero_text("seg"), f"(seg IS NULL OR trim(seg, '{WS}') = '')",
+                     f"(seg IS NULL OR lower(trim(seg, '{WS}')) IN ({NA_LIST}))", "seg"),
+    _sql_profile_row("bal", "double", sql_zero_num("bal"), sql_missing_num("bal"), sql_missing_num("bal"),
+                     "CASE WHEN isnan(bal) THEN NULL ELSE bal END"),
+    _sql_profile_row("c_nationkey", "int", sql_zero_num("c_nationkey"), "(c_nationkey IS NULL)",
+                     "(c_nationkey IS NULL)", "c_nationkey"),
+])
+
+
+@query("column_profile", SQL_COLUMN_PROFILE)
+def q_column_profile(spark, d):
+    return rnd(profile.column_profile(dirty_customer(spark, d), ["seg", "bal", "c_nationkey"]), 9)
+
+
+def _sql_top(label_expr, n):
+    return (f"SELECT value, count(*) AS count FROM (SELECT {label_expr} AS value FROM ({DIRTY_CUSTOMER_SQL})) "
+            f"GROUP BY value ORDER BY count DESC, value ASC LIMIT {n}")
+
+
+_SEG_LABEL = f"coalesce(nullif(trim(seg, '{WS}'), ''), CASE WHEN seg IS NULL THEN '<NA>' ELSE '<EMPTY>' END)"
+
+
+@query("top_values", _sql_top(_SEG_LABEL, 20))
+def q_top_values(spark, d):
+    return profile.top_values(dirty_customer(spark, d), "seg")
+
+
+@query("top_values_numeric", _sql_top("coalesce(CAST(bal AS VARCHAR), '<NA>')", 20))
+def q_top_values_numeric(spark, d):
+    return profile.top_values(dirty_customer(spark, d), "bal")
+
+
+@query("top_categories", _sql_top("coalesce(seg, '<NULL>')", 15))
+def q_top_categories(spark, d):
+    return profile.top_categories(dirty_customer(spark, d), "seg")
+
+
+@query("histogram", """
+WITH s AS (SELECT min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem),
+     w AS (SELECT lo, hi, (hi - lo) / 20 AS step FROM s),
+     b AS (SELECT least(CAST(floor((l_quantity - lo) / (hi - lo) * 20) AS INTEGER), 19) AS bin
+           FROM lineitem, w WHERE l_quantity IS NOT NULL),
+     c AS (SELECT bin, count(*) AS n FROM b GROUP BY bin)
+SELECT CAST(r.i AS INTEGER) AS bin, round(r.i * w.step + w.lo, 9) AS bin_start,
+       round(CASE WHEN r.i = 19 THEN w.hi ELSE (r.i + 1) * w.step + w.lo END, 9) AS bin_end,
+       coalesce(c.n, 0) AS count
+FROM range(20) r(i) CROSS JOIN w LEFT JOIN c ON c.bin = r.i""")
+def q_histogram(spark, d):
+    return rnd(profile.histogram(read(spark, d, "lineitem"), "l_quantity"), 9)
+
+
+# ------------------------------------------------------------------ cleaning --
+
+ORDERS_COLS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority"
+
+
+@query("drop_columns", "SELECT o_orderkey, o_custkey, o_totalprice, o_orderdate FROM orders")
+def q_drop_columns(spark, d):
+    return clean.drop_columns(read(spark, d, "orders"), ["o_orderstatus", "o_orderpriority"])
+
+
+@query("head_preview", f"SELECT {ORDERS_COLS} FROM orders ORDER BY o_orderkey LIMIT 10")
+def q_head_preview(spark, d):
+    return clean.head(read(spark, d, "orders"), "o_orderkey", 10)
+
+
+@query("tail_preview", f"SELECT * FROM (SELECT {ORDERS_COLS} FROM orders ORDER BY o_orderkey DESC LIMIT 10) ORDER BY o_orderkey")
+def q_tail_preview(spark, d):
+    return clean.tail(read(spark, d, "orders"), "o_orderkey", 10)
+
+
+@query("delete_rows", f"""
+SELECT {ORDERS_COLS} FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos FROM orders)
+WHERE NOT (pos IN (0, 3) OR pos BETWEEN 5 AND 8)""")
+def q_delete_rows(spark, d):
+    return position.delete_rows(read(spark, d, "orders"), "0, 3, 5-8", "o_orderkey")
+
+
+@query("zero_fill", f"""
+SELECT c_custkey, c_nationkey, CASE WHEN {sql_missing_text('seg')} THEN '0' ELSE seg END AS seg,
+       CASE WHEN {sql_missing_num('bal')} THEN 0.0 ELSE bal END AS bal
+FROM ({DIRTY_CUSTOMER_SQL})""")
+def q_zero_fill(spark, d):
+    return clean.zero_fill(dirty_customer(spark, d), ["seg", "bal"])
+
+
+@query("drop_bad_rows", f"""
+SELECT * FROM ({DIRTY_CUSTOMER_SQL})
+WHERE (CAST({sql_bad_text('seg')} AS INTEGER) + CAST({sql_bad_num('bal')} AS INTEGER)) / 2.0 < 0.5""")
+def q_drop_bad_rows(spark, d):
+    return clean.drop_bad_rows(dirty_customer(spark, d), ["seg", "bal"], 0.5)
+
+
+_LK, _LN = "CAST(l_orderkey AS VARCHAR)", "CAST(l_linenumber AS VARCHAR)"
+
+
+@query("zero_pad", f"""
+SELECT l_orderkey, l_linenumber, {sql_zfill(_LK, 6)} AS order_code, {sql_zfill(_LN, 2)} AS line_code
+FROM lineitem""")
+def q_zero_pad(spark, d):
+    from ..functions import zfill
+    df = read(spark, d, "lineitem")
+    return df.select("l_orderkey", "l_linenumber",
+                     zfill(F.col("l_orderkey").cast("string"), 6).alias("order_code"),
+                     zfill(F.col("l_linenumber").cast("string"), 2).alias("line_code"))
+
+
+@query("combine_columns", f"""
+SELECT l_orderkey, l_linenumber, l_quantity,
+       {sql_zfill(_LK, 6)} || '-' || {sql_zfill(_LN, 2)} AS line_id FROM lineitem""")
+def q_combine_columns(spark, d):
+    df = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return clean.combine_columns(df, "line_id", "l_orderkey", "l_linenumber", "-", 6, 2)
+
+
+@query("split_column", """
+SELECT o_orderkey, o_orderpriority,
+       CASE WHEN strpos(o_orderpriority, '-') > 0 THEN substr(o_orderpriority, 1, strpos(o_orderpriority, '-') - 1)
+            ELSE coalesce(o_orderpriority, '') END AS prio_rank,
+       CASE WHEN strpos(o_orderpriority, '-') > 0 THEN substr(o_orderpriority, strpos(o_orderpriority, '-') + 1)
+            ELSE '' END AS prio_name
+FROM orders""")
+def q_split_column(spark, d):
+    df = read(spark, d, "orders").select("o_orderkey", "o_orderpriority")
+    return clean.split_column(df, "o_orderpriority", "prio_rank", "prio_name", "-", 1)
+
+
+@query("split_column_name", """
+SELECT p_partkey, p_name,
+       CASE WHEN strpos(p_name, ' ') > 0 THEN substr(p_name, 1, strpos(p_name, ' ') - 1)
+            ELSE coalesce(p_name, '') END AS name_first,
+       CASE WHEN strpos(p_name, ' ') > 0 THEN substr(p_name, strpos(p_name, ' ') + 1) ELSE '' END AS name_rest
+FROM part""")
+def q_split_column_name(spark, d):
+    df = read(spark, d, "part").select("p_partkey", "p_name")
+    return clean.split_column(df, "p_name", "name_first", "name_rest", " ", 1)
+
+
+@query("time_range", """
+SELECT * FROM events WHERE ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts <= TIMESTAMP '2024-01-10 00:00:00'""")
+def q_time_range(spark, d):
+    return clean.time_range(read(spark, d, "events"), "ts", "2024-01-05", "2024-01-10")
+
+
+ORDER_TEXT_DATE = "CASE WHEN o_orderkey % 37 = 0 THEN 'not a date' ELSE CAST(o_orderdate AS STRING) END AS order_day"
+
+
+@query("time_range_text", f"""
+SELECT * FROM (SELECT o_orderkey, o_totalprice, {ORDER_TEXT_DATE.replace('STRING', 'VARCHAR')} FROM orders)
+WHERE TRY_CAST(order_day AS TIMESTAMP) >= TIMESTAMP '1996-01-01 00:00:00'
+  AND TRY_CAST(order_day AS TIMESTAMP) <= TIMESTAMP '1997-12-31 00:00:00'""")
+def q_time_range_text(spark, d):
+    df = read(spark, d, "orders").selectExpr("o_orderkey", "o_totalprice", ORDER_TEXT_DATE)
+    return clean.time_range(df, "order_day", "1996-01-01", "1997-12-31")
+
+
+# --------------------------------------------------------------- aggregation --
+
+def _sql_group(key, body):
+    return f"SELECT {key}, {body} FROM ({DIRTY_CUSTOMER_SQL}) GROUP BY {key}"
+
+
+@query("group_nulls", _sql_group("seg", "count(c_custkey) AS n_customers"))
+def q_group_nulls(spark, d):
+    return agg.aggregate(dirty_customer(spark, d), "seg", [("c_custkey", "count", "n_customers")])
+
+
+@query("agg_sum", _sql_group("seg", "round(coalesce(sum(CASE WHEN isnan(bal) THEN NULL ELSE bal END), 0), 4) AS total_bal"))
+def q_agg_sum(spark, d):
+    return rnd(agg.aggregate(dirty_customer(spark, d), "seg", [("bal", "sum", "total_bal")]), 4)
+
+
+@query("agg_count", _sql_group("c_nationkey", "count(seg) AS n_seg"))
+def q_agg_count(spark, d):
+    return agg.aggregate(dirty_customer(spark, d), "c_nationkey", [("seg", "count", "n_seg")])
+
+
+@query("agg_mean", _sql_group("seg", "round(avg(CASE WHEN isnan(bal) THEN NULL ELSE bal END), 4) AS mean_bal"))
+def q_agg_mean(spark, d):
+    return rnd(agg.aggregate(dirty_customer(spark, d), "seg", [("bal", "mean", "mean_bal")]), 4)
+
+
+@query("agg_max", _sql_group("c_nationkey", "max(bal) AS max_bal, max(seg) AS max_seg"))
+def q_agg_max(spark, d):
+    return agg.aggregate(dirty_customer(spark, d), "c_nationkey",
+                         [("bal", "max", "max_bal"), ("seg", "max", "max_seg")])
+
+
+@query("agg_min", _sql_group("c_nationkey", "min(bal) AS min_bal, min(seg) AS min_seg"))
+def q_agg_min(spark, d):
+    return agg.aggregate(dirty_customer(spark, d), "c_nationkey",
+                         [("bal", "min", "min_bal"), ("seg", "min", "min_seg")])
+
+
+@query("agg_nunique", _sql_group("c_nationkey", "count(DISTINCT seg) AS n_segments"))
+def q_agg_nunique(spark, d):
+    return agg.aggregate(dirty_customer(spark, d), "c_nationkey", [("seg", "nunique", "n_segments")])
+
+
+@query("multi_rule_aggregate", _sql_group(
+    "seg", "count(c_custkey) AS x, round(avg(bal), 4) AS avg_bal, count(DISTINCT c_nationkey) AS n_nations"))
+def q_multi_rule_aggregate(spark, d):
+    rules = [("bal", "sum", "x"), ("bal", "mean", "avg_bal"), ("c_custkey", "count", "x"),
+             ("c_nationkey", "nunique", "n_nations")]
+    return rnd(agg.aggregate(dirty_customer(spark, d), "seg", rules), 4)
+
+
+@query("binary_flag", """
+SELECT l_orderkey, CASE WHEN coalesce(sum(l_quantity), 0) > 50 THEN 1 ELSE 0 END AS qty
+FROM lineitem GROUP BY l_orderkey""")
+def q_binary_flag(spark, d):
+    out = agg.aggregate(read(spark, d, "lineitem"), "l_orderkey", [("l_quantity", "sum", "qty")])
+    return agg.binary_flag(out, "qty", 50)
+
+
+@query("aggregate_to_binary", """
+SELECT l_orderkey, coalesce(sum(l_quantity), 0) AS qty, count(l_linenumber) AS n_lines,
+       CASE WHEN coalesce(sum(l_quantity), 0) > 50 THEN 1 ELSE 0 END AS is_big
+FROM lineitem GROUP BY l_orderkey""")
+def q_aggregate_to_binary(spark, d):
+    from ..plans.workflows import aggregate_workflow
+    return aggregate_workflow(read(spark, d, "lineitem"), "l_orderkey",
+                              [("l_quantity", "sum", "qty"), ("l_linenumber", "count", "n_lines")],
+                              {"source_column": "qty", "threshold": 50, "output_column": "is_big"})
+
+
+# -------------------------------------------------------------------- merges --
+
+def _sql_merge(join, key_expr):
+    return f"""
+SELECT {key_expr} AS c_custkey, l.c_nationkey AS c_nationkey_x, l.seg AS seg_x, l.bal AS bal_x,
+       r.c_nationkey AS c_nationkey_y, r.seg AS seg_y, r.bal AS bal_y
+FROM ({LEFT_SLICE_SQL}) l {join} ({RIGHT_SLICE_SQL}) r ON l.c_custkey IS NOT DISTINCT FROM r.c_custkey"""
+
+
+@query("merge_inner", _sql_merge("JOIN", "l.c_custkey"))
+def q_merge_inner(spark, d):
+    return merge.merge(left_slice(spark, d), right_slice(spark, d), "c_custkey", "c_custkey", "inner")
+
+
+@query("merge_left", _sql_merge("LEFT JOIN", "l.c_custkey"))
+def q_merge_left(spark, d):
+    return merge.merge(left_slice(spark, d), right_slice(spark, d), "c_custkey", "c_custkey", "left")
+
+
+@query("merge_right", _sql_merge("RIGHT JOIN", "r.c_custkey"))
+def q_merge_right(spark, d):
+    return merge.merge(left_slice(spark, d), right_slice(spark, d), "c_custkey", "c_custkey", "right")
+
+
+@query("merge_outer", _sql_merge("FULL OUTER JOIN", "coalesce(l.c_custkey, r.c_custkey)"))
+def q_merge_outer(spark, d):
+    return merge.merge(left_slice(spark, d), right_slice(spark, d), "c_custkey", "c_custkey", "outer")
+
+
+def _renamed_right(spark, d):
+    return right_slice(spark, d).withColumnRenamed("c_custkey", "cust_id")
+
+
+@query("merge_suffixes", f"""
+SELECT l.c_custkey, l.c_nationkey AS c_nationkey_x, l.seg AS seg_x, l.bal AS bal_x, r.c_custkey AS cust_id,
+       r.c_nationkey AS c_nationkey_y, r.seg AS seg_y, r.bal AS bal_y
+FROM ({LEFT_SLICE_SQL}) l JOIN ({RIGHT_SLICE_SQL}) r ON l.c_custkey IS NOT DISTINCT FROM r.c_custkey""")
+def q_merge_suffixes(spark, d):
+    return merge.merge(left_slice(spark, d), _renamed_right(spark, d), "c_custkey", "cust_id", "inner")
+
+
+def _sql_pick(strategy, lx, ly, lmiss, rmiss):
+    if strategy == "prefer_right":
+        return f"CASE WHEN NOT {rmiss} THEN {ly} ELSE {lx} END"
+    if strategy == "prefer_left":
+        return f"CASE WHEN NOT {lmiss} THEN {lx} ELSE {ly} END"
+    return f"CASE WHEN NOT {lmiss} THEN {lx} WHEN NOT {rmiss} THEN {ly} ELSE {lx} END"
+
+
+def _sql_coalesce(strategy, key_cols, on):
+    pick = lambda a, b, kind: _sql_pick(
+        strategy, a, b,
+        sql_missing_text(a) if kind == "text" else sql_missing_num(a),
+        sql_missing_text(b) if kind == "text" else sql_missing_num(b))
+    return f"""
+SELECT {key_cols},
+       {pick('l.c_nationkey', 'r.c_nationkey', 'num')} AS c_nationkey,
+       {pick('l.seg', 'r.seg', 'text')} AS seg,
+       {pick('l.bal', 'r.bal', 'num')} AS bal
+FROM ({LEFT_SLICE_SQL}) l FULL OUTER JOIN ({RIGHT_SLICE_SQL}) r ON {on}"""
+
+
+def _coalesce_query(strategy):
+    def fn(spark, d):
+        merged = merge.merge(left_slice(spark, d), right_slice(spark, d), "c_custkey", "c_custkey", "outer")
+        return merge.coalesce_merged(merged, strategy, "c_custkey", "c_custkey")
+    return fn
+
+
+for _strategy in ("first_non_empty", "prefer_left", "prefer_right"):
+    query(f"coalesce_{_strategy}", _sql_coalesce(
+        _strategy, "coalesce(l.c_custkey, r.c_custkey) AS c_custkey",
+        "l.c_custkey IS NOT DISTINCT FROM r.c_custkey"))(_coalesce_query(_strategy))
+
+
+@query("coalesce_keys", _sql_coalesce(
+    "first_non_empty", "coalesce(l.c_custkey, r.c_custkey) AS c_custkey",
+    "l.c_custkey IS NOT DISTINCT FROM r.c_custkey"))
+def q_coalesce_keys(spark, d):
+    merged = merge.merge(left_slice(spark, d), _renamed_right(spark, d), "c_custkey", "cust_id", "outer")
+    return merge.coalesce_merged(merged, "first_non_empty", "c_custkey", "cust_id")
+
+
+@query("append", f"{LEFT_SLICE_SQL} UNION ALL {RIGHT_SLICE_SQL}")
+def q_append(spark, d):
+    return merge.merge(left_slice(spark, d), right_slice(spark, d), "", "", "append")
+
+
+@query("merge_preaggregated", f"""
+WITH o AS (SELECT {NULL_ORDERKEY} AS o_orderkey, o_custkey, o_totalprice FROM orders),
+     a AS (SELECT {NULL_LINE_ORDERKEY} AS l_orderkey, coalesce(sum(l_extendedprice), 0) AS revenue,
+                  max(l_shipdate) AS last_ship
+           FROM lineitem GROUP BY 1)
+SELECT o.o_orderkey, o.o_custkey, o.o_totalprice, a.l_orderkey, round(a.revenue, 4) AS revenue, a.last_ship
+FROM o JOIN a ON o.o_orderkey IS NOT DISTINCT FROM a.l_orderkey""")
+def q_merge_preaggregated(spark, d):
+    orders = read(spark, d, "orders").selectExpr(f"{NULL_ORDERKEY} AS o_orderkey", "o_custkey", "o_totalprice")
+    lines = read(spark, d, "lineitem").selectExpr(
+        f"{NULL_LINE_ORDERKEY} AS l_orderkey", "l_extendedprice", "l_shipdate")
+    out = merge_workflow(orders, lines, "o_orderkey", "l_orderkey", "inner",
+                         aggregate_specs=[("l_extendedprice", "sum", "revenue"), ("l_shipdate", "max", "last_ship")])
+    return rnd(out, 4)
+
+
+def _sql_risk(left_sql, lk, right_sql, rk):
+    return f"""
+WITH l AS (SELECT count(*) AS n, count(DISTINCT {lk}) + max(CASE WHEN {lk} IS NULL THEN 1 ELSE 0 END) AS u FROM ({left_sql})),
+     r AS (SELECT count(*) AS n, count(DISTINCT {rk}) + max(CASE WHEN {rk} IS NULL THEN 1 ELSE 0 END) AS u FROM ({right_sql}))
+SELECT l.n AS left_rows, r.n AS right_rows, CAST(l.u AS BIGINT) AS left_unique, CAST(r.u AS BIGINT) AS right_unique,
+       greatest(l.n - l.u, 0) AS left_duplicates, greatest(r.n - r.u, 0) AS right_duplicates,
+       (l.n - l.u) <= 0 AS left_is_unique, (r.n - r.u) <= 0 AS right_is_unique,
+       CASE WHEN (l.n - l.u) <= 0 AND (r.n - r.u) <= 0 THEN 'Low'
+            WHEN (l.n - l.u) <= 0 OR (r.n - r.u) <= 0 THEN 'Medium' ELSE 'High' END AS risk_level
+FROM l, r"""
+
+
+@query("merge_risk", _sql_risk("SELECT o_custkey FROM orders", "o_custkey", "SELECT c_custkey FROM customer", "c_custkey"))
+def q_merge_risk(spark, d):
+    return merge.merge_risk(read(spark, d, "orders"), read(spark, d, "customer"), "o_custkey", "c_custkey")
+
+
+@query("merge_risk_lines", _sql_risk(
+    f"SELECT {NULL_LINE_ORDERKEY} AS k FROM lineitem", "k", f"SELECT {NULL_ORDERKEY} AS k FROM orders", "k"))
+def q_merge_risk_lines(spark, d):
+    lines = read(spark, d, "lineitem").selectExpr(f"{NULL_LINE_ORDERKEY} AS l_orderkey")
+    orders = read(spark, d, "orders").selectExpr(f"{NULL_ORDERKEY} AS o_orderkey")
+    return merge.merge_risk(lines, orders, "l_orderkey", "o_orderkey")
