@@ -557,3 +557,142 @@ def q_merge_risk_lines(spark, d):
     lines = read(spark, d, "lineitem").selectExpr(f"{NULL_LINE_ORDERKEY} AS l_orderkey")
     orders = read(spark, d, "orders").selectExpr(f"{NULL_ORDERKEY} AS o_orderkey")
     return merge.merge_risk(lines, orders, "l_orderkey", "o_orderkey")
+
+
+# ------------------------------------------------------- model preparation --
+
+from ..operators import evaluate, prepare  # noqa: E402
+
+_SEG_NORM = f"CASE WHEN {sql_missing_text('seg')} THEN NULL ELSE seg END"
+_DC = f"({DIRTY_CUSTOMER_SQL})"
+_MEDIAN_BAL = f"(SELECT median(CASE WHEN isnan(bal) THEN NULL ELSE bal END) FROM {_DC})"
+_MODE_SEG = (f"(SELECT s FROM (SELECT {_SEG_NORM} AS s FROM {_DC}) WHERE s IS NOT NULL "
+             "GROUP BY s ORDER BY count(*) DESC, s ASC LIMIT 1)")
+
+
+@query("task_type", f"""
+SELECT 'c_nationkey' AS "column", count(DISTINCT c_nationkey) AS n_distinct,
+       CASE WHEN count(DISTINCT c_nationkey) <= 20 THEN 'classification' ELSE 'regression' END AS task_type
+FROM {_DC}
+UNION ALL SELECT 'seg', CAST(NULL AS BIGINT), 'classification'
+UNION ALL
+SELECT 'bal', count(DISTINCT bal),
+       CASE WHEN count(DISTINCT bal) <= 20 THEN 'classification' ELSE 'regression' END FROM {_DC}
+UNION ALL
+SELECT 'quality', (SELECT count(DISTINCT quality) FROM labels), 'classification'""")
+def q_task_type(spark, d):
+    dc = prepare.task_types(dirty_customer(spark, d), ["c_nationkey", "seg", "bal"])
+    lab = prepare.task_types(read(spark, d, "labels"), ["quality"])
+    return dc.unionByName(lab)
+
+
+@query("normalize_features", f"SELECT c_custkey, c_nationkey, {_SEG_NORM} AS seg, bal FROM {_DC}")
+def q_normalize_features(spark, d):
+    return prepare.normalize_features(dirty_customer(spark, d), ["c_nationkey", "seg", "bal"])
+
+
+@query("training_frame", f"""
+SELECT c_nationkey, {_SEG_NORM} AS seg, CASE WHEN {sql_missing_num('bal')} THEN 0.0 ELSE bal END AS bal
+FROM {_DC}""")
+def q_training_frame(spark, d):
+    return prepare.training_frame(dirty_customer(spark, d), ["c_nationkey", "seg"], "bal")
+
+
+@query("training_frame_text", f"""
+SELECT c_nationkey, bal, CASE WHEN {sql_missing_text('seg')} THEN '0' ELSE seg END AS seg FROM {_DC}""")
+def q_training_frame_text(spark, d):
+    return prepare.training_frame(dirty_customer(spark, d), ["c_nationkey", "bal"], "seg")
+
+
+@query("impute_median", f"SELECT c_custkey, coalesce(bal, {_MEDIAN_BAL}) AS bal_filled FROM {_DC}")
+def q_impute_median(spark, d):
+    from ..operators.select import exact_median
+    df = dirty_customer(spark, d)
+    med = exact_median(df, "bal")
+    return df.select("c_custkey", F.coalesce(F.col("bal"), F.lit(med)).alias("bal_filled"))
+
+
+@query("impute_mode", f"SELECT c_custkey, coalesce({_SEG_NORM}, {_MODE_SEG}) AS seg_filled FROM {_DC}")
+def q_impute_mode(spark, d):
+    df = prepare.normalize_features(dirty_customer(spark, d), ["seg"])
+    mode = prepare.most_frequent(df, "seg")
+    return df.select("c_custkey", F.coalesce(F.col("seg"), F.lit(mode)).alias("seg_filled"))
+
+
+@query("standard_scale", f"""
+WITH f AS (SELECT c_custkey, coalesce(bal, {_MEDIAN_BAL}) AS x FROM {_DC}),
+     s AS (SELECT avg(x) AS m, stddev_pop(x) AS sd FROM f)
+SELECT c_custkey, round((x - m) / CASE WHEN sd > 0 THEN sd ELSE 1 END, 6) AS bal_scaled FROM f, s""")
+def q_standard_scale(spark, d):
+    df = dirty_customer(spark, d)
+    prep = prepare.fit_preprocessor(df, ["bal"])
+    return prep.transform(df).select("c_custkey", F.round("__num_bal", 6).alias("bal_scaled"))
+
+
+@query("one_hot", f"""
+WITH f AS (SELECT c_custkey, coalesce({_SEG_NORM}, {_MODE_SEG}) AS seg_category FROM {_DC})
+SELECT c_custkey, seg_category, CAST(dense_rank() OVER (ORDER BY seg_category) - 1 AS INTEGER) AS seg_index,
+       CAST(dense_rank() OVER (ORDER BY seg_category) - 1 AS INTEGER) AS hot_slot,
+       CAST((SELECT count(DISTINCT seg_category) FROM f) AS INTEGER) AS width
+FROM f""")
+def q_one_hot(spark, d):
+    from pyspark.ml.functions import vector_to_array
+    df = dirty_customer(spark, d)
+    prep = prepare.fit_preprocessor(df, ["seg"])
+    out = prep.transform(df)
+    arr = vector_to_array("__vec_seg")
+    return out.select("c_custkey", F.col("__cat_seg").alias("seg_category"),
+                      F.col("__idx_seg").cast("int").alias("seg_index"),
+                      (F.array_position(arr, 1.0) - 1).cast("int").alias("hot_slot"),
+                      F.size(arr).alias("width"))
+
+
+_LABEL_HASH = "md5(CAST(doc_id AS VARCHAR) || '|42')"
+
+
+@query("holdout_split", f"""
+SELECT doc_id, quality, toxic, CASE WHEN rn <= k THEN 'test' ELSE 'train' END AS split
+FROM (SELECT *, row_number() OVER (ORDER BY {_LABEL_HASH}) AS rn,
+             CAST(ceil(CAST(0.2 AS DOUBLE) * count(*) OVER ()) AS BIGINT) AS k FROM labels)""")
+def q_holdout_split(spark, d):
+    return prepare.holdout_split(read(spark, d, "labels"), "doc_id")
+
+
+@query("stratified_split", f"""
+SELECT doc_id, quality, toxic, CASE WHEN rn <= k THEN 'test' ELSE 'train' END AS split
+FROM (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY {_LABEL_HASH}) AS rn,
+             round(CAST(0.2 AS DOUBLE) * count(*) OVER (PARTITION BY quality)) AS k FROM labels)""")
+def q_stratified_split(spark, d):
+    return prepare.stratified_split(read(spark, d, "labels"), "doc_id", "quality")
+
+
+@query("classification_metrics", """
+WITH conf AS (SELECT CAST(quality AS VARCHAR) AS y, CAST(toxic AS VARCHAR) AS p, count(*) AS n
+              FROM labels GROUP BY 1, 2),
+     cls AS (SELECT y AS c FROM conf UNION SELECT p FROM conf),
+     per AS (SELECT c,
+                    CAST(coalesce((SELECT sum(n) FROM conf WHERE y = c), 0) AS DOUBLE) AS support,
+                    CAST(coalesce((SELECT sum(n) FROM conf WHERE p = c), 0) AS DOUBLE) AS predicted,
+                    CAST(coalesce((SELECT sum(n) FROM conf WHERE y = c AND p = c), 0) AS DOUBLE) AS tp
+             FROM cls),
+     m AS (SELECT *, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0 END AS prec,
+                     CASE WHEN support > 0 THEN tp / support ELSE 0 END AS rec FROM per)
+SELECT round(sum(tp) / sum(support), 9) AS accuracy,
+       round(sum(prec * support) / sum(support), 9) AS precision,
+       round(sum(rec * support) / sum(support), 9) AS recall,
+       round(sum(CASE WHEN prec + rec > 0 THEN 2 * prec * rec / (prec + rec) ELSE 0 END * support)
+             / sum(support), 9) AS f1
+FROM m""")
+def q_classification_metrics(spark, d):
+    return rnd(evaluate.classification_metrics(read(spark, d, "labels"), "quality", "toxic"), 9)
+
+
+@query("regression_metrics", """
+SELECT round(avg(abs(l_extendedprice - l_quantity * 1500)), 6) AS mae,
+       round(sqrt(avg(power(l_extendedprice - l_quantity * 1500, 2))), 6) AS rmse,
+       round(1 - sum(power(l_extendedprice - l_quantity * 1500, 2))
+                 / (var_pop(l_extendedprice) * count(l_extendedprice)), 6) AS r2
+FROM lineitem""")
+def q_regression_metrics(spark, d):
+    df = read(spark, d, "lineitem").withColumn("pred", F.col("l_quantity") * 1500)
+    return rnd(evaluate.regression_metrics(df, "l_extendedprice", "pred"), 6)
