@@ -11,11 +11,11 @@ Two building blocks:
   bring a group of 10^11 rows down to a few rows; the last round ranks
   the survivors exactly. No task ever holds a whole group, however
   skewed the groups are.
-* :func:`exact_kth_value` / :func:`exact_median` — the k-th smallest
-  number of a column: equal-width histograms (1,024 bins, one small
-  grouped aggregate per round) narrow the value range around rank k until
-  the remaining candidates are few enough to bring back, or all equal
-  (a hot value ends the search at once).
+* :func:`exact_order_stats` / :func:`exact_medians` — k-th smallest
+  numbers of several columns at once: equal-width histograms (1,024 bins,
+  one small grouped aggregate per round for all columns together) narrow
+  each value range around its rank until the remaining candidates are few
+  enough to bring back, or all equal (a hot value ends the search at once).
 """
 
 from __future__ import annotations
@@ -28,7 +28,25 @@ from ..session import ensure_checkpoint_dir
 PREFIX_DIGITS = 4          # hex digits per narrowing round (65,536 buckets)
 FINAL_CANDIDATES = 100_000  # rank the rest exactly once a bucket is this small
 HIST_BINS = 1024
-COLLECT_LIMIT = 100_000
+COLLECT_LIMIT = 20_000
+
+
+MAX_DRIVER_GROUPS = 10_000  # per-group state up to this size is held as a local frame
+
+
+def materialize_small(df: DataFrame, limit: int = MAX_DRIVER_GROUPS) -> DataFrame:
+    """Cut the lineage of a small per-group frame.
+
+    Up to ``limit`` rows are brought back and re-created as a local frame
+    (cheap, and broadcastable with a proven size); a larger frame is
+    written to the shared checkpoint folder instead. Never a local
+    checkpoint.
+    """
+    rows = df.limit(limit + 1).collect()
+    if len(rows) <= limit:
+        return df.sparkSession.createDataFrame(rows, df.schema)
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def kth_hash_per_group(df: DataFrame, hash_col: str, group_cols: list[str],
@@ -36,83 +54,143 @@ def kth_hash_per_group(df: DataFrame, hash_col: str, group_cols: list[str],
     """For each group in ``k`` (columns ``group_cols + ["__k"]``, 1-based), the
     ``__k``-th smallest ``hash_col`` among that group's rows, as ``__thr``.
 
-    Groups with ``__k < 1`` or fewer than ``__k`` rows get no row.
+    Groups with ``__k < 1`` or fewer than ``__k`` rows get no row. The
+    result is materialised (one row per group).
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
     rows = df.select(*group_cols, F.col(hash_col).alias("__h"))
-    state = (k.where(F.col("__k") >= 1)
-             .select(*group_cols, F.lit("").alias("__prefix"), F.col("__k").alias("__rem")))
-    width = 32
+    state = materialize_small(k.where(F.col("__k") >= 1).select(
+        *group_cols, F.lit("").alias("__prefix"), F.col("__k").alias("__rem")))
+    key = [F.col(c).eqNullSafe(F.col(f"__s_{c}")) for c in group_cols]
+
+    def with_state(frame, st):
+        st = st.select(*[F.col(c).alias(f"__s_{c}") for c in group_cols], "__prefix", "__rem")
+        cond = key[0]
+        for extra in key[1:]:
+            cond = cond & extra
+        return frame.join(st, cond).drop(*[f"__s_{c}" for c in group_cols])
+
     plen = 0
-    while plen < width:
-        cand = rows.join(state, group_cols).where(
-            F.substring("__h", 1, plen) == F.col("__prefix") if plen else F.lit(True))
+    while plen < 32:
+        cand = with_state(rows, state)
+        if plen:
+            cand = cand.where(F.substring("__h", 1, plen) == F.col("__prefix"))
         bucket = F.substring("__h", plen + 1, PREFIX_DIGITS)
         hist = cand.groupBy(*group_cols, "__prefix", "__rem", bucket.alias("__b")).count()
         w = Window.partitionBy(*group_cols).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
         hist = hist.withColumn("__cum", F.sum("count").over(w))
         picked = hist.where((F.col("__cum") - F.col("count") < F.col("__rem"))
                             & (F.col("__cum") >= F.col("__rem")))
-        state = picked.select(*group_cols,
-                              F.concat("__prefix", "__b").alias("__prefix"),
-                              (F.col("__rem") - (F.col("__cum") - F.col("count"))).alias("__rem"),
-                              F.col("count").alias("__left")).checkpoint(eager=True)
+        state = materialize_small(picked.select(
+            *group_cols, F.concat("__prefix", "__b").alias("__prefix"),
+            (F.col("__rem") - (F.col("__cum") - F.col("count"))).alias("__rem"),
+            F.col("count").alias("__left")))
         plen += PREFIX_DIGITS
         largest = state.agg(F.max("__left")).first()[0]
         if largest is None or largest <= FINAL_CANDIDATES:
             break
     state = state.drop("__left")
-    cand = rows.join(state, group_cols).where(
-        F.substring("__h", 1, plen) == F.col("__prefix"))
+    cand = with_state(rows, state).where(F.substring("__h", 1, plen) == F.col("__prefix"))
     w = Window.partitionBy(*group_cols).orderBy("__h")
     ranked = cand.withColumn("__r", F.row_number().over(w))
-    return ranked.where(F.col("__r") == F.col("__rem")).select(*group_cols, F.col("__h").alias("__thr"))
-
-
-def exact_kth_value(df: DataFrame, column: str, k: int, n: int | None = None,
-                    lo: float | None = None, hi: float | None = None) -> float | None:
-    """The k-th smallest (1-based) non-null value of a numeric column."""
-    x = df.select(F.col(f"`{column}`").cast("double").alias("x"))
-    x = x.where(F.col("x").isNotNull() & ~F.isnan("x"))
-    if n is None or lo is None or hi is None:
-        n, lo, hi = x.agg(F.count("x"), F.min("x"), F.max("x")).first()
-    if not n or k < 1 or k > n:
-        return None
-    below, count = 0, n
+    return materialize_small(
+        ranked.where(F.col("__r") == F.col("__rem")).select(*group_cols, F.col("__h").alias("__thr")))
+
+
+def exact_order_stats(df: DataFrame, targets: list[tuple[str, int]]) -> dict:
+    """Exact k-th smallest values for several ``(column, k)`` pairs at once.
+
+    Every round is one grouped aggregate over all columns together
+    (``(column, bin)`` → count, min, max; at most 1,024 bins per target),
+    so the number of jobs does not grow with the number of columns.
+    """
+    cols = sorted({c for c, _ in targets})
+    stacked = df.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("c"), F.col(f"`{c}`").cast("double").alias("x"))
+        for i, c in enumerate(cols)])).alias("s")).select("s.c", "s.x")
+    stacked = stacked.where(F.col("x").isNotNull() & ~F.isnan("x"))
+    first = {r["c"]: r for r in stacked.groupBy("c").agg(
+        F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()}
+    # per target: [col index, k, lo, hi, below, count]
+    open_t, result = {}, {}
+    for c, k in targets:
+        i = cols.index(c)
+        r = first.get(i)
+        if r is None or k < 1 or k > r["n"]:
+            result[(c, k)] = None
+        else:
+            open_t[(c, k)] = [i, k, r["lo"], r["hi"], 0, r["n"]]
     for _ in range(64):
-        if lo == hi:
-            return float(lo)
-        cand = x.where((F.col("x") >= F.lit(lo)) & (F.col("x") <= F.lit(hi)))
-        if count <= COLLECT_LIMIT:
-            vals = sorted(r[0] for r in cand.collect())
-            return float(vals[k - below - 1])
-        width = (hi - lo) / HIST_BINS
-        idx = F.least(F.floor((F.col("x") - F.lit(lo)) / F.lit(width)).cast("int"), F.lit(HIST_BINS - 1))
-        hist = sorted(cand.groupBy(idx.alias("b")).agg(
-            F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect())
-        for b in hist:
-            if below + b["n"] >= k:
-                lo, hi, count = b["lo"], b["hi"], b["n"]
-                break
-            below += b["n"]
-    vals = sorted(r[0] for r in x.where((F.col("x") >= F.lit(lo)) & (F.col("x") <= F.lit(hi)))
-                  .limit(COLLECT_LIMIT).collect())
-    return float(vals[k - below - 1])
+        for t, (i, k, lo, hi, below, count) in list(open_t.items()):
+            if lo == hi:
+                result[t] = float(lo)
+                del open_t[t]
+        if not open_t:
+            break
+        small = {t: v for t, v in open_t.items() if v[5] <= COLLECT_LIMIT}
+        if small:
+            cond = F.lit(False)
+            for i, k, lo, hi, below, count in small.values():
+                cond = cond | ((F.col("c") == i) & F.col("x").between(lo, hi))
+            got = {}
+            for r in stacked.where(cond).collect():
+                got.setdefault(r["c"], []).append(r["x"])
+            for t, (i, k, lo, hi, below, count) in small.items():
+                vals = sorted(v for v in got.get(i, []) if lo <= v <= hi)
+                result[t] = float(vals[k - below - 1])
+                del open_t[t]
+            continue
+        ranges = list(open_t.items())
+        cond, entries = F.lit(False), []
+        for n, (t, (i, k, lo, hi, below, count)) in enumerate(ranges):
+            sel = (F.col("c") == i) & F.col("x").between(lo, hi)
+            cond = cond | sel
+            width = (hi - lo) / HIST_BINS
+            b = F.least(F.floor((F.col("x") - F.lit(lo)) / F.lit(width)).cast("int"), F.lit(HIST_BINS - 1))
+            entries.append(F.when(sel, F.struct(F.lit(n).alias("t"), b.alias("b"))))
+        # a value can fall in the ranges of several targets (k and k+1 of one column)
+        hist = (stacked.where(cond).select(F.explode(F.array(*entries)).alias("e"), "x")
+                .where(F.col("e").isNotNull()).select("e.t", "e.b", "x")
+                .groupBy("t", "b").agg(F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+                .collect())
+        by_t = {}
+        for r in hist:
+            by_t.setdefault(r["t"], []).append(r)
+        for n, (t, v) in enumerate(ranges):
+            i, k, lo, hi, below, count = v
+            for r in sorted(by_t.get(n, []), key=lambda r: r["b"]):
+                if below + r["n"] >= k:
+                    open_t[t] = [i, k, r["lo"], r["hi"], below, r["n"]]
+                    break
+                below += r["n"]
+    return result
+
+
+def exact_medians(df: DataFrame, columns: list[str]) -> dict:
+    """Exact medians of several numeric columns (mean of the middle two for even counts)."""
+    if not columns:
+        return {}
+    def present(c):
+        x = F.col(f"`{c}`").cast("double")
+        return F.count(F.when(x.isNotNull() & ~F.isnan(x), 1))
+    counts = df.agg(*[present(c).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    targets = []
+    for i, c in enumerate(columns):
+        n = counts[f"n{i}"]
+        if n:
+            targets += [(c, (n + 1) // 2), (c, n // 2 + 1)] if n % 2 else [(c, n // 2), (c, n // 2 + 1)]
+    stats = exact_order_stats(df, targets) if targets else {}
+    out = {}
+    for i, c in enumerate(columns):
+        n = counts[f"n{i}"]
+        if not n:
+            out[c] = None
+        elif n % 2:
+            out[c] = stats[(c, (n + 1) // 2)]
+        else:
+            out[c] = (stats[(c, n // 2)] + stats[(c, n // 2 + 1)]) / 2.0
+    return out
 
 
 def exact_median(df: DataFrame, column: str) -> float | None:
-    """Exact median of the non-null values (mean of the two middle ones for even counts)."""
-    x = df.select(F.col(f"`{column}`").cast("double").alias("x"))
-    x = x.where(F.col("x").isNotNull() & ~F.isnan("x"))
-    n, lo, hi = x.agg(F.count("x"), F.min("x"), F.max("x")).first()
-    if not n:
-        return None
-    if n % 2 == 1:
-        return exact_kth_value(x, "x", (n + 1) // 2, n, lo, hi)
-    k = n // 2
-    a = exact_kth_value(x, "x", k, n, lo, hi)
-    at_most, nxt = x.agg(F.count(F.when(F.col("x") <= F.lit(a), 1)),
-                         F.min(F.when(F.col("x") > F.lit(a), F.col("x")))).first()
-    b = a if at_most >= k + 1 else nxt
-    return (a + b) / 2.0
+    """Exact median of one numeric column (see :func:`exact_medians`)."""
+    return exact_medians(df, [column])[column]

@@ -606,7 +606,7 @@ def q_training_frame_text(spark, d):
 
 @query("impute_median", f"SELECT c_custkey, coalesce(bal, {_MEDIAN_BAL}) AS bal_filled FROM {_DC}")
 def q_impute_median(spark, d):
-    from ..operators.select import exact_median
+    from ..operators.select import exact_median  # noqa: F401
     df = dirty_customer(spark, d)
     med = exact_median(df, "bal")
     return df.select("c_custkey", F.coalesce(F.col("bal"), F.lit(med)).alias("bal_filled"))
@@ -696,3 +696,104 @@ FROM lineitem""")
 def q_regression_metrics(spark, d):
     df = read(spark, d, "lineitem").withColumn("pred", F.col("l_quantity") * 1500)
     return rnd(evaluate.regression_metrics(df, "l_extendedprice", "pred"), 6)
+
+
+# ------------------------------------------------------------------ training --
+# Model queries are checked by row counts and invariants (tests), not SQL.
+
+from ..operators import models as model_registry  # noqa: E402
+from ..operators import train as trainer  # noqa: E402
+
+LINE_KEYS = ["l_orderkey", "l_linenumber"]
+CLS_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_linestatus"]
+REG_FEATURES = ["l_quantity", "l_discount", "l_tax"]
+FOREST = {"n_estimators": 20, "max_depth": 8}
+
+
+def _classifier(spark, d):
+    return trainer.train_model(read(spark, d, "lineitem"), CLS_FEATURES, "l_returnflag",
+                               "RandomForestClassifier", "classification", FOREST, key_cols=LINE_KEYS)
+
+
+@query("train_classifier")
+def q_train_classifier(spark, d):
+    """Hold-out rows scored by a forest trained on the other 80%."""
+    lines = read(spark, d, "lineitem")
+    model = _classifier(spark, d)
+    flagged = prepare.stratified_split(lines, LINE_KEYS, "l_returnflag")
+    return trainer.predict(model, flagged.where(F.col("split") == "test").drop("split"))
+
+
+@query("predict")
+def q_predict(spark, d):
+    """Every lineitem row plus ``l_returnflag Prediction``."""
+    return trainer.predict(_classifier(spark, d), read(spark, d, "lineitem"))
+
+
+@query("feature_importance")
+def q_feature_importance(spark, d):
+    return _classifier(spark, d).importance_frame(spark)
+
+
+@query("model_round_trip")
+def q_model_round_trip(spark, d):
+    from ..session import scratch_path
+    path = scratch_path(spark, "model")
+    trainer.save_model(_classifier(spark, d), path)
+    return trainer.predict(trainer.load_model(spark, path), read(spark, d, "lineitem"))
+
+
+@query("train_regressor")
+def q_train_regressor(spark, d):
+    lines = read(spark, d, "lineitem")
+    model = trainer.train_model(lines, REG_FEATURES, "l_extendedprice", "GradientBoostingRegressor",
+                                "regression", {"n_estimators": 20, "learning_rate": 0.1}, key_cols=LINE_KEYS)
+    return trainer.predict(model, lines)
+
+
+def _incremental_slices(spark, d):
+    lines = read(spark, d, "lineitem")
+    cut = F.col("l_shipdate") < F.lit("1998-06-01").cast("timestamp_ntz")
+    return lines.where(cut), lines.where(~cut)
+
+
+@query("incremental_fit")
+def q_incremental_fit(spark, d):
+    first, _ = _incremental_slices(spark, d)
+    model = trainer.train_model(first, REG_FEATURES, "l_extendedprice", "SGDRegressor", "regression",
+                                key_cols=LINE_KEYS)
+    return trainer.predict(model, read(spark, d, "lineitem"))
+
+
+@query("incremental_continue")
+def q_incremental_continue(spark, d):
+    first, second = _incremental_slices(spark, d)
+    model = trainer.train_model(first, REG_FEATURES, "l_extendedprice", "SGDRegressor", "regression",
+                                key_cols=LINE_KEYS)
+    model = trainer.continue_training(model, second, REG_FEATURES, "l_extendedprice")
+    return trainer.predict(model, read(spark, d, "lineitem"))
+
+
+@query("incremental_classifier")
+def q_incremental_classifier(spark, d):
+    first, second = _incremental_slices(spark, d)
+    model = trainer.train_model(first, CLS_FEATURES, "l_returnflag", "SGDClassifier", "classification",
+                                key_cols=LINE_KEYS)
+    model = trainer.continue_training(model, second, CLS_FEATURES, "l_returnflag")
+    return trainer.predict(model, read(spark, d, "lineitem"))
+
+
+@query("model_registry_fit")
+def q_model_registry_fit(spark, d):
+    """Every registry model fitted on lineitem: one metrics row per model."""
+    lines = read(spark, d, "lineitem")
+    rows = []
+    for task, target, feats in (("classification", "l_returnflag", CLS_FEATURES),
+                                ("regression", "l_extendedprice", REG_FEATURES)):
+        for name in model_registry.model_options(task):
+            params = {"n_estimators": 10, "max_depth": 5} if "Forest" in name else \
+                     {"n_estimators": 10} if "Gradient" in name else {}
+            m = trainer.train_model(lines, feats, target, name, task, params, key_cols=LINE_KEYS)
+            for metric, value in m.metrics.items():
+                rows.append((name, task, metric, float(value)))
+    return spark.createDataFrame(rows, "model string, task string, metric string, value double")
