@@ -797,3 +797,61 @@ def q_model_registry_fit(spark, d):
             for metric, value in m.metrics.items():
                 rows.append((name, task, metric, float(value)))
     return spark.createDataFrame(rows, "model string, task string, metric string, value double")
+
+
+# ------------------------------------------------------------------- sources --
+
+from ..session import scratch_path  # noqa: E402
+from ..sources import csv as csv_io  # noqa: E402
+from ..sources import files as file_io  # noqa: E402
+from ..sources import workbook as wb  # noqa: E402
+
+
+def _round_trip_csv(spark, df, name):
+    path = f"{scratch_path(spark, 'csv')}/{name}"
+    csv_io.write_csv(df, path)
+    return path
+
+
+@query("read_csv_inferred", """
+SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer""")
+def q_read_csv_inferred(spark, d):
+    path = _round_trip_csv(spark, read(spark, d, "customer"), "customer.csv")
+    return file_io.load_table(spark, path)
+
+
+@query("read_csv_orders", """
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, CAST(o_orderdate AS VARCHAR) AS o_orderdate,
+       o_orderpriority FROM orders""")
+def q_read_csv_orders(spark, d):
+    path = _round_trip_csv(spark, read(spark, d, "orders"), "orders.csv")
+    return csv_io.read_csv(spark, path)
+
+
+@query("read_many", """
+SELECT 'customer.csv' AS name, count(*) AS n_rows, 5 AS n_cols FROM customer
+UNION ALL SELECT 'nation.csv', count(*), 3 FROM nation
+UNION ALL SELECT 'orders.csv', count(*), 6 FROM orders""")
+def q_read_many(spark, d):
+    root = scratch_path(spark, "many")
+    paths = []
+    for t in ("nation", "customer", "orders"):
+        paths.append(f"{root}/{t}.csv")
+        csv_io.write_csv(read(spark, d, t), paths[-1])
+    loaded, errors = file_io.load_many(spark, paths + [f"{root}/notes.txt"])
+    assert "notes.txt" in errors
+    parts = [df.groupBy().count().select(F.lit(name).alias("name"), F.col("count").alias("n_rows"),
+                                         F.lit(len(df.columns)).alias("n_cols"))
+             for name, df in loaded.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("read_workbooks", """
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders""")
+def q_read_workbooks(spark, d):
+    """Orders through the workbook codec: one workbook per partition, decoded per task."""
+    encoded = wb.encode_partitions(read(spark, d, "orders"))
+    return wb.typed_frame(wb.decode_files(encoded).checkpoint(eager=True))

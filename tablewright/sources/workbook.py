@@ -1,0 +1,314 @@
+"""Spreadsheet workbooks (``.xlsx`` / ``.xlsm``): first sheet, first row as header.
+
+Reading is a folder ingest: ``binaryFile`` lists the workbooks and
+``mapInPandas`` decodes each one in its own task (a workbook is not
+splittable) into rows of cell texts plus cell kinds. Types are then
+inferred by one aggregation like the CSV reader, with one addition: a
+column whose present cells are all date-formatted becomes a timestamp.
+Decoding uses the standard library (``zipfile`` + ``xml.etree``); legacy
+binary ``.xls`` files are not read.
+
+Writing produces one workbook per partition (inline strings, numbers,
+booleans, dates), so no single task holds more than its partition; the
+target folder must be reachable from the executors as a file path.
+"""
+
+from __future__ import annotations
+
+import datetime as dt
+import io
+import os
+import re
+import uuid
+import zipfile
+from xml.etree import ElementTree as ET
+from xml.sax.saxutils import escape
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..session import ensure_checkpoint_dir, local_path
+
+_NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main",
+       "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships",
+       "rel": "http://schemas.openxmlformats.org/package/2006/relationships"}
+# Built-in number formats that display dates/times.
+DATE_FORMAT_IDS = set(range(14, 23)) | set(range(27, 37)) | set(range(45, 48)) | set(range(50, 59))
+EXCEL_EPOCH = dt.datetime(1899, 12, 30)
+
+DECODED_SCHEMA = "path string, r long, kinds array<string>, cells array<string>"
+
+
+def _col_index(ref: str) -> int:
+    letters = re.match(r"[A-Z]+", ref).group(0)
+    n = 0
+    for ch in letters:
+        n = n * 26 + (ord(ch) - 64)
+    return n - 1
+
+
+def _is_date_format(code: str) -> bool:
+    text = re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", code or "")
+    return bool(re.search(r"[dmyhs]", text, re.IGNORECASE))
+
+
+def _text_of(node) -> str:
+    return "".join(t.text or "" for t in node.iter(f"{{{_NS['m']}}}t"))
+
+
+def _format_number(value: str) -> str:
+    num = float(value)
+    return str(int(num)) if num.is_integer() and abs(num) < 1e15 and "." not in value and "E" not in value.upper() else repr(num)
+
+
+def decode_workbook(content: bytes):
+    """Yield ``(row_number, kinds, cells)`` for the first sheet.
+
+    Kinds: ``n`` number, ``s`` text, ``b`` boolean, ``d`` date (cell text is
+    ``YYYY-MM-DD HH:MM:SS``), ``e`` error, None for an empty cell.
+    """
+    zf = zipfile.ZipFile(io.BytesIO(content))
+    names = set(zf.namelist())
+    shared = []
+    if "xl/sharedStrings.xml" in names:
+        root = ET.fromstring(zf.read("xl/sharedStrings.xml"))
+        shared = [_text_of(si) for si in root.findall("m:si", _NS)]
+    date_styles = set()
+    if "xl/styles.xml" in names:
+        styles = ET.fromstring(zf.read("xl/styles.xml"))
+        custom = {int(n.get("numFmtId")): n.get("formatCode")
+                  for n in styles.findall("m:numFmts/m:numFmt", _NS)}
+        for i, xf in enumerate(styles.findall("m:cellXfs/m:xf", _NS)):
+            fid = int(xf.get("numFmtId", "0"))
+            if fid in DATE_FORMAT_IDS or (fid in custom and _is_date_format(custom[fid])):
+                date_styles.add(i)
+    book = ET.fromstring(zf.read("xl/workbook.xml"))
+    first = book.find("m:sheets/m:sheet", _NS)
+    rid = first.get(f"{{{_NS['r']}}}id")
+    rels = ET.fromstring(zf.read("xl/_rels/workbook.xml.rels"))
+    target = next(r.get("Target") for r in rels.findall("rel:Relationship", _NS) if r.get("Id") == rid)
+    sheet_path = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+    sheet = ET.fromstring(zf.read(sheet_path))
+    for row in sheet.iter(f"{{{_NS['m']}}}row"):
+        cells: dict[int, tuple[str, str]] = {}
+        for i, c in enumerate(row.findall("m:c", _NS)):
+            ref = c.get("r")
+            idx = _col_index(ref) if ref else i
+            kind = c.get("t", "n")
+            v = c.find("m:v", _NS)
+            raw = v.text if v is not None else None
+            if kind == "s" and raw is not None:
+                cells[idx] = ("s", shared[int(raw)])
+            elif kind == "inlineStr":
+                is_node = c.find("m:is", _NS)
+                cells[idx] = ("s", _text_of(is_node) if is_node is not None else "")
+            elif kind == "str" and raw is not None:
+                cells[idx] = ("s", raw)
+            elif kind == "b" and raw is not None:
+                cells[idx] = ("b", "True" if raw.strip() == "1" else "False")
+            elif kind == "e" and raw is not None:
+                cells[idx] = ("e", raw)
+            elif kind == "d" and raw is not None:
+                cells[idx] = ("d", raw.replace("T", " ")[:19])
+            elif raw is not None:
+                if int(c.get("s", "0")) in date_styles:
+                    stamp = EXCEL_EPOCH + dt.timedelta(days=float(raw))
+                    cells[idx] = ("d", stamp.replace(microsecond=0).strftime("%Y-%m-%d %H:%M:%S"))
+                else:
+                    cells[idx] = ("n", _format_number(raw))
+        width = max(cells) + 1 if cells else 0
+        yield (int(row.get("r", "0") or 0),
+               [cells[i][0] if i in cells else None for i in range(width)],
+               [cells[i][1] if i in cells else None for i in range(width)])
+
+
+def _decode_batches(batches):
+    for pdf in batches:
+        out = []
+        for path, content in zip(pdf["path"], pdf["content"]):
+            rows = list(decode_workbook(bytes(content)))
+            rows.sort(key=lambda r: r[0])
+            for n, (_, kinds, cells) in enumerate(rows):
+                out.append((path, n, kinds, cells))
+        yield pd.DataFrame(out, columns=["path", "r", "kinds", "cells"])
+
+
+def decode_files(files: DataFrame) -> DataFrame:
+    """``(path, content)`` rows → one row per sheet row: ``path, r, kinds, cells`` (r=0 is the header)."""
+    return files.select("path", "content").mapInPandas(_decode_batches, DECODED_SCHEMA)
+
+
+def typed_frame(decoded: DataFrame, source_column: str | None = None) -> DataFrame:
+    """Header from row 0 of the first workbook; data rows typed by one aggregation."""
+    decoded_rows = decoded
+    header = decoded_rows.where(F.col("r") == 0).orderBy("path").first()
+    if header is None:
+        return decoded.sparkSession.createDataFrame([], T.StructType([]))
+    from .csv import dedupe_names
+    names = dedupe_names([h if h is not None else f"Unnamed: {i}" for i, h in enumerate(header["cells"])])
+    body = decoded_rows.where(F.col("r") > 0)
+    # rows may end early (trailing empty cells are not stored)
+    cols = [F.try_element_at("cells", F.lit(i + 1)).alias(n) for i, n in enumerate(names)]
+    kinds = [F.try_element_at("kinds", F.lit(i + 1)).alias(f"__k{i}") for i in range(len(names))]
+    extra = [F.col("path").alias(source_column)] if source_column else []
+    raw = body.select(*cols, *kinds, *extra)
+    aggs = []
+    for i, n in enumerate(names):
+        k = F.col(f"__k{i}")
+        aggs += [F.count(k).alias(f"p{i}"),
+                 F.count(F.when(k == "n", 1)).alias(f"n{i}"),
+                 F.count(F.when((k == "n") & F.col(f"`{n}`").rlike(r"^[+-]?[0-9]+$"), 1)).alias(f"i{i}"),
+                 F.count(F.when(k == "b", 1)).alias(f"b{i}"),
+                 F.count(F.when(k == "d", 1)).alias(f"d{i}")]
+    stats = raw.agg(*aggs).first() if aggs else None
+    out = []
+    for i, n in enumerate(names):
+        c = F.when(F.col(f"__k{i}") != "e", F.col(f"`{n}`"))
+        p = stats[f"p{i}"]
+        if p and stats[f"i{i}"] == p:
+            out.append(c.try_cast("bigint").alias(n))
+        elif p == 0 or stats[f"n{i}"] == p:
+            out.append(c.try_cast("double").alias(n))
+        elif stats[f"b{i}"] == p:
+            out.append((c == "True").alias(n))
+        elif stats[f"d{i}"] == p:
+            out.append(c.try_cast(T.TimestampNTZType()).alias(n))
+        else:
+            out.append(c.alias(n))
+    return raw.select(*out, *[F.col(source_column)] if source_column else [])
+
+
+def read_workbooks(spark: SparkSession, paths, source_column: str | None = None) -> DataFrame:
+    """All workbooks under ``paths`` (files or folders) as one typed frame.
+
+    The decoded cells are checkpointed once to the shared folder, so the
+    header lookup, the type aggregation and the final read do not decode
+    the files three times.
+    """
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.xls[xm]")
+             .option("recursiveFileLookup", "true").load(paths))
+    ensure_checkpoint_dir(spark)
+    decoded = decode_files(files).checkpoint(eager=True)
+    return typed_frame(decoded, source_column)
+
+
+def read_workbook(spark: SparkSession, path: str) -> DataFrame:
+    """One workbook's first sheet."""
+    files = spark.read.format("binaryFile").load(path)
+    ensure_checkpoint_dir(spark)
+    return typed_frame(decode_files(files).checkpoint(eager=True))
+
+
+# ------------------------------------------------------------------ writing --
+
+def _cell_ref(row: int, col: int) -> str:
+    letters = ""
+    col += 1
+    while col:
+        col, rem = divmod(col - 1, 26)
+        letters = chr(65 + rem) + letters
+    return f"{letters}{row}"
+
+
+def workbook_bytes(columns, rows) -> bytes:
+    """A minimal one-sheet workbook: header row, then the rows."""
+    def cell(r, c, value):
+        ref = _cell_ref(r, c)
+        if value is None or (isinstance(value, float) and value != value):
+            return ""
+        if isinstance(value, bool):
+            return f'<c r="{ref}" t="b"><v>{int(value)}</v></c>'
+        if isinstance(value, (int, float)):
+            return f'<c r="{ref}"><v>{value!r}</v></c>'
+        if isinstance(value, (dt.datetime, pd.Timestamp)):
+            days = (pd.Timestamp(value).to_pydatetime() - EXCEL_EPOCH).total_seconds() / 86400
+            return f'<c r="{ref}" s="1"><v>{days!r}</v></c>'
+        return f'<c r="{ref}" t="inlineStr"><is><t xml:space="preserve">{escape(str(value))}</t></is></c>'
+
+    lines = [f'<row r="1">{"".join(cell(1, j, str(c)) for j, c in enumerate(columns))}</row>']
+    for i, row in enumerate(rows, start=2):
+        lines.append(f'<row r="{i}">{"".join(cell(i, j, v) for j, v in enumerate(row))}</row>')
+    main = _NS["m"]
+    sheet = (f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="{main}"><sheetData>'
+             + "".join(lines) + "</sheetData></worksheet>")
+    files = {
+        "[Content_Types].xml": (
+            '<?xml version="1.0" encoding="UTF-8"?>'
+            '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types">'
+            '<Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>'
+            '<Default Extension="xml" ContentType="application/xml"/>'
+            '<Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>'
+            '<Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>'
+            '<Override PartName="/xl/styles.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.styles+xml"/>'
+            "</Types>"),
+        "_rels/.rels": (
+            '<?xml version="1.0" encoding="UTF-8"?>'
+            f'<Relationships xmlns="{_NS["rel"]}"><Relationship Id="rId1" '
+            'Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" '
+            'Target="xl/workbook.xml"/></Relationships>'),
+        "xl/workbook.xml": (
+            f'<?xml version="1.0" encoding="UTF-8"?><workbook xmlns="{main}" xmlns:r="{_NS["r"]}">'
+            '<sheets><sheet name="Sheet1" sheetId="1" r:id="rId1"/></sheets></workbook>'),
+        "xl/_rels/workbook.xml.rels": (
+            f'<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="{_NS["rel"]}">'
+            '<Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet" '
+            'Target="worksheets/sheet1.xml"/>'
+            '<Relationship Id="rId2" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/styles" '
+            'Target="styles.xml"/></Relationships>'),
+        "xl/styles.xml": (
+            f'<?xml version="1.0" encoding="UTF-8"?><styleSheet xmlns="{main}">'
+            '<cellXfs count="2"><xf numFmtId="0"/><xf numFmtId="22" applyNumberFormat="1"/></cellXfs>'
+            "</styleSheet>"),
+        "xl/worksheets/sheet1.xml": sheet,
+    }
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
+        for name, text in files.items():
+            zf.writestr(name, text)
+    return buf.getvalue()
+
+
+def _plain(value):
+    """A pandas/NumPy cell as a plain Python value (missing → None)."""
+    if value is None or value is pd.NaT or (isinstance(value, float) and value != value):
+        return None
+    return value.item() if hasattr(value, "item") else value
+
+
+def encode_partitions(df: DataFrame, prefix: str = "part") -> DataFrame:
+    """One workbook per partition as ``(path, content)`` rows (executor-side)."""
+    columns = list(df.columns)
+
+    def encode(batches):
+        frames = [b for b in batches]
+        if not frames:
+            return
+        pdf = pd.concat(frames, ignore_index=True)
+        rows = [[_plain(v) for v in rec] for rec in pdf.itertuples(index=False)]
+        name = f"{prefix}-{uuid.uuid4().hex}.xlsx"
+        yield pd.DataFrame({"path": [name], "content": [workbook_bytes(columns, rows)]})
+
+    return df.mapInPandas(encode, "path string, content binary")
+
+
+def write_workbooks(df: DataFrame, folder: str) -> list[str]:
+    """Write one ``.xlsx`` per partition into ``folder`` (a path the executors can open)."""
+    target = local_path(folder.rstrip("/"))
+    columns = list(df.columns)
+
+    def write(batches):
+        frames = [b for b in batches]
+        if not frames:
+            return
+        pdf = pd.concat(frames, ignore_index=True)
+        rows = [[_plain(v) for v in rec] for rec in pdf.itertuples(index=False)]
+        os.makedirs(target, exist_ok=True)
+        path = f"{target}/part-{uuid.uuid4().hex}.xlsx"
+        with open(path, "wb") as fh:
+            fh.write(workbook_bytes(columns, rows))
+        yield pd.DataFrame({"path": [path], "rows": [len(rows)]})
+
+    return [r["path"] for r in df.mapInPandas(write, "path string, rows long").collect()]
