@@ -855,3 +855,41 @@ def q_read_workbooks(spark, d):
     """Orders through the workbook codec: one workbook per partition, decoded per task."""
     encoded = wb.encode_partitions(read(spark, d, "orders"))
     return wb.typed_frame(wb.decode_files(encoded).checkpoint(eager=True))
+
+
+# ----------------------------------------------------------------- streaming --
+
+from .. import streaming  # noqa: E402
+
+
+@query("stream_clean", """
+SELECT event_id, ts, user_id, event_type, value, props,
+       lpad(CAST(user_id AS VARCHAR), 4, '0') || ':' || event_type AS user_event,
+       CASE WHEN value > 50 THEN 1 ELSE 0 END AS high_value
+FROM events
+WHERE ts >= TIMESTAMP '2024-01-03 00:00:00' AND ts <= TIMESTAMP '2024-01-20 00:00:00'""")
+def q_stream_clean(spark, d):
+    """events read as a stream, cleaned row by row, written as parquet, read back."""
+    src = read(spark, d, "events")
+    out, ckpt = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ckpt")
+    steps = [
+        lambda df: clean.time_range(df, "ts", "2024-01-03", "2024-01-20", strict=False),
+        lambda df: clean.combine_columns(df, "user_event", "user_id", "event_type", ":", 4, 0),
+        lambda df: agg.binary_flag(df, "value", 50, "high_value"),
+    ]
+    stream = streaming.read_stream(spark, d, src.schema, glob="events.parquet")
+    streaming.clean_stream(stream, steps, out, ckpt)
+    return spark.read.parquet(out)
+
+
+@query("stream_train")
+def q_stream_train(spark, d):
+    """An incremental regressor continued on each micro-batch of lineitem."""
+    first, _ = _incremental_slices(spark, d)
+    model = trainer.train_model(first, REG_FEATURES, "l_extendedprice", "SGDRegressor", "regression",
+                                key_cols=LINE_KEYS)
+    lines = read(spark, d, "lineitem")
+    stream = streaming.read_stream(spark, d, lines.schema, glob="lineitem.parquet")
+    _, holder = streaming.train_on_stream(stream, model, scratch_path(spark, "stream-model"),
+                                          scratch_path(spark, "stream-train-ckpt"))
+    return trainer.predict(holder["model"], lines)
