@@ -54,6 +54,11 @@ def _step(params: dict) -> float:
     return rate
 
 
+def _ovr(n_classes: int) -> int:
+    """One-vs-rest fits the per-class models as concurrent jobs (up to 8 at once)."""
+    return max(1, min(n_classes, 8))
+
+
 def build_estimator(model_name: str, task_type: str, params: dict | None, n_train: int,
                     n_classes: int = 2, features_col: str = "features", label_col: str = "label"):
     """The MLlib estimator for a registry name (non-incremental models)."""
@@ -69,7 +74,7 @@ def build_estimator(model_name: str, task_type: str, params: dict | None, n_trai
         return RandomForestRegressor(numTrees=trees, maxDepth=_depth(params), seed=SEED, **common)
     if model_name == "GradientBoostingClassifier":
         gbt = GBTClassifier(maxIter=trees, stepSize=_step(params), maxDepth=3, seed=SEED, **common)
-        return gbt if n_classes <= 2 else OneVsRest(classifier=gbt, **common)
+        return gbt if n_classes <= 2 else OneVsRest(classifier=gbt, parallelism=_ovr(n_classes), **common)
     if model_name == "GradientBoostingRegressor":
         return GBTRegressor(maxIter=trees, stepSize=_step(params), maxDepth=3, seed=SEED, **common)
     reg = 1.0 / (float(params.get("C", 1.0)) * max(n_train, 1))
@@ -78,7 +83,7 @@ def build_estimator(model_name: str, task_type: str, params: dict | None, n_trai
                                   standardization=False, **common)
     if model_name == "SVC":
         svc = LinearSVC(regParam=reg, standardization=False, maxIter=int(params.get("max_iter", 100)), **common)
-        return svc if n_classes <= 2 else OneVsRest(classifier=svc, **common)
+        return svc if n_classes <= 2 else OneVsRest(classifier=svc, parallelism=_ovr(n_classes), **common)
     if model_name == "SVR":
         return LinearRegression(loss="huber", regParam=reg, elasticNetParam=0.0,
                                 standardization=False, **common)

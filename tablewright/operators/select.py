@@ -4,12 +4,12 @@ Two building blocks:
 
 * :func:`kth_hash_per_group` — for every group, the k-th smallest of a
   32-character hex hash (used by the seeded hold-out and stratified
-  splits). It narrows the answer one 4-hex-digit prefix at a time: count
-  rows per ``(group, next prefix)`` (at most 65,536 buckets per group,
+  splits). It narrows the answer one 3-hex-digit prefix at a time: count
+  rows per ``(group, next prefix)`` (at most 4,096 buckets per group,
   map-side combined), find the bucket that holds rank k with a running sum
-  over those buckets, keep only that bucket's rows, repeat. Two rounds
-  bring a group of 10^11 rows down to a few rows; the last round ranks
-  the survivors exactly. No task ever holds a whole group, however
+  over those buckets, keep only that bucket's rows, repeat until the
+  bucket holds at most a million rows (one round up to ~4·10^9 rows per
+  group, two up to ~10^13); the last round ranks the survivors exactly. No task ever holds a whole group, however
   skewed the groups are.
 * :func:`exact_order_stats` / :func:`exact_medians` — k-th smallest
   numbers of several columns at once: equal-width histograms (1,024 bins,
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
-PREFIX_DIGITS = 4          # hex digits per narrowing round (65,536 buckets)
-FINAL_CANDIDATES = 100_000  # rank the rest exactly once a bucket is this small
+PREFIX_DIGITS = 3          # hex digits per narrowing round (4,096 buckets)
+FINAL_CANDIDATES = 1_000_000  # rank the rest exactly once a bucket is this small
 HIST_BINS = 1024
 COLLECT_LIMIT = 20_000
 
@@ -70,7 +70,7 @@ def kth_hash_per_group(df: DataFrame, hash_col: str, group_cols: list[str],
         return frame.join(st, cond).drop(*[f"__s_{c}" for c in group_cols])
 
     plen = 0
-    while plen < 32:
+    while plen + PREFIX_DIGITS <= 32:
         cand = with_state(rows, state)
         if plen:
             cand = cand.where(F.substring("__h", 1, plen) == F.col("__prefix"))
@@ -96,25 +96,30 @@ def kth_hash_per_group(df: DataFrame, hash_col: str, group_cols: list[str],
         ranked.where(F.col("__r") == F.col("__rem")).select(*group_cols, F.col("__h").alias("__thr")))
 
 
-def exact_order_stats(df: DataFrame, targets: list[tuple[str, int]]) -> dict:
+def exact_order_stats(df: DataFrame, targets, first=None) -> dict:
     """Exact k-th smallest values for several ``(column, k)`` pairs at once.
 
-    Every round is one grouped aggregate over all columns together
-    (``(column, bin)`` → count, min, max; at most 1,024 bins per target),
-    so the number of jobs does not grow with the number of columns.
+    ``targets`` is a list of pairs, or a function of ``{column: n}`` giving
+    that list once the present-value counts are known (they come from the
+    first pass, which also finds min and max). Every round is one grouped
+    aggregate over all columns together (``(column, bin)`` → count, min,
+    max; at most 1,024 bins per target), so the number of jobs does not
+    grow with the number of columns.
     """
-    cols = sorted({c for c, _ in targets})
+    cols = sorted({c for c, _ in targets}) if not callable(targets) else sorted(first)
     stacked = df.select(F.explode(F.array(*[
         F.struct(F.lit(i).alias("c"), F.col(f"`{c}`").cast("double").alias("x"))
         for i, c in enumerate(cols)])).alias("s")).select("s.c", "s.x")
     stacked = stacked.where(F.col("x").isNotNull() & ~F.isnan("x"))
-    first = {r["c"]: r for r in stacked.groupBy("c").agg(
+    stats = {r["c"]: r for r in stacked.groupBy("c").agg(
         F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()}
+    if callable(targets):
+        targets = targets({c: (stats[i]["n"] if i in stats else 0) for i, c in enumerate(cols)})
     # per target: [col index, k, lo, hi, below, count]
     open_t, result = {}, {}
     for c, k in targets:
         i = cols.index(c)
-        r = first.get(i)
+        r = stats.get(i)
         if r is None or k < 1 or k > r["n"]:
             result[(c, k)] = None
         else:
@@ -169,26 +174,27 @@ def exact_medians(df: DataFrame, columns: list[str]) -> dict:
     """Exact medians of several numeric columns (mean of the middle two for even counts)."""
     if not columns:
         return {}
-    def present(c):
-        x = F.col(f"`{c}`").cast("double")
-        return F.count(F.when(x.isNotNull() & ~F.isnan(x), 1))
-    counts = df.agg(*[present(c).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-    targets = []
-    for i, c in enumerate(columns):
-        n = counts[f"n{i}"]
-        if n:
-            targets += [(c, (n + 1) // 2), (c, n // 2 + 1)] if n % 2 else [(c, n // 2), (c, n // 2 + 1)]
-    stats = exact_order_stats(df, targets) if targets else {}
-    out = {}
-    for i, c in enumerate(columns):
-        n = counts[f"n{i}"]
+    counts = {}
+
+    def targets(n_by_col):
+        counts.update(n_by_col)
+        out = []
+        for c, n in n_by_col.items():
+            if n:
+                out += [(c, (n + 1) // 2), (c, n // 2 + 1)]
+        return out
+
+    stats = exact_order_stats(df, targets, first=columns)
+    result = {}
+    for c in columns:
+        n = counts.get(c, 0)
         if not n:
-            out[c] = None
+            result[c] = None
         elif n % 2:
-            out[c] = stats[(c, (n + 1) // 2)]
+            result[c] = stats[(c, (n + 1) // 2)]
         else:
-            out[c] = (stats[(c, n // 2)] + stats[(c, n // 2 + 1)]) / 2.0
-    return out
+            result[c] = (stats[(c, n // 2)] + stats[(c, n // 2 + 1)]) / 2.0
+    return result
 
 
 def exact_median(df: DataFrame, column: str) -> float | None:

@@ -718,10 +718,8 @@ def _classifier(spark, d):
 @query("train_classifier")
 def q_train_classifier(spark, d):
     """Hold-out rows scored by a forest trained on the other 80%."""
-    lines = read(spark, d, "lineitem")
     model = _classifier(spark, d)
-    flagged = prepare.stratified_split(lines, LINE_KEYS, "l_returnflag")
-    return trainer.predict(model, flagged.where(F.col("split") == "test").drop("split"))
+    return trainer.predict(model, model.eval_rows)
 
 
 @query("predict")

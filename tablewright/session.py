@@ -71,6 +71,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     shared_dir(spark)
 
 
+def ensure_parallelism(df, by: str | None = None):
+    """Spread an under-partitioned frame over the cluster's default parallelism.
+
+    Only fires when the frame has fewer partitions than
+    ``defaultParallelism`` (e.g. one small file feeding an iterative
+    learner); a large input already split into many partitions is left
+    alone, so no shuffle is added at scale. ``by`` names a uniformly
+    distributed column (a hash) to partition on, which is deterministic
+    without the sort a round-robin repartition needs.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target, by) if by else df.repartition(target)
+    return df
+
+
 def local_path(path: str) -> str:
     """Strip a ``file:`` scheme so driver-side code can open a local path."""
     if path.startswith("file://"):
@@ -85,4 +101,4 @@ def is_local_fs(path: str) -> bool:
 
 
 __all__ = ["DEFAULT_CONF", "get_spark", "shared_dir", "scratch_path",
-           "ensure_checkpoint_dir", "local_path", "is_local_fs"]
+           "ensure_checkpoint_dir", "ensure_parallelism", "local_path", "is_local_fs"]
