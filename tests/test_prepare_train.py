@@ -184,3 +184,28 @@ def test_incremental_classifier_new_label(spark, lines):
         trainer.continue_training(m, lines, FEATS, "l_returnflag")
     pred = trainer.predict(m, lines)
     assert {r[0] for r in pred.select("l_returnflag Prediction").distinct().collect()} <= {"A", "N"}
+
+
+def test_loaded_incremental_model_cannot_continue(spark, lines, tmp_dir):
+    feats = ["l_quantity", "l_discount", "l_tax"]
+    m = trainer.train_model(lines, feats, "l_extendedprice", "SGDRegressor", "regression",
+                            key_cols=["l_orderkey", "l_linenumber"])
+    trainer.save_model(m, f"{tmp_dir}/sgd")
+    back = trainer.load_model(spark, f"{tmp_dir}/sgd")
+    assert back.features == feats and not back.continuable
+    assert trainer.predict(back, lines).count() == lines.count()
+    assert not trainer.can_continue(back, feats, "l_extendedprice", "SGDRegressor", "regression")
+    with pytest.raises(ValueError):
+        trainer.continue_training(back, lines, feats, "l_extendedprice")
+
+
+def test_model_list():
+    ml = trainer.ModelList()
+    a = trainer.TrainedModel("SVC", "classification", ["x"], "y")
+    assert ml.add(a) == "SVC" and ml.add(a) == "SVC_2" and ml.active == "SVC_2"
+    assert ml.names() == ["SVC", "SVC_2"]
+    ml.select("SVC")
+    ml.delete("SVC")
+    assert ml.active == "SVC_2" and ml.get() is a
+    with pytest.raises(ValueError):
+        ml.select("nope")
