@@ -55,7 +55,9 @@ def kth_hash_per_group(df: DataFrame, hash_col: str, group_cols: list[str],
     ``__k``-th smallest ``hash_col`` among that group's rows, as ``__thr``.
 
     Groups with ``__k < 1`` or fewer than ``__k`` rows get no row. The
-    result is materialised (one row per group).
+    result is materialised (one row per group). Rows sharing a hash tie:
+    a split then takes all of them, so sizes are exact when the hashed
+    key identifies rows.
     """
     rows = df.select(*group_cols, F.col(hash_col).alias("__h"))
     state = materialize_small(k.where(F.col("__k") >= 1).select(
@@ -75,7 +77,8 @@ def kth_hash_per_group(df: DataFrame, hash_col: str, group_cols: list[str],
         if plen:
             cand = cand.where(F.substring("__h", 1, plen) == F.col("__prefix"))
         bucket = F.substring("__h", plen + 1, PREFIX_DIGITS)
-        hist = cand.groupBy(*group_cols, "__prefix", "__rem", bucket.alias("__b")).count()
+        hist = cand.groupBy(*group_cols, "__prefix", "__rem", bucket.alias("__b")).agg(
+            F.count(F.lit(1)).alias("count"), F.min("__h").alias("__lo"), F.max("__h").alias("__hi"))
         w = Window.partitionBy(*group_cols).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
         hist = hist.withColumn("__cum", F.sum("count").over(w))
         picked = hist.where((F.col("__cum") - F.col("count") < F.col("__rem"))
@@ -83,17 +86,21 @@ def kth_hash_per_group(df: DataFrame, hash_col: str, group_cols: list[str],
         state = materialize_small(picked.select(
             *group_cols, F.concat("__prefix", "__b").alias("__prefix"),
             (F.col("__rem") - (F.col("__cum") - F.col("count"))).alias("__rem"),
-            F.col("count").alias("__left")))
+            F.col("count").alias("__left"), (F.col("__lo") == F.col("__hi")).alias("__single")))
         plen += PREFIX_DIGITS
-        largest = state.agg(F.max("__left")).first()[0]
-        if largest is None or largest <= FINAL_CANDIDATES:
+        # done when every chosen bucket is small, or holds copies of one hash
+        open_groups = state.where((F.col("__left") > F.lit(FINAL_CANDIDATES)) & ~F.col("__single"))
+        if open_groups.limit(1).count() == 0:
             break
-    state = state.drop("__left")
+    state = state.drop("__left", "__single")
     cand = with_state(rows, state).where(F.substring("__h", 1, plen) == F.col("__prefix"))
-    w = Window.partitionBy(*group_cols).orderBy("__h")
-    ranked = cand.withColumn("__r", F.row_number().over(w))
-    return materialize_small(
-        ranked.where(F.col("__r") == F.col("__rem")).select(*group_cols, F.col("__h").alias("__thr")))
+    # rank distinct hashes with their counts: copies of one hash never pile
+    # up in the window, they are one row with a count
+    distinct = cand.groupBy(*group_cols, "__rem", "__h").count()
+    w = Window.partitionBy(*group_cols).orderBy("__h").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = distinct.withColumn("__cum", F.sum("count").over(w))
+    hit = (F.col("__cum") - F.col("count") < F.col("__rem")) & (F.col("__cum") >= F.col("__rem"))
+    return materialize_small(ranked.where(hit).select(*group_cols, F.col("__h").alias("__thr")))
 
 
 def exact_order_stats(df: DataFrame, targets, first=None) -> dict:

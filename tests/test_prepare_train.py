@@ -209,3 +209,14 @@ def test_model_list():
     assert ml.active == "SVC_2" and ml.get() is a
     with pytest.raises(ValueError):
         ml.select("nope")
+
+
+def test_kth_with_hot_duplicate_hash(spark):
+    # a third of the rows share one key (same hash); the rest are unique
+    df = spark.range(0, 3000).select(F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id")).alias("k"))
+    hashed = df.withColumn("__h", prepare.split_hash(["k"])).withColumn("__g", F.lit(0))
+    vals = sorted(r["__h"] for r in hashed.collect())
+    for k in (1, 500, 1000, 1500, 3000):
+        kdf = spark.createDataFrame([(0, k)], "__g int, __k long")
+        thr = select.kth_hash_per_group(hashed, "__h", ["__g"], kdf).first()["__thr"]
+        assert thr == vals[k - 1]
