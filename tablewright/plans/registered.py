@@ -783,111 +783,26 @@ def q_incremental_classifier(spark, d):
 
 @query("model_registry_fit")
 def q_model_registry_fit(spark, d):
-    """Every registry model fitted on lineitem: one metrics row per model."""
+    """Every registry model fitted on lineitem: one metrics row per model.
+
+    The fits are independent, so they run as concurrent Spark jobs from a
+    few driver threads.
+    """
+    from concurrent.futures import ThreadPoolExecutor
     lines = read(spark, d, "lineitem")
-    rows = []
+    jobs = []
     for task, target, feats in (("classification", "l_returnflag", CLS_FEATURES),
                                 ("regression", "l_extendedprice", REG_FEATURES)):
         for name in model_registry.model_options(task):
             params = {"n_estimators": 10, "max_depth": 5} if "Forest" in name else \
                      {"n_estimators": 10} if "Gradient" in name else {}
-            m = trainer.train_model(lines, feats, target, name, task, params, key_cols=LINE_KEYS)
-            for metric, value in m.metrics.items():
-                rows.append((name, task, metric, float(value)))
-    return spark.createDataFrame(rows, "model string, task string, metric string, value double")
-
-
-# ------------------------------------------------------------------- sources --
-
-from ..session import scratch_path  # noqa: E402
-from ..sources import csv as csv_io  # noqa: E402
-from ..sources import files as file_io  # noqa: E402
-from ..sources import workbook as wb  # noqa: E402
-
-
-def _round_trip_csv(spark, df, name):
-    path = f"{scratch_path(spark, 'csv')}/{name}"
-    csv_io.write_csv(df, path)
-    return path
-
-
-@query("read_csv_inferred", """
-SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer""")
-def q_read_csv_inferred(spark, d):
-    path = _round_trip_csv(spark, read(spark, d, "customer"), "customer.csv")
-    return file_io.load_table(spark, path)
-
-
-@query("read_csv_orders", """
-SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, CAST(o_orderdate AS VARCHAR) AS o_orderdate,
-       o_orderpriority FROM orders""")
-def q_read_csv_orders(spark, d):
-    path = _round_trip_csv(spark, read(spark, d, "orders"), "orders.csv")
-    return csv_io.read_csv(spark, path)
-
-
-@query("read_many", """
-SELECT 'customer.csv' AS name, count(*) AS n_rows, 5 AS n_cols FROM customer
-UNION ALL SELECT 'nation.csv', count(*), 3 FROM nation
-UNION ALL SELECT 'orders.csv', count(*), 6 FROM orders""")
-def q_read_many(spark, d):
-    root = scratch_path(spark, "many")
-    paths = []
-    for t in ("nation", "customer", "orders"):
-        paths.append(f"{root}/{t}.csv")
-        csv_io.write_csv(read(spark, d, t), paths[-1])
-    loaded, errors = file_io.load_many(spark, paths + [f"{root}/notes.txt"])
-    assert "notes.txt" in errors
-    parts = [df.groupBy().count().select(F.lit(name).alias("name"), F.col("count").alias("n_rows"),
-                                         F.lit(len(df.columns)).alias("n_cols"))
-             for name, df in loaded.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-@query("read_workbooks", """
-SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders""")
-def q_read_workbooks(spark, d):
-    """Orders through the workbook codec: one workbook per partition, decoded per task."""
-    encoded = wb.encode_partitions(read(spark, d, "orders"))
-    return wb.typed_frame(wb.decode_files(encoded).checkpoint(eager=True))
-
-
-# ----------------------------------------------------------------- streaming --
-
-from .. import streaming  # noqa: E402
-
-
-@query("stream_clean", """
-SELECT event_id, ts, user_id, event_type, value, props,
-       lpad(CAST(user_id AS VARCHAR), 4, '0') || ':' || event_type AS user_event,
-       CASE WHEN value > 50 THEN 1 ELSE 0 END AS high_value
-FROM events
-WHERE ts >= TIMESTAMP '2024-01-03 00:00:00' AND ts <= TIMESTAMP '2024-01-20 00:00:00'""")
-def q_stream_clean(spark, d):
-    """events read as a stream, cleaned row by row, written as parquet, read back."""
-    src = read(spark, d, "events")
-    out, ckpt = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ckpt")
-    steps = [
-        lambda df: clean.time_range(df, "ts", "2024-01-03", "2024-01-20", strict=False),
-        lambda df: clean.combine_columns(df, "user_event", "user_id", "event_type", ":", 4, 0),
-        lambda df: agg.binary_flag(df, "value", 50, "high_value"),
-    ]
-    stream = streaming.read_stream(spark, d, src.schema, glob="events.parquet")
-    streaming.clean_stream(stream, steps, out, ckpt)
-    return spark.read.parquet(out)
+            jobs.append((name, task, target, feats, params))
 
+    def fit(job):
+        name, task, target, feats, params = job
+        m = trainer.train_model(lines, feats, target, name, task, params, key_cols=LINE_KEYS)
+        return [(name, task, metric, float(value)) for metric, value in m.metrics.items()]
 
-@query("stream_train")
-def q_stream_train(spark, d):
-    """An incremental regressor continued on each micro-batch of lineitem."""
-    first, _ = _incremental_slices(spark, d)
-    model = trainer.train_model(first, REG_FEATURES, "l_extendedprice", "SGDRegressor", "regression",
-                                key_cols=LINE_KEYS)
-    lines = read(spark, d, "lineitem")
-    stream = streaming.read_stream(spark, d, lines.schema, glob="lineitem.parquet")
-    _, holder = streaming.train_on_stream(stream, model, scratch_path(spark, "stream-model"),
-                                          scratch_path(spark, "stream-train-ckpt"))
-    return trainer.predict(holder["model"], lines)
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        rows = [row for rows in pool.map(fit, jobs) for row in rows]
+    return spark.createDataFrame(rows, "model string, task string, metric string, value double")
