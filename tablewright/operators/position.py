@@ -114,6 +114,6 @@ def delete_rows(df: DataFrame, spec: str, order_by) -> DataFrame:
         doomed = F.broadcast(doomed)
     cond = None
     for c in cols:
-        term = df[c].eqNullSafe(doomed[c])
+        term = df[f"`{c}`"].eqNullSafe(doomed[f"`{c}`"])
         cond = term if cond is None else cond & term
     return df.join(doomed, cond, "left_anti")

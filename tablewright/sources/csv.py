@@ -46,18 +46,25 @@ def dedupe_names(names) -> list[str]:
     return out
 
 
-def _raw_reader(spark: SparkSession, header: bool):
-    return (spark.read.option("header", header).option("multiLine", True)
+def _raw_reader(spark: SparkSession, header: bool, multi_line: bool = True):
+    return (spark.read.option("header", header).option("multiLine", multi_line)
             .option("escape", '"').option("quote", '"').option("inferSchema", False)
             .option("mode", "PERMISSIVE"))
 
 
-def read_csv_text(spark: SparkSession, paths) -> DataFrame:
-    """All columns as text with NA tokens turned into null, header names de-duplicated."""
+def read_csv_text(spark: SparkSession, paths, multi_line: bool = True) -> DataFrame:
+    """All columns as text with NA tokens turned into null, header names de-duplicated.
+
+    ``multi_line`` allows quoted newlines inside fields; it makes each file
+    one task (a file cannot be split at an arbitrary byte when a record may
+    span lines). Inputs that are many files parallelise by file; for a few
+    huge files without embedded newlines pass ``multi_line=False`` so Spark
+    splits each file into blocks.
+    """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    header_row = _raw_reader(spark, False).csv(paths[0]).first()
+    header_row = _raw_reader(spark, False, multi_line).csv(paths[0]).first()
     names = dedupe_names(header_row) if header_row is not None else []
-    df = _raw_reader(spark, True).csv(paths)
+    df = _raw_reader(spark, True, multi_line).csv(paths)
     if names and len(names) == len(df.columns):
         df = df.toDF(*names)
     return df.select([F.when(F.col(f"`{c}`").isin(*NA_TOKENS), F.lit(None).cast("string"))
@@ -119,9 +126,9 @@ def apply_types(df: DataFrame, types: dict[str, str]) -> DataFrame:
     return df.select(cols)
 
 
-def read_csv(spark: SparkSession, paths) -> DataFrame:
+def read_csv(spark: SparkSession, paths, multi_line: bool = True) -> DataFrame:
     """Read CSV file(s) with whole-input type inference (one extra aggregation job)."""
-    text = read_csv_text(spark, paths)
+    text = read_csv_text(spark, paths, multi_line)
     return apply_types(text, infer_types(text))
 
 
