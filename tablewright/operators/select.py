@@ -37,14 +37,15 @@ MAX_DRIVER_GROUPS = 10_000  # per-group state up to this size is held as a local
 def materialize_small(df: DataFrame, limit: int = MAX_DRIVER_GROUPS) -> DataFrame:
     """Cut the lineage of a small per-group frame.
 
-    Up to ``limit`` rows are brought back and re-created as a local frame
-    (cheap, and broadcastable with a proven size); a larger frame is
-    written to the shared checkpoint folder instead. Never a local
-    checkpoint.
+    Up to ``limit`` rows are brought back and re-created as a small frame
+    marked for broadcast (its size is proven by the limit, so joins with a
+    large frame never shuffle the large side); a larger frame is written
+    to the shared checkpoint folder instead. Never a local checkpoint.
     """
     rows = df.limit(limit + 1).collect()
     if len(rows) <= limit:
-        return df.sparkSession.createDataFrame(rows, df.schema)
+        # at most ``limit`` rows: joins may broadcast it without a size estimate
+        return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
