@@ -20,6 +20,7 @@ Two building blocks:
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,11 +46,27 @@ def materialize_small(df: DataFrame, limit: int = MAX_DRIVER_GROUPS) -> DataFram
     rows = df.limit(limit + 1).collect()
     if len(rows) <= limit:
         # at most ``limit`` rows: joins may broadcast it without a size estimate
-        return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+        return F.broadcast(local_frame(df.sparkSession, rows, df.schema))
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def local_frame(spark, rows, schema) -> DataFrame:
+    """A small frame held inside the plan (a local relation), so using it —
+    broadcasting it, aggregating it — needs no cluster job. Built through
+    Arrow from pandas; falls back to an ordinary frame if that path fails."""
+    key = "spark.sql.execution.arrow.pyspark.enabled"
+    previous = spark.conf.get(key, "false")
+    try:
+        pdf = pd.DataFrame([tuple(r) for r in rows], columns=schema.fieldNames(), dtype=object)
+        spark.conf.set(key, "true")
+        return spark.createDataFrame(pdf, schema)
+    except Exception:  # noqa: BLE001 - fall back to the row path
+        return spark.createDataFrame(rows, schema)
+    finally:
+        spark.conf.set(key, previous)
+
+
 def kth_hash_per_group(df: DataFrame, hash_col: str, group_cols: list[str],
                        k: DataFrame) -> DataFrame:
     """For each group in ``k`` (columns ``group_cols + ["__k"]``, 1-based), the
