@@ -72,21 +72,39 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def ensure_parallelism(df, by: str | None = None):
-    """Spread an under-partitioned frame over the cluster's default parallelism.
-
-    Only fires when the frame has fewer partitions than
-    ``defaultParallelism`` (e.g. one small file feeding an iterative
-    learner); a large input already split into many partitions is left
-    alone, so no shuffle is added at scale. ``by`` names a uniformly
-    distributed column (a hash) to partition on, which is deterministic
-    without the sort a round-robin repartition needs.
+    """Spread a small input over the cluster's default parallelism.
+
+    Decided at planning time from the optimizer's size estimate (no job
+    runs): when the whole input is no larger than ``defaultParallelism``
+    file splits (``spark.sql.files.maxPartitionBytes`` each) it may sit in
+    a few partitions (e.g. one small file feeding an iterative learner), so
+    it is repartitioned — a cheap shuffle of little data. Larger inputs are
+    already split by the scan and are left alone, so no shuffle is added at
+    scale. ``by`` names a uniformly distributed column (a hash) to
+    partition on, which is deterministic without the sort a round-robin
+    repartition needs.
     """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    spark = df.sparkSession
+    target = spark.sparkContext.defaultParallelism
+    split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "128m"))
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - no estimate: leave the frame as it is
+        return df
+    if size <= target * split:
         return df.repartition(target, by) if by else df.repartition(target)
     return df
 
 
+def _bytes(text: str) -> int:
+    """``"128m"`` / ``"128mb"`` / ``"134217728"`` → bytes."""
+    t = str(text).strip().lower().removesuffix("b")
+    mult = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+    if t and t[-1] in mult:
+        return int(float(t[:-1]) * mult[t[-1]])
+    return int(float(t))
+
+
 def local_path(path: str) -> str:
     """Strip a ``file:`` scheme so driver-side code can open a local path."""
     if path.startswith("file://"):

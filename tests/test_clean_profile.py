@@ -140,3 +140,17 @@ def test_top_values_labels(spark):
     assert got == {"a": 2, "<EMPTY>": 2, "<NA>": 1}
     cats = {r.value: r["count"] for r in profile.top_categories(df, "v").collect()}
     assert cats == {" a ": 1, "a": 1, "<NULL>": 1, "": 2}
+
+
+def test_ensure_parallelism_small_and_large(spark):
+    from tablewright.session import _bytes, ensure_parallelism
+    small = spark.range(0, 1000, 1, 1)
+    spread = ensure_parallelism(small)
+    assert spread.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert _bytes("134217728b") == _bytes("128m") == 134217728
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        big = spark.range(0, 1_000_000, 1, 1)          # estimate far above 8 × 1 KB
+        assert ensure_parallelism(big).rdd.getNumPartitions() == 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "128m")
