@@ -120,8 +120,8 @@ def _sketch(surveyed: DataFrame, bits: int) -> np.ndarray:
                  "counts": pa.array([x.tobytes() for x in sums.values()], pa.binary())})
 
     parts = surveyed.where("slice is not null").select("slice", "counts")
-    parts = (parts.repartition(8 * SLICES, "slice", F.hash("counts")).mapInArrow(added, parts.schema)
-             .repartition(SLICES, "slice").mapInArrow(added, parts.schema))
+    parts = (parts.repartition("slice", F.pmod(F.hash("counts"), F.lit(SLICES))).mapInArrow(added, parts.schema)
+             .repartition("slice").mapInArrow(added, parts.schema))
     table = np.zeros((SLICES, (1 << bits) // SLICES), np.uint32)
     for r in parts.toLocalIterator():
         table[r["slice"]] = np.frombuffer(bytes(r["counts"]), np.uint32)
