@@ -17,7 +17,9 @@ one class, so copies are never compared. The join:
    block by block, with blocks of bounded size dealt to different tasks. So a
    group of thousands of near copies is not expanded into all pairs.
 4. Bit counts of hashed bitmap signatures bound each pair's overlap from
-   above; survivors get the exact intersection of their sorted shingle hashes.
+   above: a short signature inside the tile, then, once per pair, a wide one
+   that grows with the set. Survivors get the exact intersection of their
+   sorted shingle hashes.
 
 The result is connected components over all links; a pair that is skipped was
 already connected. Words: A-Z lower-cased, `[^\x20\x09-\x0D]+`. Shingles and
@@ -48,7 +50,10 @@ SKETCH_BITS = 20
 SLICES = 64
 #: Classes of one block of a tile.
 BLOCK = 2048
-SIGNATURE_BITS = 1024
+#: Bits of the short signature that travels with every posting, and bits per
+#: shingle of the wide one that a pair needs after it (rounded up to a power).
+SHORT_BITS = 256
+WIDE_BITS_PER_SHINGLE = 4
 
 
 def shingle_sets(batch_text, shingle: int = SHINGLE):
@@ -140,11 +145,17 @@ def prefix_tokens(s: np.ndarray, sketch: np.ndarray, percent: int) -> np.ndarray
     return np.partition(tokens, size - 1)[:size] if size < n else tokens
 
 
-def signature(s: np.ndarray, bits: int = SIGNATURE_BITS) -> np.ndarray:
-    out = np.zeros(bits // 8, np.uint8)
-    at = mix(s) & np.uint64(bits - 1)
-    np.bitwise_or.at(out, (at >> np.uint64(3)).astype(np.int64), (1 << (at & np.uint64(7))).astype(np.uint8))
-    return out
+def signature(s: np.ndarray) -> np.ndarray:
+    """Hashed bitmap of a set: a power of two of bits, at least SHORT_BITS."""
+    bits = max(SHORT_BITS, 1 << int(WIDE_BITS_PER_SHINGLE * len(s) - 1).bit_length())
+    flags = np.zeros(bits, np.uint8)
+    flags[(mix(s) & np.uint64(bits - 1)).astype(np.int64)] = 1
+    return np.packbits(flags, bitorder="little")
+
+
+def fold(sig: np.ndarray, size: int) -> np.ndarray:
+    """The signature that ``size`` bytes would have held."""
+    return np.bitwise_or.reduce(sig.reshape(-1, size), axis=0)
 
 
 def _each_class(text_column, shingle: int, seen: set):
@@ -180,16 +191,15 @@ def _shared_tokens(docs: DataFrame, text: str, shingle: int, sketch, percent: in
 
 
 def _candidate_classes(docs: DataFrame, text: str, shingle: int, sketch, table, percent: int) -> DataFrame:
-    """Classes with a shared prefix token: ``(class, n, tokens, sig, shingles)``."""
+    """Classes with a shared prefix token: ``(class, n, tokens, sig, wide, shingles)``."""
     def listed(batches):
         seen: set[int] = set()
 
         def flush(rows):
             return pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
-                 pa.array([r[2] for r in rows], pa.list_(pa.int64())),
-                 pa.array([r[3] for r in rows], pa.binary()), pa.array([r[4] for r in rows], pa.binary())],
-                names=["class", "n", "tokens", "sig", "shingles"])
+                [pa.array(c, k) for c, k in zip(zip(*rows), [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(),
+                                                             pa.binary(), pa.binary()])],
+                names=["class", "n", "tokens", "sig", "wide", "shingles"])
 
         for b in batches:
             rows, size = [], 0
@@ -197,7 +207,9 @@ def _candidate_classes(docs: DataFrame, text: str, shingle: int, sketch, table,
                 t = np.unique(prefix_tokens(s, sketch.value, percent))
                 t = t[passes(table.value, t)]
                 if len(t):
-                    rows.append((c, len(s), t.view(np.int64), signature(s).tobytes(), s.tobytes()))
+                    wide = signature(s)
+                    rows.append((c, len(s), t.view(np.int64), fold(wide, SHORT_BITS // 8).tobytes(), wide.tobytes(),
+                                 s.tobytes()))
                     size += len(s)
                     if size > 500_000:
                         yield flush(rows)
@@ -206,7 +218,8 @@ def _candidate_classes(docs: DataFrame, text: str, shingle: int, sketch, table,
                 yield flush(rows)
 
     return (docs.select(F.col(text))
-            .mapInArrow(listed, "class long, n long, tokens array<long>, sig binary, shingles binary"))
+            .mapInArrow(listed, "class long, n long, tokens array<long>, sig binary, wide binary, "
+                                "shingles binary"))
 
 
 def overlap_bound(na, nb, sa: np.ndarray, sb: np.ndarray):
@@ -220,14 +233,17 @@ def enough(overlap, na, nb, percent: int):
     return 100 * overlap >= percent * (na + nb - overlap)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` that link: signatures first, then sorted arrays."""
+def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` that link: signatures first, then sorted arrays.
+    ``classes`` has a row per class, ``sets`` the arrays, copies included."""
     def bounded(batches):
         for b in batches:
-            na, nb = (b.column(i).to_numpy() for i in (2, 3))
-            sa, sb = (raw_rows(b.column(i)) for i in (4, 5))
-            ok = enough(overlap_bound(na, nb, sa, sb), na, nb, percent)
-            yield b.filter(pa.array(ok)).select([0, 1])
+            ok = []
+            for na, nb, x, y in zip(*(b.column(i).to_pylist() for i in (2, 3, 4, 5))):
+                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+                size = min(len(x), len(y))
+                ok.append(bool(enough(overlap_bound(na, nb, fold(x, size), fold(y, size)), na, nb, percent)))
+            yield b.filter(pa.array(ok, pa.bool_())).select([0, 1])
 
     def exact(batches):
         for b in batches:
@@ -240,24 +256,27 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(enough(same, len(x), len(y), percent))
             yield b.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
-    small = sets.select("class", "n", "sig")
-    a, b = ({c: f"{c}_{k}" for c in ("n", "sig", "shingles")} for k in "ab")
+    def wanted(batches):
+        for b in batches:
+            h = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            yield b.filter(pa.array(passes(table.value, h)))
+
+    small = classes.select("class", "n", "wide")
+    a, b = ({c: f"{c}_{k}" for c in ("n", "wide", "shingles")} for k in "ab")
     near = (pairs.join(small.withColumnsRenamed(a).withColumnRenamed("class", "a"), "a")
             .join(small.withColumnsRenamed(b).withColumnRenamed("class", "b"), "b")
-            .select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(bounded, "a long, b long"))
+            .select("a", "b", "n_a", "n_b", "wide_a", "wide_b").mapInArrow(bounded, "a long, b long"))
     near = written(near, "jaccard-near")
+    # Only the sets of pairs that passed the bound are moved.
+    ends = near.selectExpr("explode(array(a, b)) as class").distinct()
+    table = pairs.sparkSession.sparkContext.broadcast(token_filter(ends, "class"))
     whole = sets.select("class", "shingles")
+    whole = written(whole.mapInArrow(wanted, whole.schema).dropDuplicates(["class"]), "jaccard-whole")
     return (near.join(whole.withColumnsRenamed(a).withColumnRenamed("class", "a"), "a")
             .join(whole.withColumnsRenamed(b).withColumnRenamed("class", "b"), "b")
             .select("a", "b", "shingles_a", "shingles_b").mapInArrow(exact, "a long, b long"))
 
 
-def raw_rows(column) -> np.ndarray:
-    """Fixed-size binary values as one row of bytes each."""
-    values = b"".join(x.as_py() for x in column)
-    return np.frombuffer(values, np.uint8).reshape(len(column), -1) if len(column) else np.zeros((0, 1), np.uint8)
-
-
 def _across_groups(tiles: DataFrame, percent: int) -> DataFrame:
     """Pairs of a tile's block pair that stand in different groups and whose
     bounds allow a link. ``tiles`` is sorted by tile; a tile's blocks are
@@ -336,13 +355,12 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     sketch = sc.broadcast(_sketch(surveyed, sketch_bits))
     shared = written(_shared_tokens(docs, text, shingle, sketch, percent), "jaccard-tokens")
     table = sc.broadcast(token_filter(shared, "token"))
-    copies = _candidate_classes(docs, text, shingle, sketch, table, percent)
-    sets = written(copies, "jaccard-sets").dropDuplicates(["class"])
-    sets = written(sets, "jaccard-classes")
+    sets = written(_candidate_classes(docs, text, shingle, sketch, table, percent), "jaccard-sets")
+    classes = written(sets.select("class", "n", "tokens", "sig", "wide").dropDuplicates(["class"]), "jaccard-classes")
 
     # Tiles: a class is at home in its own size band and a guest in the next.
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
-    posts = (sets.select("class", "n", F.explode("tokens").alias("token")).join(shared, "token")
+    posts = (classes.select("class", "n", F.explode("tokens").alias("token")).join(shared, "token")
              .select("token", "class", "n", band.alias("own"))
              .select("token", "class", "n", F.explode(F.expr(
                  "array(struct(own as band, true as home), struct(own + 1 as band, false as home))")).alias("t"))
@@ -352,7 +370,7 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     heads = heads.where("head < last").select("token", "band", "head")
     first = posts.join(written(heads, "jaccard-heads"), ["token", "band"]).where("class != head").select(
         F.col("head").alias("a"), F.col("class").alias("b")).distinct()
-    links = written(_verified(first, sets, percent), "jaccard-links")
+    links = written(_verified(first, classes, sets, percent), "jaccard-links")
 
     merged = written(components(links), "jaccard-groups")
     grouped = posts.join(merged, posts["class"] == merged["node"], "left").select(
@@ -367,10 +385,10 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     dealt = (grouped.join(open_tiles, ["token", "band"])
              .withColumn("block", F.expr("cast(pmod(xxhash64(class), blocks) as int)"))
              .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-             .join(sets.select("class", "sig"), "class")
+             .join(classes.select("class", "sig"), "class")
              .select("token", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
                      "class", "group", "n", "home", "block", "sig"))
-    more = written(_verified(written(_across_groups(dealt, percent), "jaccard-pairs"), sets, percent),
+    more = written(_verified(written(_across_groups(dealt, percent), "jaccard-pairs"), classes, sets, percent),
                    "jaccard-more")
     links = links.unionByName(more)
 
