@@ -6,8 +6,10 @@ language go; of equal texts one stays; of near copies (linked by Jaccard
 similarity of word shingles) one stays; documents with benchmark passages go;
 the rest is mixed to the sources' target weights.
 
-From the near-copy stage on a ``doc_id`` names a document: rows that share
-one go together. Null ids are kept and matched null-safely.
+A document is known by its id and a hash of its text, so rows of one id with
+different texts, and rows without an id, are documents of their own; rows
+equal in both are one document (exact dedup keeps one of them, the other
+stages keep or drop them together).
 """
 
 from __future__ import annotations
@@ -21,11 +23,16 @@ from tablewright.llm.store import read, written
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+#: Whole key of a document; a missing id sorts last.
+KEY = "struct(doc_id is null as nameless, doc_id, xxhash64(text) as text_hash)"
+
+
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is not in ``gone`` (one column). The ids
+    """The rows of ``docs`` whose KEY is not in ``gone`` (one column). The keys
     are a written table, so Spark knows their size when it picks the join."""
-    gone = written(gone.toDF("gone_id").distinct(), "gone")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
+    gone = written(gone.toDF("gone").distinct(), "gone")
+    keyed = docs.withColumn("document_key", F.expr(KEY))
+    return keyed.join(gone, keyed["document_key"] == gone["gone"], "left_anti").select(*docs.columns)
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,14 +65,14 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked near copies stays (the smallest id)."""
-    members, _ = jaccard_join.jaccard_join(docs)
-    return _without(docs, members.where("doc_id > component_id or (doc_id is null and component_id is not null)")
-                    .select("doc_id"))
+    members, _ = jaccard_join.jaccard_join(docs.select(F.expr(KEY).alias("doc_id"), "text"))
+    return _without(docs, members.where("doc_id != component_id").select("doc_id"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with passages of the benchmark go."""
-    found = decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark"))
+    keyed = docs.select(F.expr(KEY).alias("doc_id"), "text")
+    found = decontaminate.decontaminate(keyed, read(spark, sf_dir, "benchmark"))
     return _without(docs, found.where("contaminated").select("doc_id"))
 
 
