@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import require_columns
-from .select import materialize_small
+from .select import cut_lineage
 
 
 def classification_metrics(df: DataFrame, truth: str, prediction: str) -> DataFrame:
@@ -27,7 +27,7 @@ def classification_metrics(df: DataFrame, truth: str, prediction: str) -> DataFr
                       F.col(f"`{prediction}`").cast("string").alias("p"))
     # classes² rows at most: brought back once so the three uses below do not
     # re-run the (possibly expensive) scoring plan
-    conf = materialize_small(pairs.groupBy("y", "p").count())
+    conf = cut_lineage(pairs.groupBy("y", "p").count())
     support = conf.groupBy(F.col("y").alias("c")).agg(F.sum("count").alias("support"))
     predicted = conf.groupBy(F.col("p").alias("c")).agg(F.sum("count").alias("predicted"))
     hits = conf.where(F.col("y").eqNullSafe(F.col("p"))).select(

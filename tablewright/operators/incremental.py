@@ -1,20 +1,23 @@
 """Incremental linear models trained by one stochastic-gradient pass.
 
-A ``partial_fit``-style call makes one pass over the new rows. On Spark the
-pass is split by partition (parameter averaging, Zinkevich et al. 2010):
-
-1. the current weights (classes × features — small) travel with the task;
-2. ``mapInPandas`` runs plain per-row SGD over each partition's rows, in
-   Arrow batches, and emits one row: the partition's weights and its row
-   count;
-3. the per-partition weights are averaged, weighted by row count (one row
-   per partition reaches the driver).
+A ``partial_fit``-style call makes one pass over the new rows, split into
+shards (parameter averaging, Zinkevich et al. 2010):
+
+1. every row goes to a shard by a hash of its content; there is one shard per
+   ``SHARD_ROWS`` rows, so shards depend on the rows alone, not on files,
+   partitions or the cluster;
+2. a task runs its shards' rows in hash order through mini-batch SGD (vectorised
+   over ``BATCH`` rows) from the current weights and emits one weight vector and
+   one row count per shard;
+3. the shards' vectors are averaged on the executors, weighted by rows
+   (``Summarizer``, combined before the shuffle); one row comes back.
 
 Losses follow the usual defaults: hinge for classes (one-vs-all beyond two
 classes, step size ``1 / (alpha (t0 + t))``), squared error for regression
-(step ``eta0 / t^0.25``); L2 penalty ``alpha``. Averaged parallel SGD is not
-the same sequence as one sequential pass; the result is deterministic for
-a fixed partitioning. Prediction is a JVM-side dot product (no Python).
+(step ``eta0 / t^0.25``); L2 penalty ``alpha``. A batch's step is damped by its
+rows' squared length, which keeps it stable at any number of features. The
+result is that of neither one sequential pass nor another shard size; it is
+the same for the same rows. Prediction is a JVM-side dot product (no Python).
 """
 
 from __future__ import annotations
@@ -24,14 +27,18 @@ import math
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.functions import vector_to_array
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_ALPHA = 1e-4
 DEFAULT_ETA0 = 0.01
 DEFAULT_POWER_T = 0.25
+#: Rows of a shard (about), and of a vectorised step.
+SHARD_ROWS = 20_000
+BATCH = 16
 
 
 @dataclass
@@ -68,73 +75,105 @@ def _optimal_init(alpha: float) -> float:
     return 1.0 / (eta0 * alpha)
 
 
-def _partition_pass(state: dict):
-    """Executor-side pass: plain SGD over the partition's rows, in order."""
-    classification = state["task_type"] == "classification"
-    classes = state["classes"]
-    alpha, eta0, power_t = state["alpha"], state["eta0"], state["power_t"]
-    t0 = _optimal_init(alpha) if classification else 0.0
+class _Pass:
+    """SGD over one shard's rows, from the state's weights."""
+
+    def __init__(self, state: dict):
+        self.classification = state["task_type"] == "classification"
+        self.classes = state["classes"]
+        self.alpha, self.eta0, self.power_t = state["alpha"], state["eta0"], state["power_t"]
+        self.t0 = _optimal_init(self.alpha) if self.classification else 0.0
+        self.coef = np.array(state["coef"], dtype=float)
+        self.bias = np.array(state["intercept"], dtype=float)
+        self.t, self.n = float(state["t"]), 0
+
+    def targets(self, ys) -> np.ndarray:
+        if not self.classification:
+            return np.asarray(ys, dtype=float)[:, None]
+        ys = np.asarray(ys, dtype=object)
+        known = np.array(self.classes, dtype=object)
+        if len(self.coef) == 1:
+            return np.where(ys == known[-1], 1.0, -1.0)[:, None]
+        return np.where(ys[:, None] == known[None, :], 1.0, -1.0)
+
+    def step(self, x: np.ndarray, y: np.ndarray) -> None:
+        for at in range(0, len(x), BATCH):
+            xb, yb = x[at:at + BATCH], y[at:at + BATCH]
+            p = xb @ self.coef.T + self.bias
+            if self.classification:
+                eta = 1.0 / (self.alpha * (self.t0 + self.t - 1.0))
+                loss = np.where(p * yb <= 1.0, -yb, 0.0)
+            else:
+                eta = self.eta0 / math.pow(self.t, self.power_t)
+                loss = p - yb
+            m = len(xb)
+            rate = eta / (1.0 + eta * ((xb * xb).sum() + m))
+            self.coef *= max(0.0, 1.0 - rate * self.alpha * m)
+            self.coef -= rate * loss.T @ xb
+            self.bias -= rate * loss.sum(axis=0)
+            self.t += m
+            self.n += m
+
+
+def _shard_pass(state: dict):
+    """Executor-side: shards arrive one after another, each in hash order."""
+    def row(shard, at: _Pass, unseen):
+        flat = np.concatenate([at.coef.ravel(), at.bias, [at.t]]).tolist()
+        return pa.RecordBatch.from_pydict({"weights": pa.array([flat], pa.list_(pa.float64())),
+                                           "n": pa.array([at.n], pa.int64()), "unseen": pa.array([unseen], pa.string())})
 
     def run(batches):
-        coef = np.array(state["coef"], dtype=float)
-        bias = np.array(state["intercept"], dtype=float)
-        t = float(state["t"])
-        n = 0
-        k = coef.shape[0]
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            X = np.vstack(pdf["__x"].to_numpy()).astype(float)
-            ys = pdf["__y"].to_numpy()
-            if classification:
-                if k == 1:
-                    Y = np.where(ys == classes[1], 1.0, -1.0)[:, None]
-                else:
-                    Y = np.where(ys[:, None] == np.array(classes)[None, :], 1.0, -1.0)
-            else:
-                Y = ys.astype(float)[:, None]
-            for i in range(X.shape[0]):
-                x = X[i]
-                p = coef @ x + bias
-                if classification:
-                    eta = 1.0 / (alpha * (t0 + t - 1.0))
-                    dloss = np.where(p * Y[i] <= 1.0, -Y[i], 0.0)
-                else:
-                    eta = eta0 / math.pow(t, power_t)
-                    dloss = p - Y[i]
-                update = -eta * dloss
-                coef *= max(0.0, 1.0 - eta * alpha)
-                coef += np.outer(update, x)
-                bias += update
-                t += 1.0
-            n += X.shape[0]
-        yield pd.DataFrame({"coef": [coef.ravel().tolist()], "intercept": [bias.tolist()],
-                            "n": [n], "t": [t]})
+        known = set(state["classes"] or [])
+        current, at, unseen = None, None, None
+        for b in batches:
+            shards = b.column(0).to_numpy()
+            edges = np.flatnonzero(np.diff(shards)) + 1
+            for lo, hi in zip([0, *edges], [*edges, len(shards)]):
+                if hi == lo:
+                    continue
+                if shards[lo] != current:
+                    if at is not None:
+                        yield row(current, at, unseen)
+                    current, at, unseen = shards[lo], _Pass(state), None
+                part = b.column(1).slice(lo, hi - lo)
+                x = part.flatten().to_numpy(zero_copy_only=False).reshape(hi - lo, -1)
+                ys = b.column(2).slice(lo, hi - lo).to_pylist()
+                if at.classification:
+                    strange = set(ys) - known | ({unseen} if unseen is not None else set())
+                    unseen = min(strange) if strange else None
+                at.step(x, at.targets(ys))
+        if at is not None:
+            yield row(current, at, unseen)
     return run
 
 
 def sgd_pass(state: SGDState, data: DataFrame, features_col: str = "features",
-             label_col: str = "__label") -> SGDState:
-    """One averaged SGD pass over ``data`` (vector features, raw label)."""
-    rows = data.select(vector_to_array(F.col(features_col)).alias("__x"),
+             label_col: str = "__label", shard_rows: int = SHARD_ROWS, by=None) -> SGDState:
+    """One averaged SGD pass over ``data`` (vector features, raw label). ``by``
+    names the raw columns whose hash deals and orders the rows (default: the
+    vector and the label)."""
+    rows = data.select(vector_to_array(F.col(features_col)).alias("x"),
                        F.col(label_col).cast("string" if state.task_type == "classification" else "double")
-                       .alias("__y"))
-    if state.task_type == "classification":
-        unseen = rows.where(~F.col("__y").isin(state.classes)).limit(1).collect()
-        if unseen:
-            raise ValueError(f"Label {unseen[0]['__y']!r} was not seen in the first fit.")
-    parts = rows.mapInPandas(_partition_pass(asdict(state)),
-                             "coef array<double>, intercept array<double>, n long, t double").collect()
-    parts = [p for p in parts if p["n"] > 0]
-    if not parts:
+                       .alias("y"), *([F.xxhash64(*[F.col(f"`{c}`") for c in by]).alias("h")] if by else []))
+    if not by:
+        rows = rows.withColumn("h", F.xxhash64("x", "y"))
+    total = data.count()
+    if not total:
         return state
-    total = sum(p["n"] for p in parts)
-    shape = np.array(state.coef).shape
-    coef = sum(np.array(p["coef"]).reshape(shape) * p["n"] for p in parts) / total
-    bias = sum(np.array(p["intercept"]) * p["n"] for p in parts) / total
-    t = sum(p["t"] * p["n"] for p in parts) / total
-    return SGDState(state.task_type, state.classes, coef.tolist(), bias.tolist(), t,
-                    state.alpha, state.eta0, state.power_t, state.n_seen + total,
+    shards = math.ceil(total / shard_rows)
+    dealt = rows.select(F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard"), "x", "y", "h")
+    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "h", "y").select("shard", "x", "y")
+    parts = dealt.mapInArrow(_shard_pass(asdict(state)), "weights array<double>, n long, unseen string")
+    out = parts.agg(
+        Summarizer.mean(array_to_vector("weights"), F.col("n").cast("double")).alias("mean"),
+        F.sum("n").alias("n"), F.min("unseen").alias("unseen"))
+    got = out.first()
+    if got["unseen"] is not None:
+        raise ValueError(f"The label {got['unseen']!r} did not occur when the model was first fitted.")
+    mean = got["mean"].toArray()
+    k, d = np.array(state.coef).shape
+    return SGDState(state.task_type, state.classes, mean[:k * d].reshape(k, d).tolist(), mean[k * d:k * d + k].tolist(),
+                    float(mean[-1]), state.alpha, state.eta0, state.power_t, state.n_seen + got["n"],
                     state.passes + 1, dict(state.extra))
 
 

@@ -3,10 +3,9 @@ onto ``pyspark.ml``.
 
 Parameter names follow the names users of the registry already know
 (``n_estimators``, ``max_depth``, ``learning_rate``, ``C``, ``alpha``,
-``max_iter``) and are translated here. The two kernel-SVM entries are
-linear approximations (MLlib has no kernel SVM); ``rff_components`` adds
-random Fourier features (Rahimi & Recht, 2007) to approximate the RBF
-kernel.
+``max_iter``) and are translated here; a name that a model does not take is
+an error. The two kernel-SVM entries are linear approximations (MLlib has no
+kernel SVM).
 """
 
 from __future__ import annotations
@@ -26,6 +25,13 @@ REGRESSORS = ("RandomForestRegressor", "GradientBoostingRegressor", "SVR", "SGDR
 INCREMENTAL = ("SGDClassifier", "SGDRegressor")
 SEED = 42
 SPARK_MAX_DEPTH = 30
+# The parameters each model takes.
+PARAMETERS = {
+    "RandomForestClassifier": ("n_estimators", "max_depth"), "RandomForestRegressor": ("n_estimators", "max_depth"),
+    "GradientBoostingClassifier": ("n_estimators", "learning_rate"),
+    "GradientBoostingRegressor": ("n_estimators", "learning_rate"), "LogisticRegression": ("C",),
+    "SVC": ("C", "max_iter"), "SVR": ("C",), "SGDClassifier": ("alpha", "max_iter"), "SGDRegressor": ("alpha", "max_iter"),
+}
 
 
 def model_options(task_type: str) -> list[str]:
@@ -36,6 +42,15 @@ def is_incremental(model_name: str) -> bool:
     return model_name in INCREMENTAL
 
 
+def check_parameters(model_name: str, params: dict | None) -> dict:
+    """A copy of ``params``, refused if the model does not take one of them."""
+    params = dict(params or {})
+    strange = sorted(set(params) - set(PARAMETERS[model_name]))
+    if strange:
+        raise ValueError(f"{model_name} takes {', '.join(PARAMETERS[model_name])}, not {', '.join(strange)}.")
+    return params
+
+
 def _depth(params: dict) -> int:
     depth = params.get("max_depth")
     if depth in (None, 0):
@@ -62,16 +77,17 @@ def _ovr(n_classes: int) -> int:
 def build_estimator(model_name: str, task_type: str, params: dict | None, n_train: int,
                     n_classes: int = 2, features_col: str = "features", label_col: str = "label"):
     """The MLlib estimator for a registry name (non-incremental models)."""
-    params = dict(params or {})
     names = CLASSIFIERS if task_type == "classification" else REGRESSORS
     if model_name not in names:
-        raise ValueError(f"Model {model_name} is not available for {task_type}.")
+        raise ValueError(f"No {task_type} model is called {model_name!r}; there are {', '.join(names)}.")
+    params = check_parameters(model_name, params)
     common = {"featuresCol": features_col, "labelCol": label_col}
     trees = int(params.get("n_estimators", 100))
     if model_name == "RandomForestClassifier":
         return RandomForestClassifier(numTrees=trees, maxDepth=_depth(params), seed=SEED, **common)
     if model_name == "RandomForestRegressor":
-        return RandomForestRegressor(numTrees=trees, maxDepth=_depth(params), seed=SEED, **common)
+        return RandomForestRegressor(numTrees=trees, maxDepth=_depth(params), featureSubsetStrategy="all",
+                                     seed=SEED, **common)
     if model_name == "GradientBoostingClassifier":
         gbt = GBTClassifier(maxIter=trees, stepSize=_step(params), maxDepth=3, seed=SEED, **common)
         return gbt if n_classes <= 2 else OneVsRest(classifier=gbt, parallelism=_ovr(n_classes), **common)
@@ -87,4 +103,4 @@ def build_estimator(model_name: str, task_type: str, params: dict | None, n_trai
     if model_name == "SVR":
         return LinearRegression(loss="huber", regParam=reg, elasticNetParam=0.0,
                                 standardization=False, **common)
-    raise ValueError(f"{model_name} is trained incrementally; use the incremental trainer.")
+    raise ValueError(f"{model_name} learns incrementally and has no one-shot estimator.")

@@ -20,15 +20,16 @@ one task.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import require_columns
 from ..session import ensure_checkpoint_dir
 
-# Deleting up to this many rows broadcasts their keys (size known from the
-# spec before the job); more go through a shuffled anti-join.
-BROADCAST_DELETE_ROWS = 1_000_000
+_SPEC = re.compile(r"\s*(?:\d+\s*(?:-\s*\d+\s*)?)?(?:,\s*(?:\d+\s*(?:-\s*\d+\s*)?)?)*")
+_ITEM = re.compile(r"(\d+)\s*(?:-\s*(\d+))?")
 
 
 def parse_row_spec(spec: str) -> list[tuple[int, int]]:
@@ -37,29 +38,25 @@ def parse_row_spec(spec: str) -> list[tuple[int, int]]:
     Blank items are skipped, repeats collapse; an empty spec, ``end <
     start`` or a non-number (a negative number included) is an error.
     """
-    ranges = []
-    for raw in (spec or "").split(","):
-        part = raw.strip()
-        if not part:
-            continue
-        if "-" in part:
-            a, b = part.split("-", 1)
-            start, end = int(a.strip()), int(b.strip())
-            if end < start:
-                raise ValueError(f"Invalid range: {part}")
-            ranges.append((start, end))
-        else:
-            ranges.append((int(part), int(part)))
-    if not ranges:
-        raise ValueError("Please provide at least one row index.")
-    ranges.sort()
-    merged = [ranges[0]]
-    for a, b in ranges[1:]:
-        la, lb = merged[-1]
-        if a <= lb + 1:
-            merged[-1] = (la, max(lb, b))
-        else:
-            merged.append((a, b))
+    if not _SPEC.fullmatch(spec or ""):
+        raise ValueError(f"Row positions must be numbers and ranges such as '0, 3, 5-8', not {spec!r}.")
+    steps: dict[int, int] = {}
+    for first, last in _ITEM.findall(spec or ""):
+        low, high = int(first), int(last or first)
+        if high < low:
+            raise ValueError(f"The row range {low}-{high} runs backwards.")
+        steps[low] = steps.get(low, 0) + 1
+        steps[high + 1] = steps.get(high + 1, 0) - 1
+    if not steps:
+        raise ValueError("No row position was given.")
+    # Covered stretches: from where the number of open items leaves zero to
+    # where it comes back to it.
+    merged, depth, begin = [], 0, 0
+    for at in sorted(steps):
+        begin = at if depth == 0 and steps[at] else begin
+        was, depth = depth, depth + steps[at]
+        if was and not depth:
+            merged.append((begin, at - 1))
     return merged
 
 
@@ -98,20 +95,23 @@ def row_positions(df: DataFrame, order_by, name: str = "position") -> tuple[Data
 def delete_rows(df: DataFrame, spec: str, order_by) -> DataFrame:
     """Drop the rows at the 0-based positions / inclusive ranges in ``spec``.
 
-    Positions beyond the last row are an error naming the first of them.
+    Positions beyond the last row are an error naming the first of them, and
+    so are rows that share a key, since a position would not name one of them.
     """
     ranges = parse_row_spec(spec)
     cols = [order_by] if isinstance(order_by, str) else list(order_by)
     positioned, n = row_positions(df, cols, "__pos")
     for a, b in ranges:
         if b >= n:
-            raise ValueError(f"Row index out of range: {max(a, n)}")
+            raise ValueError(f"There is no row {max(a, n)}: positions end at {n - 1}.")
     hit = F.lit(False)
     for a, b in ranges:
         hit = hit | F.col("__pos").between(a, b)
-    doomed = positioned.where(hit).select(*[F.col(f"`{c}`") for c in cols])
-    if sum(b - a + 1 for a, b in ranges) <= BROADCAST_DELETE_ROWS:
-        doomed = F.broadcast(doomed)
+    keys = [F.col(f"`{c}`") for c in cols]
+    twice = positioned.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.max(hit).alias("__hit"))
+    if not twice.where("__n > 1 and __hit").isEmpty():
+        raise ValueError(f"Rows to delete share their key {cols}; order by columns that tell all rows apart.")
+    doomed = positioned.where(hit).select(*keys)
     cond = None
     for c in cols:
         term = df[f"`{c}`"].eqNullSafe(doomed[f"`{c}`"])

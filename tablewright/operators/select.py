@@ -1,225 +1,150 @@
 """Exact order statistics without sorting everything or gathering a group.
 
-Two building blocks:
-
 * :func:`kth_hash_per_group` — for every group, the k-th smallest of a
-  32-character hex hash (used by the seeded hold-out and stratified
-  splits). It narrows the answer one 3-hex-digit prefix at a time: count
-  rows per ``(group, next prefix)`` (at most 4,096 buckets per group,
-  map-side combined), find the bucket that holds rank k with a running sum
-  over those buckets, keep only that bucket's rows, repeat until the
-  bucket holds at most a million rows (one round up to ~4·10^9 rows per
-  group, two up to ~10^13); the last round ranks the survivors exactly. No task ever holds a whole group, however
-  skewed the groups are.
-* :func:`exact_order_stats` / :func:`exact_medians` — k-th smallest
-  numbers of several columns at once: equal-width histograms (1,024 bins,
-  one small grouped aggregate per round for all columns together) narrow
-  each value range around its rank until the remaining candidates are few
-  enough to bring back, or all equal (a hot value ends the search at once).
+  32-character hex hash (used by the seeded hold-out and stratified splits). It
+  narrows the answer one 3-hex-digit prefix at a time: count rows per
+  ``(group, next prefix)`` (at most 4,096 buckets per group, combined before the
+  shuffle), find the bucket that holds rank k with a running sum over those
+  buckets, keep only that bucket, until it holds a single hash. No task ever
+  holds a whole group, however skewed the groups are, and the state per group is
+  a table in the shared folder, whatever the number of groups.
+* :func:`numbered` — positions among rows that tie.
+* :func:`exact_medians` — exact medians of several columns at once. Approximate
+  percentiles bracket each rank, the next job counts what lies below and inside
+  the brackets, and the brackets shrink to one value: a few jobs of one output
+  row, whatever the number of rows and columns.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
 PREFIX_DIGITS = 3          # hex digits per narrowing round (4,096 buckets)
-FINAL_CANDIDATES = 1_000_000  # rank the rest exactly once a bucket is this small
-HIST_BINS = 1024
-COLLECT_LIMIT = 20_000
-
-
-MAX_DRIVER_GROUPS = 10_000  # per-group state up to this size is held as a local frame
+ACCURACY = 10_000          # of approximate percentiles: rank error below rows / ACCURACY
 
 
-def materialize_small(df: DataFrame, limit: int = MAX_DRIVER_GROUPS) -> DataFrame:
-    """Cut the lineage of a small per-group frame.
-
-    Up to ``limit`` rows are brought back and re-created as a small frame
-    marked for broadcast (its size is proven by the limit, so joins with a
-    large frame never shuffle the large side); a larger frame is written
-    to the shared checkpoint folder instead. Never a local checkpoint.
-    """
-    rows = df.limit(limit + 1).collect()
-    if len(rows) <= limit:
-        # at most ``limit`` rows: joins may broadcast it without a size estimate
-        return F.broadcast(local_frame(df.sparkSession, rows, df.schema))
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Keep a per-group frame in the shared checkpoint folder."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def local_frame(spark, rows, schema) -> DataFrame:
-    """A small frame held inside the plan (a local relation), so using it —
-    broadcasting it, aggregating it — needs no cluster job. Built through
-    Arrow from pandas; falls back to an ordinary frame if that path fails."""
-    key = "spark.sql.execution.arrow.pyspark.enabled"
-    previous = spark.conf.get(key, "false")
-    try:
-        pdf = pd.DataFrame([tuple(r) for r in rows], columns=schema.fieldNames(), dtype=object)
-        spark.conf.set(key, "true")
-        return spark.createDataFrame(pdf, schema)
-    except Exception:  # noqa: BLE001 - fall back to the row path
-        return spark.createDataFrame(rows, schema)
-    finally:
-        spark.conf.set(key, previous)
-
-
 def kth_hash_per_group(df: DataFrame, hash_col: str, group_cols: list[str],
                        k: DataFrame) -> DataFrame:
     """For each group in ``k`` (columns ``group_cols + ["__k"]``, 1-based), the
-    ``__k``-th smallest ``hash_col`` among that group's rows, as ``__thr``.
+    ``__k``-th smallest ``hash_col`` among that group's rows as ``__thr``, the
+    number of rows that have it as ``__ties``, and how many of them belong to
+    the first ``__k`` as ``__need``.
 
-    Groups with ``__k < 1`` or fewer than ``__k`` rows get no row. The
-    result is materialised (one row per group). Rows sharing a hash tie:
-    a split then takes all of them, so sizes are exact when the hashed
-    key identifies rows.
+    Groups with ``__k < 1`` or fewer than ``__k`` rows get no row.
     """
     rows = df.select(*group_cols, F.col(hash_col).alias("__h"))
-    state = materialize_small(k.where(F.col("__k") >= 1).select(
+    state = cut_lineage(k.where(F.col("__k") >= 1).select(
         *group_cols, F.lit("").alias("__prefix"), F.col("__k").alias("__rem")))
-    key = [F.col(c).eqNullSafe(F.col(f"__s_{c}")) for c in group_cols]
 
     def with_state(frame, st):
         st = st.select(*[F.col(c).alias(f"__s_{c}") for c in group_cols], "__prefix", "__rem")
-        cond = key[0]
-        for extra in key[1:]:
-            cond = cond & extra
+        cond = F.lit(True)
+        for c in group_cols:
+            cond = cond & F.col(c).eqNullSafe(F.col(f"__s_{c}"))
         return frame.join(st, cond).drop(*[f"__s_{c}" for c in group_cols])
 
     plen = 0
-    while plen + PREFIX_DIGITS <= 32:
-        cand = with_state(rows, state)
-        if plen:
-            cand = cand.where(F.substring("__h", 1, plen) == F.col("__prefix"))
-        bucket = F.substring("__h", plen + 1, PREFIX_DIGITS)
+    while plen < 32:
+        digits = min(PREFIX_DIGITS, 32 - plen)
+        cand = with_state(rows, state).where(F.substring("__h", 1, plen) == F.col("__prefix"))
+        bucket = F.substring("__h", plen + 1, digits)
         hist = cand.groupBy(*group_cols, "__prefix", "__rem", bucket.alias("__b")).agg(
             F.count(F.lit(1)).alias("count"), F.min("__h").alias("__lo"), F.max("__h").alias("__hi"))
         w = Window.partitionBy(*group_cols).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
         hist = hist.withColumn("__cum", F.sum("count").over(w))
         picked = hist.where((F.col("__cum") - F.col("count") < F.col("__rem"))
                             & (F.col("__cum") >= F.col("__rem")))
-        state = materialize_small(picked.select(
+        state = cut_lineage(picked.select(
             *group_cols, F.concat("__prefix", "__b").alias("__prefix"),
             (F.col("__rem") - (F.col("__cum") - F.col("count"))).alias("__rem"),
-            F.col("count").alias("__left"), (F.col("__lo") == F.col("__hi")).alias("__single")))
-        plen += PREFIX_DIGITS
-        # done when every chosen bucket is small, or holds copies of one hash
-        open_groups = state.where((F.col("__left") > F.lit(FINAL_CANDIDATES)) & ~F.col("__single"))
-        if open_groups.limit(1).count() == 0:
-            break
-    state = state.drop("__left", "__single")
-    cand = with_state(rows, state).where(F.substring("__h", 1, plen) == F.col("__prefix"))
-    # rank distinct hashes with their counts: copies of one hash never pile
-    # up in the window, they are one row with a count
-    distinct = cand.groupBy(*group_cols, "__rem", "__h").count()
-    w = Window.partitionBy(*group_cols).orderBy("__h").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = distinct.withColumn("__cum", F.sum("count").over(w))
-    hit = (F.col("__cum") - F.col("count") < F.col("__rem")) & (F.col("__cum") >= F.col("__rem"))
-    return materialize_small(ranked.where(hit).select(*group_cols, F.col("__h").alias("__thr")))
-
-
-def exact_order_stats(df: DataFrame, targets, first=None) -> dict:
-    """Exact k-th smallest values for several ``(column, k)`` pairs at once.
-
-    ``targets`` is a list of pairs, or a function of ``{column: n}`` giving
-    that list once the present-value counts are known (they come from the
-    first pass, which also finds min and max). Every round is one grouped
-    aggregate over all columns together (``(column, bin)`` → count, min,
-    max; at most 1,024 bins per target), so the number of jobs does not
-    grow with the number of columns.
-    """
-    cols = sorted({c for c, _ in targets}) if not callable(targets) else sorted(first)
-    stacked = df.select(F.explode(F.array(*[
-        F.struct(F.lit(i).alias("c"), F.col(f"`{c}`").cast("double").alias("x"))
-        for i, c in enumerate(cols)])).alias("s")).select("s.c", "s.x")
-    stacked = stacked.where(F.col("x").isNotNull() & ~F.isnan("x"))
-    stats = {r["c"]: r for r in stacked.groupBy("c").agg(
-        F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()}
-    if callable(targets):
-        targets = targets({c: (stats[i]["n"] if i in stats else 0) for i, c in enumerate(cols)})
-    # per target: [col index, k, lo, hi, below, count]
-    open_t, result = {}, {}
-    for c, k in targets:
-        i = cols.index(c)
-        r = stats.get(i)
-        if r is None or k < 1 or k > r["n"]:
-            result[(c, k)] = None
-        else:
-            open_t[(c, k)] = [i, k, r["lo"], r["hi"], 0, r["n"]]
-    for _ in range(64):
-        for t, (i, k, lo, hi, below, count) in list(open_t.items()):
-            if lo == hi:
-                result[t] = float(lo)
-                del open_t[t]
-        if not open_t:
+            F.col("count").alias("__ties"), "__lo", "__hi"))
+        plen += digits
+        if state.where(F.col("__lo") != F.col("__hi")).isEmpty():  # one hash in every bucket
             break
-        small = {t: v for t, v in open_t.items() if v[5] <= COLLECT_LIMIT}
-        if small:
-            cond = F.lit(False)
-            for i, k, lo, hi, below, count in small.values():
-                cond = cond | ((F.col("c") == i) & F.col("x").between(lo, hi))
-            got = {}
-            for r in stacked.where(cond).collect():
-                got.setdefault(r["c"], []).append(r["x"])
-            for t, (i, k, lo, hi, below, count) in small.items():
-                vals = sorted(v for v in got.get(i, []) if lo <= v <= hi)
-                result[t] = float(vals[k - below - 1])
-                del open_t[t]
-            continue
-        ranges = list(open_t.items())
-        cond, entries = F.lit(False), []
-        for n, (t, (i, k, lo, hi, below, count)) in enumerate(ranges):
-            sel = (F.col("c") == i) & F.col("x").between(lo, hi)
-            cond = cond | sel
-            width = (hi - lo) / HIST_BINS
-            b = F.least(F.floor((F.col("x") - F.lit(lo)) / F.lit(width)).cast("int"), F.lit(HIST_BINS - 1))
-            entries.append(F.when(sel, F.struct(F.lit(n).alias("t"), b.alias("b"))))
-        # a value can fall in the ranges of several targets (k and k+1 of one column)
-        hist = (stacked.where(cond).select(F.explode(F.array(*entries)).alias("e"), "x")
-                .where(F.col("e").isNotNull()).select("e.t", "e.b", "x")
-                .groupBy("t", "b").agg(F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-                .collect())
-        by_t = {}
-        for r in hist:
-            by_t.setdefault(r["t"], []).append(r)
-        for n, (t, v) in enumerate(ranges):
-            i, k, lo, hi, below, count = v
-            for r in sorted(by_t.get(n, []), key=lambda r: r["b"]):
-                if below + r["n"] >= k:
-                    open_t[t] = [i, k, r["lo"], r["hi"], below, r["n"]]
-                    break
-                below += r["n"]
-    return result
+    return state.select(*group_cols, F.col("__lo").alias("__thr"), "__ties", F.col("__rem").alias("__need"))
+
+
+def numbered(df: DataFrame, group_cols: list[str], order_col: str, name: str) -> DataFrame:
+    """``df`` with 1-based positions per group in ``order_col`` order, rows of
+    equal ``order_col`` in any order. Rows are dealt by range, so a large group
+    is numbered by many tasks; a window runs over one row per (task, group)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    dealt = (df.repartitionByRange(*group_cols, order_col).sortWithinPartitions(*group_cols, order_col)
+             .withColumn("__task", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
+             .checkpoint(eager=True))
+    sizes = dealt.groupBy("__task", *group_cols).agg(F.count(F.lit(1)).alias("__size"), F.min("__at").alias("__first"))
+    w = Window.partitionBy(*group_cols).orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("__before", F.coalesce(F.sum("__size").over(w), F.lit(0)))
+    sizes = sizes.select(F.col("__task").alias("__t"), *[F.col(c).alias(f"__n_{c}") for c in group_cols],
+                         "__first", "__before")
+    cond = F.col("__task") == F.col("__t")
+    for c in group_cols:
+        cond = cond & F.col(c).eqNullSafe(F.col(f"__n_{c}"))
+    return dealt.join(sizes, cond).select(
+        *df.columns, (F.col("__at") - F.col("__first") + F.col("__before") + 1).alias(name))
+
+
+def exact_ranks(df: DataFrame, ranks) -> tuple[dict, dict]:
+    """``({column: n}, {(column, k): value})``: exact k-th smallest present
+    values (1-based); ``ranks(n)`` lists the ranks wanted of ``n`` values."""
+    cols = list(df.columns)
+    x = {c: F.col(f"`{c}`").cast("double") for c in cols}
+    x = {c: F.when(~F.isnan(v), v) for c, v in x.items()}
+    row = df.agg(*[e for i, c in enumerate(cols) for e in (
+        F.count(x[c]).alias(f"n{i}"), F.min(x[c]).alias(f"lo{i}"), F.max(x[c]).alias(f"hi{i}"))]).first()
+    counts = {c: row[f"n{i}"] for i, c in enumerate(cols)}
+    # per open rank: lowest and highest value it may have, rows below, rows inside
+    found, open_ranks = {}, {}
+    for i, c in enumerate(cols):
+        for k in ranks(counts[c]) if counts[c] else ():
+            open_ranks[c, k] = (row[f"lo{i}"], row[f"hi{i}"], 0, counts[c])
+    while True:
+        for key in [key for key, (lo, hi, _, _) in open_ranks.items() if lo == hi]:
+            found[key] = float(open_ranks.pop(key)[0])
+        if not open_ranks:
+            return counts, found
+        todo = list(open_ranks.items())
+        guesses = []
+        for i, ((c, k), (lo, hi, below, inside)) in enumerate(todo):
+            at, slack = (k - below - 0.5) / inside, 0.0 if inside < ACCURACY // 4 else 2.0 / ACCURACY
+            part = F.when(x[c].between(F.lit(lo), F.lit(hi)), x[c])
+            guesses.append(F.percentile_approx(part, [max(0.0, at - slack), min(1.0, at + slack)], ACCURACY).alias(f"g{i}"))
+        row = df.agg(*guesses).first()
+        bounds = [row[f"g{i}"] for i in range(len(todo))]
+        checks = []
+        for i, ((c, _), (lo, hi, _, _)) in enumerate(todo):
+            a, b = bounds[i]
+            checks += [F.count_if(x[c] < a).alias(f"below{i}"), F.count_if(x[c] <= b).alias(f"upto{i}"),
+                       F.max(F.when((x[c] < a) & (x[c] >= lo), x[c])).alias(f"under{i}"),
+                       F.min(F.when((x[c] > b) & (x[c] <= hi), x[c])).alias(f"over{i}")]
+        row = df.agg(*checks).first()
+        for i, ((c, k), (lo, hi, below, inside)) in enumerate(todo):
+            (a, b), under, upto = bounds[i], row[f"below{i}"], row[f"upto{i}"]
+            if k <= under:
+                open_ranks[c, k] = (lo, row[f"under{i}"], below, under - below)
+            elif k > upto:
+                open_ranks[c, k] = (row[f"over{i}"], hi, upto, below + inside - upto)
+            else:
+                open_ranks[c, k] = (a, b, under, upto - under)
 
 
 def exact_medians(df: DataFrame, columns: list[str]) -> dict:
     """Exact medians of several numeric columns (mean of the middle two for even counts)."""
     if not columns:
         return {}
-    counts = {}
-
-    def targets(n_by_col):
-        counts.update(n_by_col)
-        out = []
-        for c, n in n_by_col.items():
-            if n:
-                out += [(c, (n + 1) // 2), (c, n // 2 + 1)]
-        return out
-
-    stats = exact_order_stats(df, targets, first=columns)
-    result = {}
-    for c in columns:
-        n = counts.get(c, 0)
-        if not n:
-            result[c] = None
-        elif n % 2:
-            result[c] = stats[(c, (n + 1) // 2)]
-        else:
-            result[c] = (stats[(c, n // 2)] + stats[(c, n // 2 + 1)]) / 2.0
-    return result
+    counts, found = exact_ranks(df.select(*[F.col(f"`{c}`") for c in columns]),
+                                lambda n: sorted({(n + 1) // 2, n // 2 + 1}))
+    return {c: (found[c, (counts[c] + 1) // 2] + found[c, counts[c] // 2 + 1]) / 2.0 if counts[c] else None
+            for c in columns}
 
 
 def exact_median(df: DataFrame, column: str) -> float | None:

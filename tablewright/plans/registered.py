@@ -38,10 +38,13 @@ def dirty_customer_cols(k: str = "c_custkey") -> list[str]:
 
 DIRTY_CUSTOMER_COLS = dirty_customer_cols()
 DIRTY_CUSTOMER_SQL = f"SELECT {', '.join(DIRTY_CUSTOMER_COLS)} FROM customer"
-# Two overlapping slices; the right one carries its dirt on other rows.
-LEFT_SLICE_SQL = f"{DIRTY_CUSTOMER_SQL} WHERE c_custkey < 1000"
-RIGHT_SLICE_COLS = dirty_customer_cols("(c_custkey + 3)")
-RIGHT_SLICE_SQL = f"SELECT {', '.join(RIGHT_SLICE_COLS)} FROM customer WHERE c_custkey >= 500"
+# Two tables of all customers: the right one has its keys doubled (so that half
+# of either side has no partner) and its dirt on other rows; both have null keys.
+LEFT_COLS = ["CASE WHEN c_custkey % 500 = 0 THEN NULL ELSE c_custkey END AS c_custkey", *DIRTY_CUSTOMER_COLS[1:]]
+RIGHT_COLS = ["CASE WHEN c_custkey % 400 = 0 THEN NULL ELSE c_custkey * 2 END AS c_custkey",
+              *dirty_customer_cols("(c_custkey + 3)")[1:]]
+LEFT_SQL = f"SELECT {', '.join(LEFT_COLS)} FROM customer"
+RIGHT_SQL = f"SELECT {', '.join(RIGHT_COLS)} FROM customer"
 
 NULL_ORDERKEY = "CASE WHEN o_orderkey % 5000 = 0 THEN NULL ELSE o_orderkey END"
 NULL_LINE_ORDERKEY = "CASE WHEN l_orderkey % 5000 = 0 THEN NULL ELSE l_orderkey END"
@@ -51,12 +54,12 @@ def dirty_customer(spark, d):
     return read(spark, d, "customer").selectExpr(*DIRTY_CUSTOMER_COLS)
 
 
-def left_slice(spark, d):
-    return dirty_customer(spark, d).where("c_custkey < 1000")
+def left_table(spark, d):
+    return read(spark, d, "customer").selectExpr(*LEFT_COLS)
 
 
-def right_slice(spark, d):
-    return read(spark, d, "customer").where("c_custkey >= 500").selectExpr(*RIGHT_SLICE_COLS)
+def right_table(spark, d):
+    return read(spark, d, "customer").selectExpr(*RIGHT_COLS)
 
 
 # SQL spellings of the predicates (DuckDB), mirroring tablewright.functions.
@@ -432,43 +435,41 @@ def q_aggregate_to_binary(spark, d):
 
 # -------------------------------------------------------------------- merges --
 
-def _sql_merge(join, key_expr):
-    return f"""
-SELECT {key_expr} AS c_custkey, l.c_nationkey AS c_nationkey_x, l.seg AS seg_x, l.bal AS bal_x,
-       r.c_nationkey AS c_nationkey_y, r.seg AS seg_y, r.bal AS bal_y
-FROM ({LEFT_SLICE_SQL}) l {join} ({RIGHT_SLICE_SQL}) r ON l.c_custkey IS NOT DISTINCT FROM r.c_custkey"""
-
-
-@query("merge_inner", _sql_merge("JOIN", "l.c_custkey"))
-def q_merge_inner(spark, d):
-    return merge.merge(left_slice(spark, d), right_slice(spark, d), "c_custkey", "c_custkey", "inner")
+# Orders and lines with null keys on both sides, and keys without a partner.
+ORDER_COLS = [f"{NULL_ORDERKEY} AS k", "o_custkey", "o_totalprice AS amount"]
+LINE_COLS = ["CASE WHEN l_orderkey % 5000 = 0 THEN NULL WHEN l_orderkey % 7 = 0 THEN -l_orderkey ELSE l_orderkey END AS k",
+             "l_linenumber", "l_extendedprice AS amount"]
 
 
-@query("merge_left", _sql_merge("LEFT JOIN", "l.c_custkey"))
-def q_merge_left(spark, d):
-    return merge.merge(left_slice(spark, d), right_slice(spark, d), "c_custkey", "c_custkey", "left")
+def _sql_merge(join, key_expr):
+    return f"""
+SELECT {key_expr} AS k, l.o_custkey, l.amount AS amount_x, r.l_linenumber, r.amount AS amount_y
+FROM (SELECT {', '.join(ORDER_COLS)} FROM orders) l {join} (SELECT {', '.join(LINE_COLS)} FROM lineitem) r
+  ON l.k IS NOT DISTINCT FROM r.k"""
 
 
-@query("merge_right", _sql_merge("RIGHT JOIN", "r.c_custkey"))
-def q_merge_right(spark, d):
-    return merge.merge(left_slice(spark, d), right_slice(spark, d), "c_custkey", "c_custkey", "right")
+def _merge_query(how):
+    def fn(spark, d):
+        return merge.merge(read(spark, d, "orders").selectExpr(*ORDER_COLS),
+                           read(spark, d, "lineitem").selectExpr(*LINE_COLS), "k", "k", how)
+    return fn
 
 
-@query("merge_outer", _sql_merge("FULL OUTER JOIN", "coalesce(l.c_custkey, r.c_custkey)"))
-def q_merge_outer(spark, d):
-    return merge.merge(left_slice(spark, d), right_slice(spark, d), "c_custkey", "c_custkey", "outer")
+for _how, _join, _key in (("inner", "JOIN", "l.k"), ("left", "LEFT JOIN", "l.k"), ("right", "RIGHT JOIN", "r.k"),
+                          ("outer", "FULL OUTER JOIN", "coalesce(l.k, r.k)")):
+    query(f"merge_{_how}", _sql_merge(_join, _key))(_merge_query(_how))
 
 
 def _renamed_right(spark, d):
-    return right_slice(spark, d).withColumnRenamed("c_custkey", "cust_id")
+    return right_table(spark, d).withColumnRenamed("c_custkey", "cust_id")
 
 
 @query("merge_suffixes", f"""
 SELECT l.c_custkey, l.c_nationkey AS c_nationkey_x, l.seg AS seg_x, l.bal AS bal_x, r.c_custkey AS cust_id,
        r.c_nationkey AS c_nationkey_y, r.seg AS seg_y, r.bal AS bal_y
-FROM ({LEFT_SLICE_SQL}) l JOIN ({RIGHT_SLICE_SQL}) r ON l.c_custkey IS NOT DISTINCT FROM r.c_custkey""")
+FROM ({LEFT_SQL}) l JOIN ({RIGHT_SQL}) r ON l.c_custkey IS NOT DISTINCT FROM r.c_custkey""")
 def q_merge_suffixes(spark, d):
-    return merge.merge(left_slice(spark, d), _renamed_right(spark, d), "c_custkey", "cust_id", "inner")
+    return merge.merge(left_table(spark, d), _renamed_right(spark, d), "c_custkey", "cust_id", "inner")
 
 
 def _sql_pick(strategy, lx, ly, lmiss, rmiss):
@@ -489,12 +490,12 @@ SELECT {key_cols},
        {pick('l.c_nationkey', 'r.c_nationkey', 'num')} AS c_nationkey,
        {pick('l.seg', 'r.seg', 'text')} AS seg,
        {pick('l.bal', 'r.bal', 'num')} AS bal
-FROM ({LEFT_SLICE_SQL}) l FULL OUTER JOIN ({RIGHT_SLICE_SQL}) r ON {on}"""
+FROM ({LEFT_SQL}) l FULL OUTER JOIN ({RIGHT_SQL}) r ON {on}"""
 
 
 def _coalesce_query(strategy):
     def fn(spark, d):
-        merged = merge.merge(left_slice(spark, d), right_slice(spark, d), "c_custkey", "c_custkey", "outer")
+        merged = merge.merge(left_table(spark, d), right_table(spark, d), "c_custkey", "c_custkey", "outer")
         return merge.coalesce_merged(merged, strategy, "c_custkey", "c_custkey")
     return fn
 
@@ -509,13 +510,13 @@ for _strategy in ("first_non_empty", "prefer_left", "prefer_right"):
     "first_non_empty", "coalesce(l.c_custkey, r.c_custkey) AS c_custkey",
     "l.c_custkey IS NOT DISTINCT FROM r.c_custkey"))
 def q_coalesce_keys(spark, d):
-    merged = merge.merge(left_slice(spark, d), _renamed_right(spark, d), "c_custkey", "cust_id", "outer")
+    merged = merge.merge(left_table(spark, d), _renamed_right(spark, d), "c_custkey", "cust_id", "outer")
     return merge.coalesce_merged(merged, "first_non_empty", "c_custkey", "cust_id")
 
 
-@query("append", f"{LEFT_SLICE_SQL} UNION ALL {RIGHT_SLICE_SQL}")
+@query("append", f"{LEFT_SQL} UNION ALL {RIGHT_SQL}")
 def q_append(spark, d):
-    return merge.merge(left_slice(spark, d), right_slice(spark, d), "", "", "append")
+    return merge.merge(left_table(spark, d), right_table(spark, d), "", "", "append")
 
 
 @query("merge_preaggregated", f"""
@@ -699,7 +700,8 @@ def q_regression_metrics(spark, d):
 
 
 # ------------------------------------------------------------------ training --
-# Model queries are checked by row counts and invariants (tests), not SQL.
+# A model's numbers are its own, so these queries fit it and return facts that
+# SQL can state: rows scored and seen, labels outside the domain, rows that differ.
 
 from ..operators import models as model_registry  # noqa: E402
 from ..operators import train as trainer  # noqa: E402
@@ -715,38 +717,93 @@ def _classifier(spark, d):
                                "RandomForestClassifier", "classification", FOREST, key_cols=LINE_KEYS)
 
 
-@query("train_classifier")
+def _label_facts(scored: DataFrame, domain: DataFrame) -> DataFrame:
+    """Per true label: rows, rows without a prediction, rows predicted outside the domain."""
+    known = F.broadcast(domain.select(F.col("l_returnflag").alias("known")).distinct())  # a row per class
+    p = F.col("l_returnflag Prediction")
+    return (scored.join(known, p == F.col("known"), "left").groupBy("l_returnflag")
+            .agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(p.isNull()).alias("n_null"),
+                 F.count_if(p.isNotNull() & F.col("known").isNull()).alias("n_outside"))
+            .select("l_returnflag", "n_rows", "n_null", "n_outside"))
+
+
+@query("train_classifier", """
+SELECT l_returnflag, CAST(round(CAST(0.2 AS DOUBLE) * count(*)) AS BIGINT) AS n_rows, 0 AS n_null, 0 AS n_outside
+FROM lineitem GROUP BY l_returnflag""")
 def q_train_classifier(spark, d):
-    """Hold-out rows scored by a forest trained on the other 80%."""
+    """Hold-out rows scored by a forest trained on the other 80%, by true label."""
     model = _classifier(spark, d)
-    return trainer.predict(model, model.eval_rows)
+    return _label_facts(trainer.predict(model, model.eval_rows), read(spark, d, "lineitem"))
 
 
-@query("predict")
+@query("predict", """
+SELECT l_returnflag, count(*) AS n_rows, 0 AS n_null, 0 AS n_outside FROM lineitem GROUP BY l_returnflag""")
 def q_predict(spark, d):
-    """Every lineitem row plus ``l_returnflag Prediction``."""
-    return trainer.predict(_classifier(spark, d), read(spark, d, "lineitem"))
+    """Every lineitem row plus ``l_returnflag Prediction``, by true label."""
+    lines = read(spark, d, "lineitem")
+    return _label_facts(trainer.predict(_classifier(spark, d), lines), lines)
+
 
+_N_CLS_FEATURES = "3 + (SELECT count(DISTINCT l_linestatus) FROM lineitem)"
 
-@query("feature_importance")
+
+@query("feature_importance", f"""
+SELECT {_N_CLS_FEATURES} AS n_features, 1.0::DOUBLE AS total, 0 AS n_negative, true AS falling""")
 def q_feature_importance(spark, d):
-    return _classifier(spark, d).importance_frame(spark)
+    """A forest's importances: one per feature and category, shares of 1, in falling order."""
+    return _importance_facts(spark, _classifier(spark, d).importance_frame(spark))
+
+
+def _importance_facts(spark, frame):
+    values = [r["importance"] for r in frame.collect()]
+    return spark.range(1).select(F.lit(len(values)).cast("long").alias("n_features"),
+                                 F.lit(round(sum(values), 6)).alias("total"),
+                                 F.lit(sum(v < 0 for v in values)).cast("long").alias("n_negative"),
+                                 F.lit(values == sorted(values, reverse=True)).alias("falling"))
+
+
+@query("feature_importance_top", """
+SELECT least(15, 2 + (SELECT count(DISTINCT l_quantity) FROM lineitem)) AS n_features, 0 AS n_negative, true AS falling""")
+def q_feature_importance_top(spark, d):
+    """The 15 most important of a model's features, quantities as categories."""
+    lines = read(spark, d, "lineitem").withColumn("qty", F.col("l_quantity").cast("int").cast("string"))
+    model = trainer.train_model(lines, ["qty", "l_extendedprice", "l_discount"], "l_returnflag",
+                                "RandomForestClassifier", "classification", {"n_estimators": 5, "max_depth": 4},
+                                key_cols=LINE_KEYS)
+    return _importance_facts(spark, model.top_importances(spark)).drop("total")
 
 
-@query("model_round_trip")
+@query("model_round_trip", "SELECT count(*) AS n_rows, 0 AS n_differ FROM lineitem")
 def q_model_round_trip(spark, d):
+    """Rows that a saved and loaded model predicts differently: none."""
     from ..session import scratch_path
-    path = scratch_path(spark, "model")
-    trainer.save_model(_classifier(spark, d), path)
-    return trainer.predict(trainer.load_model(spark, path), read(spark, d, "lineitem"))
+    path, lines, model = scratch_path(spark, "model"), read(spark, d, "lineitem"), _classifier(spark, d)
+    trainer.save_model(model, path)
+    name = "l_returnflag Prediction"
+    both = trainer.predict(trainer.load_model(spark, path),
+                           trainer.predict(model, lines).withColumnRenamed(name, "before"))
+    return both.agg(F.count(F.lit(1)).alias("n_rows"),
+                    F.count_if(~F.col("before").eqNullSafe(F.col(name))).alias("n_differ"))
 
 
-@query("train_regressor")
+@query("train_regressor", "SELECT count(*) AS n_rows, 0 AS n_null, true AS beats_mean FROM lineitem")
 def q_train_regressor(spark, d):
+    """Boosted trees on every row: rows, rows without a prediction, and whether
+    the error is below that of the mean."""
     lines = read(spark, d, "lineitem")
     model = trainer.train_model(lines, REG_FEATURES, "l_extendedprice", "GradientBoostingRegressor",
                                 "regression", {"n_estimators": 20, "learning_rate": 0.1}, key_cols=LINE_KEYS)
-    return trainer.predict(model, lines)
+    y, p = F.col("l_extendedprice"), F.col("l_extendedprice Prediction")
+    return trainer.predict(model, lines).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(p.isNull()).alias("n_null"),
+        (F.avg((y - p) * (y - p)) < F.var_pop(y)).alias("beats_mean"))
+
+
+_FIRST = "l_shipdate < TIMESTAMP '1998-06-01 00:00:00'"
+_N_TRAIN = f"(SELECT count(*) - CAST(ceil(CAST(0.2 AS DOUBLE) * count(*)) AS BIGINT) FROM lineitem WHERE {_FIRST})"
+_N_TRAIN_BY_CLASS = (f"(SELECT CAST(sum(n - round(CAST(0.2 AS DOUBLE) * n)) AS BIGINT) FROM "
+                     f"(SELECT count(*) AS n FROM lineitem WHERE {_FIRST} GROUP BY l_returnflag))")
+_N_SECOND = f"(SELECT count(*) FROM lineitem WHERE NOT ({_FIRST}))"
 
 
 def _incremental_slices(spark, d):
@@ -755,35 +812,54 @@ def _incremental_slices(spark, d):
     return lines.where(cut), lines.where(~cut)
 
 
-@query("incremental_fit")
+def _first_pass(spark, d):
+    first, second = _incremental_slices(spark, d)
+    return trainer.train_model(first, REG_FEATURES, "l_extendedprice", "SGDRegressor", "regression",
+                               key_cols=LINE_KEYS), second
+
+
+def _pass_facts(spark, d, model, column):
+    scored = trainer.predict(model, read(spark, d, "lineitem"))
+    return scored.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col(column).isNull()).alias("n_null")).select(
+        "*", F.lit(model.sgd.n_seen).cast("long").alias("rows_seen"), F.lit(model.sgd.passes).alias("passes"))
+
+
+@query("incremental_fit", f"""
+SELECT count(*) AS n_rows, 0 AS n_null, {_N_TRAIN} AS rows_seen, 1 AS passes FROM lineitem""")
 def q_incremental_fit(spark, d):
-    first, _ = _incremental_slices(spark, d)
-    model = trainer.train_model(first, REG_FEATURES, "l_extendedprice", "SGDRegressor", "regression",
-                                key_cols=LINE_KEYS)
-    return trainer.predict(model, read(spark, d, "lineitem"))
+    """One pass of a linear model: rows scored and rows the model has seen."""
+    return _pass_facts(spark, d, _first_pass(spark, d)[0], "l_extendedprice Prediction")
 
 
-@query("incremental_continue")
+@query("incremental_continue", f"""
+SELECT count(*) AS n_rows, 0 AS n_null, {_N_TRAIN} + {_N_SECOND} AS rows_seen, 2 AS passes FROM lineitem""")
 def q_incremental_continue(spark, d):
-    first, second = _incremental_slices(spark, d)
-    model = trainer.train_model(first, REG_FEATURES, "l_extendedprice", "SGDRegressor", "regression",
-                                key_cols=LINE_KEYS)
+    """A second pass over other rows."""
+    model, second = _first_pass(spark, d)
     model = trainer.continue_training(model, second, REG_FEATURES, "l_extendedprice")
-    return trainer.predict(model, read(spark, d, "lineitem"))
+    return _pass_facts(spark, d, model, "l_extendedprice Prediction")
 
 
-@query("incremental_classifier")
+@query("incremental_classifier", f"""
+SELECT l_returnflag, count(*) AS n_rows, 0 AS n_null, 0 AS n_outside,
+       {_N_TRAIN_BY_CLASS} + {_N_SECOND} AS rows_seen FROM lineitem GROUP BY l_returnflag""")
 def q_incremental_classifier(spark, d):
+    """Two passes of a linear classifier."""
     first, second = _incremental_slices(spark, d)
     model = trainer.train_model(first, CLS_FEATURES, "l_returnflag", "SGDClassifier", "classification",
                                 key_cols=LINE_KEYS)
     model = trainer.continue_training(model, second, CLS_FEATURES, "l_returnflag")
-    return trainer.predict(model, read(spark, d, "lineitem"))
+    lines = read(spark, d, "lineitem")
+    return _label_facts(trainer.predict(model, lines), lines).withColumn(
+        "rows_seen", F.lit(model.sgd.n_seen).cast("long"))
 
 
-@query("model_registry_fit")
+@query("model_registry_fit", "SELECT * FROM (VALUES " + ", ".join(
+    f"('{m}', '{t}', {n}, true)" for t, n in (("classification", 4), ("regression", 3))
+    for m in model_registry.model_options(t)) + ") AS t(model, task, n_metrics, in_range)")
 def q_model_registry_fit(spark, d):
-    """Every registry model fitted on lineitem: one metrics row per model.
+    """Every registry model fitted on lineitem: its metrics, and whether all are
+    numbers in range (shares for classes; errors at least 0, r2 at most 1).
 
     The fits are independent, so they run as concurrent Spark jobs from a
     few driver threads.
@@ -800,12 +876,14 @@ def q_model_registry_fit(spark, d):
 
     def fit(job):
         name, task, target, feats, params = job
-        m = trainer.train_model(lines, feats, target, name, task, params, key_cols=LINE_KEYS)
-        return [(name, task, metric, float(value)) for metric, value in m.metrics.items()]
+        got = trainer.train_model(lines, feats, target, name, task, params, key_cols=LINE_KEYS).metrics
+        fine = all(0 <= v <= 1 for v in got.values()) if task == "classification" else \
+            got["mae"] >= 0 and got["rmse"] >= got["mae"] and got["r2"] <= 1
+        return name, task, len(got), bool(fine)
 
     with ThreadPoolExecutor(max_workers=4) as pool:
-        rows = [row for rows in pool.map(fit, jobs) for row in rows]
-    return spark.createDataFrame(rows, "model string, task string, metric string, value double")
+        rows = list(pool.map(fit, jobs))
+    return spark.createDataFrame(rows, "model string, task string, n_metrics int, in_range boolean")
 
 
 # ------------------------------------------------------------------- sources --
@@ -813,7 +891,6 @@ def q_model_registry_fit(spark, d):
 from ..session import scratch_path  # noqa: E402
 from ..sources import csv as csv_io  # noqa: E402
 from ..sources import files as file_io  # noqa: E402
-from ..sources import workbook as wb  # noqa: E402
 
 
 def _round_trip_csv(spark, df, name):
@@ -858,12 +935,24 @@ def q_read_many(spark, d):
     return out
 
 
-@query("read_workbooks", """
-SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders""")
-def q_read_workbooks(spark, d):
-    """Orders through the workbook codec: one workbook per partition, decoded per task."""
-    encoded = wb.encode_partitions(read(spark, d, "orders"))
-    return wb.typed_frame(wb.decode_files(encoded).checkpoint(eager=True))
+# A blank header, numbers with leading blanks, NA
+# spellings, quoted line breaks, and doubles of every size.
+_DIRTY_CSV = ["l_orderkey AS id", "CASE WHEN l_linenumber % 3 = 0 THEN concat('a', chr(10), '\"b\"') "
+              "WHEN l_linenumber % 3 = 1 THEN 'n/a' ELSE l_returnflag END AS note",
+              "concat('  ', l_partkey) AS part", "l_extendedprice / 1e9 AS small", "l_extendedprice * 1e12 AS large"]
+
+
+@query("read_csv_dirty", f"""
+SELECT l_orderkey AS "Unnamed: 0",
+       CASE WHEN l_linenumber % 3 = 0 THEN 'a' || chr(10) || '"b"' WHEN l_linenumber % 3 = 1 THEN NULL
+            ELSE l_returnflag END AS note,
+       l_partkey AS part, l_extendedprice / 1e9 AS small, l_extendedprice * 1e12 AS large FROM lineitem""")
+def q_read_csv_dirty(spark, d):
+    """lineitem as a messy file: a blank header, leading blanks, line breaks in quotes."""
+    rows = read(spark, d, "lineitem").selectExpr(*_DIRTY_CSV).toDF("", "note", "part", "small", "large")
+    path = f"{scratch_path(spark, 'csv')}/lines.csv"
+    csv_io.write_csv(rows, path)
+    return csv_io.read_csv(spark, path)
 
 
 # ----------------------------------------------------------------- streaming --
@@ -891,14 +980,15 @@ def q_stream_clean(spark, d):
     return spark.read.parquet(out)
 
 
-@query("stream_train")
+@query("stream_train", f"""
+SELECT count(*) AS n_rows, 0 AS n_null, {_N_TRAIN} + count(*) AS rows_seen FROM lineitem""")
 def q_stream_train(spark, d):
-    """An incremental regressor continued on each micro-batch of lineitem."""
-    first, _ = _incremental_slices(spark, d)
-    model = trainer.train_model(first, REG_FEATURES, "l_extendedprice", "SGDRegressor", "regression",
-                                key_cols=LINE_KEYS)
+    """An incremental regressor continued on each micro-batch of lineitem, and
+    once more after a restart that finds nothing new: every row counts once."""
+    model, _ = _first_pass(spark, d)
     lines = read(spark, d, "lineitem")
-    stream = streaming.read_stream(spark, d, lines.schema, glob="lineitem.parquet")
-    _, holder = streaming.train_on_stream(stream, model, scratch_path(spark, "stream-model"),
-                                          scratch_path(spark, "stream-train-ckpt"))
-    return trainer.predict(holder["model"], lines)
+    models, marks = scratch_path(spark, "stream-model"), scratch_path(spark, "stream-train-ckpt")
+    for _ in range(2):
+        stream = streaming.read_stream(spark, d, lines.schema, glob="lineitem.parquet")
+        _, holder = streaming.train_on_stream(stream, model, models, marks)
+    return _pass_facts(spark, d, holder["model"], "l_extendedprice Prediction").drop("passes")

@@ -21,9 +21,10 @@ def merge_workflow(left: DataFrame, right: DataFrame, left_key: str, right_key:
 
     Append never aggregates keys away nor coalesces.
     """
+    unique = ""
     if aggregate_specs:
-        right = aggregate(right, right_key, aggregate_specs)
-    merged = merge(left, right, left_key, right_key, how, skew=skew)
+        right, unique = aggregate(right, right_key, aggregate_specs), "right"
+    merged = merge(left, right, left_key, right_key, how, skew=skew, unique=unique)
     if coalesce and how != "append":
         merged = coalesce_merged(merged, strategy, left_key, right_key)
     return merged
@@ -40,6 +41,6 @@ def aggregate_workflow(df: DataFrame, group_key: str, specs, binary: dict | None
     if binary:
         source = binary["source_column"]
         if source not in {r.output_column.strip() for r in rules}:
-            raise ValueError("Binary Source Column must match an Aggregate Rule output.")
+            raise ValueError(f"The flag's source {source!r} is not the output of any rule.")
         out = binary_flag(out, source, binary.get("threshold", 0), binary.get("output_column") or None)
     return out

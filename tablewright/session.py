@@ -4,6 +4,7 @@ intermediate tables."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -47,12 +48,15 @@ def shared_dir(spark: SparkSession) -> str:
     """Root of the shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting names a folder every executor can reach
-    (HDFS, S3, a network mount). Only when it is unset — local runs and
-    tests — a private temporary folder is created and registered, so that
-    ``DataFrame.checkpoint()`` and intermediate tables work the same way.
+    (HDFS, S3, a network mount). Where it is unset, a local run gets a
+    temporary folder; on a cluster that is an error, since executors would
+    write where the others cannot read.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"Set spark.checkpoint.dir to a folder that all executors of {master} share.")
         root = tempfile.mkdtemp(prefix="tablewright-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -60,10 +64,20 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
+def run_dir(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables."""
+    return f"{shared_dir(spark).rstrip('/')}/tablewright-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique path below :func:`shared_dir` for an intermediate table."""
-    root = shared_dir(spark).rstrip("/")
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+    """A fresh, unique path below :func:`run_dir` for an intermediate table."""
+    return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables, once no frame needs them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -71,52 +85,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     shared_dir(spark)
 
 
-def ensure_parallelism(df, by: str | None = None):
-    """Spread a small input over the cluster's default parallelism.
+def spread(df, *by: str):
+    """Deal rows over ``spark.sql.shuffle.partitions`` tasks by a hash of ``by``:
+    the same at every size, so that iterative learners use the whole cluster
+    however the input's files are cut."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
 
-    Decided at planning time from the optimizer's size estimate (no job
-    runs): when the whole input is no larger than ``defaultParallelism``
-    file splits (``spark.sql.files.maxPartitionBytes`` each) it may sit in
-    a few partitions (e.g. one small file feeding an iterative learner), so
-    it is repartitioned — a cheap shuffle of little data. Larger inputs are
-    already split by the scan and are left alone, so no shuffle is added at
-    scale. ``by`` names a uniformly distributed column (a hash) to
-    partition on, which is deterministic without the sort a round-robin
-    repartition needs.
-    """
-    spark = df.sparkSession
-    target = spark.sparkContext.defaultParallelism
-    split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "128m"))
-    try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - no estimate: leave the frame as it is
-        return df
-    if size <= target * split:
-        return df.repartition(target, by) if by else df.repartition(target)
-    return df
-
-
-def _bytes(text: str) -> int:
-    """``"128m"`` / ``"128mb"`` / ``"134217728"`` → bytes."""
-    t = str(text).strip().lower().removesuffix("b")
-    mult = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
-    if t and t[-1] in mult:
-        return int(float(t[:-1]) * mult[t[-1]])
-    return int(float(t))
-
-
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme so driver-side code can open a local path."""
-    if path.startswith("file://"):
-        return path[len("file://"):]
-    if path.startswith("file:"):
-        return path[len("file:"):]
-    return path
-
-
-def is_local_fs(path: str) -> bool:
-    return "://" not in path or path.startswith("file:")
-
-
-__all__ = ["DEFAULT_CONF", "get_spark", "shared_dir", "scratch_path",
-           "ensure_checkpoint_dir", "ensure_parallelism", "local_path", "is_local_fs"]
+
+__all__ = ["DEFAULT_CONF", "get_spark", "shared_dir", "run_dir", "scratch_path",
+           "remove_scratch", "ensure_checkpoint_dir", "spread"]

@@ -1,9 +1,8 @@
-"""Sources and sinks: CSV, workbooks, extension dispatch, dataset catalog."""
+"""Sources and sinks: CSV, extension dispatch, dataset catalog."""
 
 from .catalog import Catalog, unique_name
 from .csv import read_csv, write_csv
 from .files import load_many, load_table, save_table
-from .workbook import read_workbook, read_workbooks, write_workbooks
 
 __all__ = ["Catalog", "unique_name", "read_csv", "write_csv", "load_many", "load_table",
-           "save_table", "read_workbook", "read_workbooks", "write_workbooks"]
+           "save_table"]

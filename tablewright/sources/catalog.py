@@ -6,6 +6,7 @@ Results are registered under readable names; a taken name gets ``_2``,
 
 from __future__ import annotations
 
+import itertools
 import posixpath
 import re
 
@@ -13,13 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def unique_name(base: str, existing) -> str:
-    """``base``, or ``base_2``, ``base_3``, ... when taken."""
+    """``base``, or it with the smallest free number from 2 upwards."""
     taken = set(existing)
-    candidate, suffix = base, 2
-    while candidate in taken:
-        candidate = f"{base}_{suffix}"
-        suffix += 1
-    return candidate
+    if base not in taken:
+        return base
+    return next(name for name in (f"{base}_{n}" for n in itertools.count(2)) if name not in taken)
 
 
 def _stem(name: str) -> str:
@@ -52,6 +51,7 @@ class Catalog:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self._frames: dict[str, DataFrame] = {}
+        self._views: dict[str, str] = {}
 
     def names(self) -> list[str]:
         return list(self._frames)
@@ -59,16 +59,32 @@ class Catalog:
     def register(self, df: DataFrame, base: str, replace: bool = False) -> str:
         name = base if replace else unique_name(base, self._frames)
         self._frames[name] = df
+        if name not in self._views:
+            self._views[name] = unique_name(_view_name(name), self._views.values())
         df.createOrReplaceTempView(self.view(name))
         return name
 
     def view(self, name: str) -> str:
-        """SQL name of a dataset's temp view."""
-        return _view_name(name)
+        """SQL name of a dataset's temp view; no two datasets share one."""
+        self.get(name)
+        return self._views[name]
+
+    def register_merge(self, df: DataFrame, how: str, left: str, right: str) -> str:
+        return self.register(df, merged_name(how, left, right))
+
+    def register_aggregate(self, df: DataFrame, dataset: str, output_name: str = "") -> str:
+        return self.register(df, aggregated_name(dataset, output_name))
+
+    def register_prediction(self, df: DataFrame, dataset: str | None) -> str:
+        return self.register(df, predicted_name(dataset))
+
+    def register_range(self, df: DataFrame, dataset: str | None, time_column: str, start: str = "",
+                       end: str = "", given: str = "") -> str:
+        return self.register(df, range_name(dataset, time_column, start, end, given))
 
     def get(self, name: str) -> DataFrame:
         if name not in self._frames:
-            raise ValueError(f"Unknown dataset: {name}")
+            raise ValueError(f"There is no dataset named {name!r}.")
         return self._frames[name]
 
     def columns(self, name: str) -> list[str]:
@@ -76,4 +92,4 @@ class Catalog:
 
     def drop(self, name: str) -> None:
         if self._frames.pop(name, None) is not None:
-            self.spark.catalog.dropTempView(self.view(name))
+            self.spark.catalog.dropTempView(self._views.pop(name))

@@ -1,7 +1,7 @@
 """CSV in and out with spreadsheet semantics.
 
 Reading: every field is read as text (header row, quoted newlines, doubled
-quotes), the usual NA tokens become null, and each column gets the
+quotes; blank headers are named by place), the usual NA tokens become null, and each column gets the
 narrowest type that every present value parses as — integer, then float,
 then boolean, else text — decided by one aggregation over the whole input
 (per column: present values, and how many parse as each type). Dates stay
@@ -26,16 +26,19 @@ NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan
 TRUE_TOKENS = ("True", "TRUE", "true")
 FALSE_TOKENS = ("False", "FALSE", "false")
 
-_INT = r"^[+-]?[0-9]+$"
-_FLOAT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$|^[+-]?(?i:inf|infinity)$"
+# Numbers may have blanks around them.
+_INT = r"^ *[+-]?[0-9]+ *$"
+_FLOAT = r"^ *[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)? *$|^ *[+-]?(?i:inf|infinity) *$"
+_BROKEN = "_broken_record"
 
 
 def dedupe_names(names) -> list[str]:
-    """``a, b, b`` → ``a, b, b.1`` (skipping suffixes already taken)."""
+    """``a, b, b`` → ``a, b, b.1`` (skipping suffixes already taken); a blank
+    name at place ``i`` becomes ``Unnamed: i``."""
     seen: set[str] = set()
     out = []
-    for raw in names:
-        name = "" if raw is None else str(raw)
+    for at, raw in enumerate(names):
+        name = str(raw) if raw is not None and str(raw) != "" else f"Unnamed: {at}"
         if name in seen:
             i = 1
             while f"{name}.{i}" in seen:
@@ -46,34 +49,66 @@ def dedupe_names(names) -> list[str]:
     return out
 
 
-def _raw_reader(spark: SparkSession, header: bool, multi_line: bool = True):
-    return (spark.read.option("header", header).option("multiLine", multi_line)
-            .option("escape", '"').option("quote", '"').option("inferSchema", False)
-            .option("mode", "PERMISSIVE"))
+def _reader(spark: SparkSession, multi_line: bool):
+    return (spark.read.option("multiLine", multi_line).option("escape", '"').option("quote", '"')
+            .option("inferSchema", False).option("ignoreLeadingWhiteSpace", False)
+            .option("ignoreTrailingWhiteSpace", False).option("mode", "PERMISSIVE"))
 
 
-def read_csv_text(spark: SparkSession, paths, multi_line: bool = True) -> DataFrame:
+def _spans_lines(spark: SparkSession, paths) -> bool:
+    """Whether a quoted field may run over a line end: some line has an odd
+    number of quotes. One pass over the splittable lines."""
+    odd = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    return not spark.read.text(paths).where(odd % 2 == 1).isEmpty()
+
+
+def read_csv_text(spark: SparkSession, paths, multi_line: bool | None = None) -> DataFrame:
     """All columns as text with NA tokens turned into null, header names de-duplicated.
 
-    ``multi_line`` allows quoted newlines inside fields; it makes each file
-    one task (a file cannot be split at an arbitrary byte when a record may
-    span lines). Inputs that are many files parallelise by file; for a few
-    huge files without embedded newlines pass ``multi_line=False`` so Spark
-    splits each file into blocks.
+    Files are split into blocks. Only where a quoted field may run over a line
+    end (looked up in one pass, unless ``multi_line`` says) does a file stay
+    one task, since its records cannot be told apart from the middle of a file.
+
+    A path's part files share one header; several paths must have the same
+    columns, in any order. A record with more fields than its header is an
+    error, one with fewer has nulls.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    header_row = _raw_reader(spark, False, multi_line).csv(paths[0]).first()
-    names = dedupe_names(header_row) if header_row is not None else []
-    df = _raw_reader(spark, True, multi_line).csv(paths)
-    if names and len(names) == len(df.columns):
-        df = df.toDF(*names)
-    return df.select([F.when(F.col(f"`{c}`").isin(*NA_TOKENS), F.lit(None).cast("string"))
-                      .otherwise(F.col(f"`{c}`")).alias(c) for c in df.columns])
+    if multi_line is None:
+        multi_line = _spans_lines(spark, paths)
+    parts, columns = [], None
+    for path in paths:
+        first = _reader(spark, multi_line).option("header", False).csv(path).first()
+        names = dedupe_names(first) if first is not None else []
+        if columns is None:
+            columns = names
+        elif sorted(names) != sorted(columns):
+            raise ValueError(f"{path!r} has columns {names}, but {paths[0]!r} has {columns}.")
+        if not names:
+            continue
+        # positional names: those of the file may repeat; one field more than
+        # the header has shows that a record is too long
+        fields = ", ".join(f"`c{i}` string" for i in range(len(names) + 1))
+        raw = _reader(spark, multi_line).option("header", True).option("enforceSchema", True).schema(fields).csv(path)
+        kept = raw.withColumn(_BROKEN, F.col(f"c{len(names)}").isNotNull())
+        parts.append((kept.toDF(*names, "_further", _BROKEN)).select(*[F.col(f"`{c}`") for c in columns], _BROKEN))
+    if not parts:
+        return spark.createDataFrame([], "")
+    df = parts[0]
+    for part in parts[1:]:
+        df = df.unionByName(part)
+    # Checked where the rows are read: no record is cut silently.
+    whole = F.when(F.col(_BROKEN), F.raise_error(F.lit(
+        f"A record of {', '.join(paths)} has more fields than the {len(columns)} of its header.")).cast("string"))
+    values = [F.when(F.col(f"`{c}`").isin(*NA_TOKENS), F.lit(None).cast("string")).otherwise(F.col(f"`{c}`"))
+              for c in columns]
+    values[0] = F.coalesce(whole, values[0])
+    return df.select([v.alias(c) for v, c in zip(values, columns)])
 
 
 def _parse_counts(c: Column):
     present = c.isNotNull()
-    as_long = c.try_cast("bigint")
+    as_long = F.btrim(c).try_cast("bigint")
     is_int = present & c.rlike(_INT) & as_long.isNotNull()
     is_float = present & c.rlike(_FLOAT)
     is_bool = present & c.isin(*TRUE_TOKENS, *FALSE_TOKENS)
@@ -112,12 +147,12 @@ def apply_types(df: DataFrame, types: dict[str, str]) -> DataFrame:
         c = F.col(f"`{name}`")
         kind = types.get(name, "string")
         if kind == "bigint":
-            cols.append(c.try_cast("bigint").alias(name))
+            cols.append(F.btrim(c).try_cast("bigint").alias(name))
         elif kind == "double":
-            low = F.lower(c)
+            low = F.lower(F.btrim(c))
             cols.append(F.when(low.isin("inf", "+inf", "infinity", "+infinity"), F.lit(float("inf")))
                         .when(low.isin("-inf", "-infinity"), F.lit(float("-inf")))
-                        .otherwise(c.try_cast("double")).alias(name))
+                        .otherwise(F.btrim(c).try_cast("double")).alias(name))
         elif kind == "boolean":
             cols.append(F.when(c.isin(*TRUE_TOKENS), F.lit(True))
                         .when(c.isin(*FALSE_TOKENS), F.lit(False)).alias(name))
@@ -126,7 +161,7 @@ def apply_types(df: DataFrame, types: dict[str, str]) -> DataFrame:
     return df.select(cols)
 
 
-def read_csv(spark: SparkSession, paths, multi_line: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, paths, multi_line: bool | None = None) -> DataFrame:
     """Read CSV file(s) with whole-input type inference (one extra aggregation job)."""
     text = read_csv_text(spark, paths, multi_line)
     return apply_types(text, infer_types(text))

@@ -8,16 +8,16 @@ one failing file does not stop the others.
 from __future__ import annotations
 
 import posixpath
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
 from .csv import read_csv, write_csv
-from .workbook import read_workbook, write_workbooks
 
+#: Files whose types are inferred at the same time.
+CONCURRENT_LOADS = 8
 # Accepted extensions.
 CSV_EXTENSIONS = (".csv",)
-WORKBOOK_EXTENSIONS = (".xlsx", ".xlsm")
-LEGACY_WORKBOOK = (".xls",)
 
 
 def _ext(path: str) -> str:
@@ -25,27 +25,20 @@ def _ext(path: str) -> str:
 
 
 def load_table(spark: SparkSession, path: str) -> DataFrame:
-    """CSV (with type inference) or the first sheet of a workbook."""
+    """A CSV file or folder, with type inference."""
     ext = _ext(path)
     if ext in CSV_EXTENSIONS:
         return read_csv(spark, path)
-    if ext in WORKBOOK_EXTENSIONS:
-        return read_workbook(spark, path)
-    if ext in LEGACY_WORKBOOK:
-        raise ValueError(f"Legacy .xls workbooks are not supported: {path}")
-    raise ValueError(f"Unsupported file type: {path}")
+    raise ValueError(f"Cannot read {path!r}: only {', '.join(CSV_EXTENSIONS)} files are read.")
 
 
 def save_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Write CSV (a directory of part files) or workbooks (one per partition)."""
+    """Write CSV (a directory of part files)."""
     ext = _ext(path)
     if ext in CSV_EXTENSIONS:
         write_csv(df, path, mode)
         return
-    if ext in WORKBOOK_EXTENSIONS:
-        write_workbooks(df, path)
-        return
-    raise ValueError(f"Unsupported export type: {path}")
+    raise ValueError(f"Cannot write {path!r}: only {', '.join(CSV_EXTENSIONS)} files are written.")
 
 
 def dataset_name(path: str) -> str:
@@ -55,13 +48,22 @@ def dataset_name(path: str) -> str:
 def load_many(spark: SparkSession, paths) -> tuple[dict[str, DataFrame], dict[str, str]]:
     """``({file name: DataFrame}, {file name: error})``; a later file with the
     same name replaces an earlier one."""
-    loaded: dict[str, DataFrame] = {}
-    errors: dict[str, str] = {}
-    for path in paths:
-        name = dataset_name(path)
+    paths = list(paths)
+
+    def load(path):
         try:
-            loaded[name] = load_table(spark, path)
-            errors.pop(name, None)
+            return load_table(spark, path), None
         except Exception as exc:  # noqa: BLE001 - reported per file
-            errors[name] = str(exc)
+            return None, str(exc)
+
+    loaded: dict[str, DataFrame] = {}
+    errors: dict[str, str] = {}
+    with ThreadPoolExecutor(max_workers=CONCURRENT_LOADS) as pool:
+        for path, (df, error) in zip(paths, pool.map(load, paths)):
+            name = dataset_name(path)
+            if df is None:
+                errors[name] = error
+            else:
+                loaded[name] = df
+                errors.pop(name, None)
     return loaded, errors

@@ -11,18 +11,24 @@ DataFrame. This module adds:
   checkpoint);
 * :func:`train_on_stream` — continue an incremental model on every
   micro-batch (``foreachBatch``). After each batch the model is saved
-  under ``<model_dir>/batch=<id>``, so a restarted query reloads the
-  last finished batch and a replayed batch is not counted twice.
+  under ``<model_dir>/batch=<id>`` and marked finished; a restarted query
+  goes on from the newest finished batch and skips a replayed one, so
+  every row counts once.
 """
 
 from __future__ import annotations
 
+import re
 from typing import Callable, Iterable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import train as trainer
 
+#: Marker table of a finished batch.
+FINISHED = "finished"
+
 Step = Callable[[DataFrame], DataFrame]
 
 
@@ -62,24 +68,43 @@ def clean_stream(stream: DataFrame, steps: Iterable[Step], output_path: str,
     return handle
 
 
+def finished_batches(spark: SparkSession, model_dir: str) -> list[int]:
+    """Ids of the batches below ``model_dir`` whose model was saved whole."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{model_dir}/batch=*/{FINISHED}/_SUCCESS")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
+    return sorted(int(re.search(r"batch=(\d+)/", str(f.getPath())).group(1)) for f in found)
+
+
 def train_on_stream(stream: DataFrame, model: trainer.TrainedModel, model_dir: str,
                     checkpoint_path: str, once: bool = True):
     """Continue ``model`` (incremental) on every micro-batch of ``stream``.
 
-    Returns ``(query, holder)``; ``holder["model"]`` is the latest model.
+    On start the newest finished batch in ``model_dir`` takes the place of
+    ``model``. Returns ``(query, holder)``; ``holder["model"]`` is the latest
+    model and ``holder["batches"]`` the finished batches, earlier runs included.
     """
     if not model.incremental:
-        raise ValueError("Continue training only works with incremental models.")
-    holder = {"model": model, "batches": []}
+        raise ValueError(f"{model.model_name} cannot follow a stream: it does not learn incrementally.")
+    spark, root = stream.sparkSession, model_dir.rstrip("/")
+    finished = finished_batches(spark, root)
+    if finished:
+        model = trainer.load_model(spark, f"{root}/batch={finished[-1]}", continuable=True)
+    holder = {"model": model, "batches": finished}
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        if batch.limit(1).count() == 0:
-            return
         if batch_id in holder["batches"]:
             return
-        current = holder["model"]
-        updated = trainer.continue_training(current, batch, current.features, current.target)
-        trainer.save_model(updated, f"{model_dir.rstrip('/')}/batch={batch_id}")
+        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            if batch.isEmpty():
+                return
+            current = holder["model"]
+            updated = trainer.continue_training(current, batch, current.features, current.target)
+            # the marker is written last: a batch without it is trained again
+            trainer.save_model(updated, f"{root}/batch={batch_id}")
+            spark.range(1).write.mode("overwrite").parquet(f"{root}/batch={batch_id}/{FINISHED}")
+        finally:
+            batch.unpersist()
         holder["model"] = updated
         holder["batches"].append(batch_id)
 

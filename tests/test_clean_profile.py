@@ -94,7 +94,7 @@ def test_delete_rows(spark):
     df = spark.range(0, 50).withColumn("v", F.col("id") * 2).repartition(4)
     out = position.delete_rows(df, "0, 3, 5-8, 49", "id")
     assert sorted(r.id for r in out.collect()) == [i for i in range(50) if i not in {0, 3, 5, 6, 7, 8, 49}]
-    with pytest.raises(ValueError, match="out of range: 50"):
+    with pytest.raises(ValueError, match="no row 50"):
         position.delete_rows(df, "48-60", "id")
 
 
@@ -142,15 +142,42 @@ def test_top_values_labels(spark):
     assert cats == {" a ": 1, "a": 1, "<NULL>": 1, "": 2}
 
 
-def test_ensure_parallelism_small_and_large(spark):
-    from tablewright.session import _bytes, ensure_parallelism
-    small = spark.range(0, 1000, 1, 1)
-    spread = ensure_parallelism(small)
-    assert spread.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert _bytes("134217728b") == _bytes("128m") == 134217728
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
-    try:
-        big = spark.range(0, 1_000_000, 1, 1)          # estimate far above 8 × 1 KB
-        assert ensure_parallelism(big).rdd.getNumPartitions() == 1
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", "128m")
+def test_spread_is_the_same_at_every_size(spark):
+    from tablewright.session import spread
+    want = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for n in (10, 100_000):
+        assert spread(spark.range(0, n, 1, 1), "id").rdd.getNumPartitions() == want
+
+
+def test_row_spec_merges_and_refuses():
+    assert position.parse_row_spec(" 9 , 1-3,2-5 ,7,6,") == [(1, 7), (9, 9)]
+    assert position.parse_row_spec("4,0") == [(0, 0), (4, 4)]
+    for bad in ["1;2", "a", "1-2-3", "1.5", "- 3", "3-"]:
+        with pytest.raises(ValueError):
+            position.parse_row_spec(bad)
+
+
+def test_delete_rows_refuses_shared_keys(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k int, v string")
+    with pytest.raises(ValueError, match="share their key"):
+        position.delete_rows(df, "0", "k")
+    assert [r.v for r in position.delete_rows(df, "2", "k").collect()] != []
+    assert sorted(r.v for r in position.delete_rows(df, "0", ["k", "v"]).collect()) == ["b", "c"]
+
+
+TIMES = {"2024-01-05": (1, 5, 0), "01/05/2024": (1, 5, 0), "13/05/2024": (5, 13, 0), "2024/01/05 10:11": (1, 5, 10),
+         "Jan 5, 2024": (1, 5, 0), "January 5 2024 3:04 PM": (1, 5, 15), "5-January-2024": (1, 5, 0),
+         "20240105": (1, 5, 0), "2024.01.05": (1, 5, 0), "1/5/2024 12:00 am": (1, 5, 0), "2024/01/05T10:00": (1, 5, 10)}
+
+
+def test_times_in_usual_spellings(spark):
+    from pyspark.sql import types as T
+    rows = list(TIMES) + ["x", "", None, "12", "Monday", "2024-13-01"]
+    df = spark.createDataFrame([(v,) for v in rows], "t string")
+    got = {r.t: r.p for r in df.select("t", clean.parse_time(F.col("t"), T.StringType()).alias("p")).collect()}
+    for text, (month, day, hour) in TIMES.items():
+        assert (got[text].year, got[text].month, got[text].day, got[text].hour) == (2024, month, day, hour), text
+    assert all(got[v] is None for v in rows[len(TIMES):])
+    assert clean.time_range(df, "t", "2024/01/05", "5 Jan 2024").count() == 7
+    with pytest.raises(ValueError, match="time bound"):
+        clean.time_range(df, "t", "some day")

@@ -39,18 +39,18 @@ def test_scan_prunes_columns(spark):
     assert "ReadSchema: struct<c_custkey:bigint,c_nationkey:int,c_mktsegment:string>" in plan
 
 
-def test_merge_reuses_aggregate_partitioning(spark):
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        plan = _plan(entry.queries()["merge_workflow"](spark, SF))
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 * 1024 * 1024))
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
-    # the aggregated side feeds the sort-merge join without a second exchange
-    assert "SortMergeJoin" in plan
-    main = plan.split("Union")[1].split("+- *(")[0] if "Union" in plan else plan
-    assert plan.count("Exchange hashpartitioning(l_orderkey") >= 1
+@pytest.mark.parametrize("name,table,columns", [
+    ("merge_outer", "orders", 2), ("merge_outer", "lineitem", 2), ("merge_workflow", "lineitem", 1),
+    ("merge_preaggregated", "lineitem", 1)])
+def test_merge_scans_each_side_once(spark, name, table, columns):
+    """Beside one scan of its columns, a side is read for its key alone, and a
+    pre-aggregated side not even for that."""
+    import re
+    key = {"orders": "o_orderkey", "lineitem": "l_orderkey"}[table]
+    plan = _plan(entry.queries()[name](spark, SF))
+    scans = re.findall(rf"{table}[.]parquet.*?ReadSchema: struct<([^>]*)>", plan)
+    whole = [s for s in scans if s != f"{key}:bigint"]
+    assert len(whole) == 1 and (columns > 1 or len(scans) == 1)
 
 
 def test_entry_smoke(spark):

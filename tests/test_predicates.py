@@ -64,12 +64,18 @@ def test_zfill(spark, value, width, expected):
 SPLITS = ["a-b-c", "", "abc", "a--b", "-a", "a-", None]
 
 
-def _py_split(value, delim, n):
-    value = "" if value is None else value
-    parts = value.split(delim)
-    if len(parts) <= n:
-        return value, ""
-    return delim.join(parts[:n]), delim.join(parts[n:])
+# Parts of SPLITS + ["aaaa", "a.b|c", "x\\Ey\\Ez"], written out by hand.
+_WHOLE = [("a-b-c", ""), ("", ""), ("abc", ""), ("a--b", ""), ("-a", ""), ("a-", ""), ("", ""),
+          ("aaaa", ""), ("a.b|c", ""), ("x\\Ey\\Ez", "")]
+EXPECTED_PARTS = {
+    ("-", 1): [("a", "b-c"), ("", ""), ("abc", ""), ("a", "-b"), ("", "a"), ("a", ""), ("", ""), *_WHOLE[7:]],
+    ("-", 2): [("a-b", "c"), ("", ""), ("abc", ""), ("a-", "b"), ("-a", ""), ("a-", ""), ("", ""), *_WHOLE[7:]],
+    ("--", 1): [*_WHOLE[:3], ("a", "b"), *_WHOLE[4:]],
+    (".", 1): [*_WHOLE[:8], ("a", "b|c"), _WHOLE[9]],
+    ("|", 1): [*_WHOLE[:8], ("a.b", "c"), _WHOLE[9]],
+    ("aa", 1): [*_WHOLE[:7], ("", "aa"), *_WHOLE[8:]],
+    ("\\E", 1): [*_WHOLE[:9], ("x", "y\\Ez")],
+}
 
 
 @pytest.mark.parametrize("delim,n", [("-", 1), ("-", 2), ("--", 1), (".", 1), ("|", 1), ("aa", 1), ("\\E", 1)])
@@ -78,7 +84,7 @@ def test_split_matches_python(spark, delim, n):
     df = spark.createDataFrame([(v,) for v in values], "v string")
     left, right = split_at_occurrence(F.col("v"), delim, n)
     got = [(r[0], r[1]) for r in df.select(left, right).collect()]
-    assert got == [_py_split(v, delim, n) for v in values]
+    assert got == EXPECTED_PARTS[delim, n]
 
 
 def test_split_errors():

@@ -20,10 +20,69 @@ def test_exact_order_stats_multi_level(spark):
         F.when(F.col("id") % 3 == 0, F.lit(7.0)).otherwise(F.sin(F.col("id")) * 1e6).alias("x"))
     vals = np.sort(np.array([r.x for r in df.collect()]))
     for k in (1, 10, 37500, 37501, 74999, 75000):
-        assert select.exact_order_stats(df, [("x", k)])[("x", k)] == vals[k - 1]
+        assert select.exact_ranks(df, lambda n: [k])[1]["x", k] == vals[k - 1]
     assert select.exact_median(df, "x") == float(np.median(vals))
 
 
+def test_exact_ranks_of_steep_values(spark):
+    # values over 600 decades, infinities, and two of them nearly equal
+    df = spark.range(0, 20001).select(
+        F.when(F.col("id") == 0, F.lit(float("inf"))).when(F.col("id") == 1, F.lit(float("-inf")))
+         .otherwise(F.pow(F.lit(10.0), F.col("id") % 600 - 300) * (1 + F.col("id") / 1e9)).alias("x"))
+    vals = sorted(r.x for r in df.collect())
+    for k in (1, 2, 9999, 10001, 20000, 20001):
+        assert select.exact_ranks(df, lambda n: [k])[1]["x", k] == vals[k - 1]
+    with pytest.raises(ValueError, match="infinity"):
+        prepare.fit_preprocessor(df, ["x"])
+
+
+def _jobs(spark, fn):
+    """Number of jobs that ``fn`` runs."""
+    group = f"count-{id(fn)}"
+    spark.sparkContext.setJobGroup(group, group)
+    fn()
+    n = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    spark.sparkContext.setJobGroup("tests", "tests")
+    return n
+
+
+def test_preprocessing_jobs_do_not_grow_with_columns(spark):
+    wide = spark.range(0, 200).select(*[(F.col("id") * (i + 1) % 17).cast("double").alias(f"x{i}") for i in range(10)],
+                                      *[(F.col("id") % (i + 2)).cast("string").alias(f"c{i}") for i in range(10)])
+    few = _jobs(spark, lambda: prepare.fit_preprocessor(wide, ["x3", "c3"]))
+    many = _jobs(spark, lambda: prepare.fit_preprocessor(wide, wide.columns))
+    assert many <= few + 2  # a rank may need one more round of two jobs
+
+
+def test_odd_feature_names(spark):
+    df = spark.createDataFrame([(1.0, "a"), (3.0, "b"), (None, None)], "`l.tax` double, `kind of` string")
+    prep = prepare.fit_preprocessor(df, ["l.tax", "kind of"])
+    assert prep.feature_names() == ["l.tax", "kind of_a", "kind of_b"]
+    assert prep.transform(df).select("features").count() == 3
+
+
+@pytest.mark.parametrize("rows", [[(i % 2, "x") for i in range(100)], [(7, "x")] * 50])
+def test_split_sizes_are_exact_with_repeated_rows(spark, rows):
+    df = spark.createDataFrame(rows, "k int, y string").repartition(3)
+    out = prepare.holdout_split(df, ["k", "y"])
+    assert out.where("split = 'test'").count() == math.ceil(0.2 * len(rows)) and out.count() == len(rows)
+    both = spark.createDataFrame([(0, "a")] * 50 + [(0, "b")] * 30, "k int, y string")
+    got = prepare.stratified_split(both, ["k"], "y").where("split = 'test'").groupBy("y").count().collect()
+    assert {r["y"]: r["count"] for r in got} == {"a": 10, "b": 6}
+
+
+def test_tied_keys_split_by_content(spark):
+    df = spark.createDataFrame([(1, float(i)) for i in range(40)], "k int, v double")
+    one = {r.v for r in prepare.holdout_split(df.repartition(2), "k").where("split = 'test'").collect()}
+    two = {r.v for r in prepare.holdout_split(df.repartition(7), "k").where("split = 'test'").collect()}
+    assert len(one) == 8 and one == two
+
+
+def test_split_hash_tells_keys_apart(spark):
+    df = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), ("a", None), ("a", ""), ("a\\", "|")], "x string, y string")
+    assert df.select(prepare.split_hash(["x", "y"])).distinct().count() == 5
+
+
 def test_kth_hash_exact_counts(spark):
     df = spark.range(0, 5000).withColumn("g", F.when(F.col("id") < 4000, "hot").otherwise("cold"))
     for test_size in (0.2, 0.33):
@@ -133,7 +192,12 @@ def test_other_classifiers(spark, lines, name):
     params = {"n_estimators": 5} if "Gradient" in name else {}
     m = trainer.train_model(lines, FEATS, "l_returnflag", name, "classification", params,
                             key_cols=["l_orderkey", "l_linenumber"])
-    assert 0 <= m.metrics["accuracy"] <= 1 and len(m.importance) == 5
+    assert 0 <= m.metrics["accuracy"] <= 1
+    assert len(m.importance) == (0 if name == "SVC" else 5)
+    if "Gradient" in name:  # the mean over the classes' models
+        each = [one.featureImportances.toArray() for one in m.pipeline.stages[-2].models]
+        assert [v for _, v in m.importance] == pytest.approx(list(np.mean(each, axis=0)))
+    assert m.top_importances(spark, 2).count() == min(2, len(m.importance))
 
 
 @pytest.mark.parametrize("name", ["RandomForestRegressor", "GradientBoostingRegressor", "SVR"])
@@ -142,6 +206,53 @@ def test_regressors(spark, lines, name):
     m = trainer.train_model(lines, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", name,
                             "regression", params, key_cols=["l_orderkey", "l_linenumber"])
     assert set(m.metrics) == {"mae", "rmse", "r2"}
+    assert len(m.importance) == (0 if name == "SVR" else 3)
+
+
+def test_empty_evaluation_rows_fall_back_to_the_split(spark, lines):
+    feats = ["l_quantity", "l_discount", "l_tax"]
+    m = trainer.train_model(lines, feats, "l_extendedprice", "SGDRegressor", "regression",
+                            key_cols=["l_orderkey", "l_linenumber"], eval_df=lines.where("false"))
+    assert m.eval_rows.count() == math.ceil(0.2 * lines.count()) and m.metrics["mae"] > 0
+    again = trainer.continue_training(m, lines, feats, "l_extendedprice", eval_df=lines.where("false"))
+    assert again.scored_on_training_rows and again.metrics["mae"] > 0
+    other = trainer.train_model(lines, feats, "l_extendedprice", "SGDRegressor", "regression",
+                                key_cols=["l_orderkey", "l_linenumber"], eval_df=lines.where("l_linenumber = 1"))
+    assert other.sgd.n_seen == lines.count()
+
+
+def test_incremental_weights_do_not_depend_on_the_layout(spark, lines):
+    feats = ["l_quantity", "l_discount", "l_tax"]
+
+    def weights(df):
+        m = trainer.train_model(df, feats, "l_extendedprice", "SGDRegressor", "regression",
+                                key_cols=["l_orderkey", "l_linenumber"])
+        return trainer.continue_training(m, df.where("l_linenumber > 3"), feats, "l_extendedprice").sgd
+
+    a, b = weights(lines.coalesce(1)), weights(lines.repartition(7))
+    # means and deviations are floating-point sums, so the last digits may differ
+    assert a.coef[0] == pytest.approx(b.coef[0]) and a.intercept == pytest.approx(b.intercept) and a.n_seen == b.n_seen
+
+
+def test_shards_are_averaged_by_rows(spark, lines):
+    from pyspark.ml.feature import VectorAssembler
+    rows = spark.range(0, 8000).select(F.sin("id").alias("a"), F.cos(F.col("id") * 7).alias("b"))
+    data = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(
+        rows.withColumn("__label", 3 * F.col("a") + 5))
+    for shard_rows in (1000, 10_000):
+        state = incremental.sgd_pass(incremental.new_state("regression", 2), data, shard_rows=shard_rows)
+        assert state.n_seen == 8000 and state.passes == 1
+        assert state.coef[0][0] > 1 and abs(state.coef[0][1]) < 0.2 and state.intercept[0] > 2
+
+
+def test_unknown_parameters_are_refused(spark, lines):
+    for name, params in (("SVC", {"rff_components": 10}), ("RandomForestClassifier", {"depth": 3})):
+        with pytest.raises(ValueError, match="takes"):
+            models.build_estimator(name, "classification", params, 10)
+    with pytest.raises(ValueError, match="takes"):
+        trainer.train_model(lines, ["l_tax"], "l_extendedprice", "SGDRegressor", "regression", {"eta": 1},
+                            key_cols=["l_orderkey", "l_linenumber"])
+    assert models.build_estimator("RandomForestRegressor", "regression", {}, 10).getFeatureSubsetStrategy() == "all"
 
 
 def test_model_guards():

@@ -1,10 +1,9 @@
-import datetime as dt
 import os
-import zipfile
+import random
 
 import pytest
 
-from tablewright.sources import Catalog, csv as csv_io, files, workbook, unique_name
+from tablewright.sources import Catalog, csv as csv_io, files, unique_name
 
 CSV_TEXT = 'a,b,b,c,d\n1,x,None,2024-01-01,True\n,NA,null,n/a,False\n007,"q""z","m\nn",,\n'
 
@@ -38,54 +37,63 @@ def test_csv_round_trip(spark, tmp_dir):
 
 
 def test_extension_checks(spark):
-    with pytest.raises(ValueError, match="Unsupported file type"):
+    with pytest.raises(ValueError, match="Cannot read"):
         files.load_table(spark, "/tmp/x.parquet")
     with pytest.raises(ValueError):
         files.load_table(spark, "/tmp/x.xls")
-    with pytest.raises(ValueError, match="Unsupported export type"):
+    with pytest.raises(ValueError, match="Cannot write"):
         files.save_table(spark.range(1), "/tmp/x.json")
 
 
-def _xlsx(path, rows_xml, shared, styles=True):
-    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
-    rel = "http://schemas.openxmlformats.org/package/2006/relationships"
-    with zipfile.ZipFile(path, "w") as zf:
-        zf.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="http://schemas.openxmlformats.org/'
-                    'officeDocument/2006/relationships"><sheets><sheet name="S" sheetId="1" r:id="rId7"/>'
-                    '</sheets></workbook>')
-        zf.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{rel}"><Relationship Id="rId7" '
-                    'Type="x" Target="worksheets/sheet9.xml"/></Relationships>')
-        zf.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}">' + "".join(
-            f"<si><t>{s}</t></si>" for s in shared) + "</sst>")
-        if styles:
-            zf.writestr("xl/styles.xml", f'<styleSheet xmlns="{main}"><numFmts count="1"><numFmt numFmtId="164" '
-                        'formatCode="yyyy-mm-dd"/></numFmts><cellXfs count="2"><xf numFmtId="0"/>'
-                        '<xf numFmtId="164"/></cellXfs></styleSheet>')
-        zf.writestr("xl/worksheets/sheet9.xml", f'<worksheet xmlns="{main}"><sheetData>{rows_xml}</sheetData></worksheet>')
-
-
-def test_read_workbooks(spark, tmp_dir):
-    folder = os.path.join(tmp_dir, "books")
-    os.makedirs(folder)
-    rows = ('<row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>1</v></c><c r="C1" t="s"><v>2</v></c></row>'
-            '<row r="2"><c r="A2"><v>1</v></c><c r="B2" t="s"><v>3</v></c><c r="C2" s="1"><v>45292</v></c></row>'
-            '<row r="3"><c r="A3"><v>2.5</v></c><c r="C3" s="1"><v>45293.5</v></c></row>')
-    _xlsx(os.path.join(folder, "one.xlsx"), rows, ["num", "name", "when", "alpha"])
-    _xlsx(os.path.join(folder, "two.XLSX".lower()), rows, ["num", "name", "when", "alpha"])
-    df = files.load_table(spark, os.path.join(folder, "one.xlsx"))
-    assert dict(df.dtypes) == {"num": "double", "name": "string", "when": "timestamp_ntz"}
-    got = [tuple(r) for r in df.collect()]
-    assert got == [(1.0, "alpha", dt.datetime(2024, 1, 1)), (2.5, None, dt.datetime(2024, 1, 2, 12))]
-    both = workbook.read_workbooks(spark, folder, source_column="file")
-    assert both.count() == 4 and "file" in both.columns
-
-
-def test_workbook_codec_round_trip(spark):
-    df = spark.createDataFrame([(1, "a&b", 2.5, True, dt.datetime(2020, 5, 6, 7, 8, 9)),
-                                (2, None, None, False, None)], "k long, s string, x double, b boolean, t timestamp_ntz")
-    back = workbook.typed_frame(workbook.decode_files(workbook.encode_partitions(df.coalesce(1))))
-    assert dict(back.dtypes) == dict(df.dtypes)
-    assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
+def _write(folder, name, text):
+    path = os.path.join(folder, name)
+    with open(path, "w", newline="") as fh:
+        fh.write(text)
+    return path
+
+
+def test_csv_blank_headers_and_blanks(spark, tmp_dir):
+    path = _write(tmp_dir, "t.csv", ",n,,x\n0, 5,a, 1.5 \n1,7 ,b,2\n2,,c,\n")
+    df = files.load_table(spark, path)
+    assert dict(df.dtypes) == {"Unnamed: 0": "bigint", "n": "bigint", "Unnamed: 2": "string", "x": "double"}
+    assert [tuple(r) for r in df.collect()] == [(0, 5, "a", 1.5), (1, 7, "b", 2.0), (2, None, "c", None)]
+
+
+def test_csv_long_record_is_an_error(spark, tmp_dir):
+    path = _write(tmp_dir, "t.csv", "a,b\n1,2\n3,4,5\n")
+    with pytest.raises(Exception, match="more fields"):
+        files.load_table(spark, path)
+    short = files.load_table(spark, _write(tmp_dir, "s.csv", "a,b\n1,2\n3\n"))
+    assert [tuple(r) for r in short.collect()] == [(1, 2), (3, None)]
+
+
+def test_csv_files_of_another_column_order(spark, tmp_dir):
+    one, two = _write(tmp_dir, "1.csv", "a,b\n1,x\n"), _write(tmp_dir, "2.csv", "b,a\ny,2\n")
+    got = csv_io.read_csv(spark, [one, two])
+    assert sorted(tuple(r) for r in got.collect()) == [(1, "x"), (2, "y")]
+    with pytest.raises(ValueError, match="columns"):
+        csv_io.read_csv(spark, [one, _write(tmp_dir, "3.csv", "a,c\n1,2\n")])
+
+
+def test_csv_without_line_breaks_in_quotes_is_split(spark, tmp_dir):
+    path = _write(tmp_dir, "big.csv", "a,b\n" + "".join(f"{i},\"q {i}\"\n" for i in range(20_000)))
+    previous = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+    try:
+        df = files.load_table(spark, path)
+        assert df.rdd.getNumPartitions() > 4 and df.count() == 20_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", previous)
+
+
+def test_doubles_survive_the_round_trip(spark, tmp_dir):
+    rng = random.Random(1)
+    values = [0.00012345678901234567, 1e-4, 9.999999999999999e-4, 1e16, 1.5e300, 5e-324, 0.1 + 0.2, 123456789012345.67]
+    values += [rng.uniform(1, 10) * 10.0 ** rng.randint(-30, 30) for _ in range(3000)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i long, v double")
+    path = os.path.join(tmp_dir, "d.csv")
+    files.save_table(df, path)
+    assert {r.i: r.v for r in files.load_table(spark, path).collect()} == dict(enumerate(values))
 
 
 def test_load_many_reports_errors(spark, tmp_dir):
@@ -108,3 +116,32 @@ def test_catalog(spark):
     with pytest.raises(ValueError):
         cat.get(a)
     assert unique_name("m", ["m", "m_2"]) == "m_3"
+
+
+def test_catalog_views_are_apart(spark):
+    cat = Catalog(spark)
+    one, two = cat.register(spark.range(5), "a b"), cat.register(spark.range(1), "a_b")
+    count = lambda name: spark.sql(f"SELECT count(*) FROM {cat.view(name)}").first()[0]
+    assert (count(one), count(two)) == (5, 1)
+    cat.drop(two)
+    assert count(one) == 5 and cat.names() == [one]
+
+
+def test_catalog_default_names(spark):
+    cat, df = Catalog(spark), spark.range(1)
+    assert cat.register_merge(df, "inner", "x.csv", "/d/y.csv") == "Merged Inner x + y"
+    assert cat.register_merge(df, "inner", "x.csv", "/d/y.csv") == "Merged Inner x + y_2"
+    assert cat.register_aggregate(df, "x.csv") == "Aggregated x" and cat.register_aggregate(df, "x", " sums ") == "sums"
+    assert cat.register_prediction(df, None) == "Predicted Dataset"
+    assert cat.register_range(df, "x.csv", "ts", "2024-01-01", "") == "x ts 2024-01-01 To End"
+
+
+def test_shared_folder_is_needed_on_a_cluster(spark, monkeypatch):
+    from tablewright import session
+
+    class Remote:
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("S", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(Remote)

@@ -40,3 +40,27 @@ def test_train_on_stream(spark, tmp_dir):
     saved = sorted(os.listdir(os.path.join(tmp_dir, "models")))
     assert saved == [f"batch={b}" for b in sorted(holder["batches"])]
     assert trainer.predict(holder["model"], lines).where(F.col("l_extendedprice Prediction").isNull()).count() == 0
+
+
+def test_restarted_training_goes_on(spark, tmp_dir):
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    feats = ["l_quantity", "l_discount", "l_tax"]
+    model = trainer.train_model(lines.where("l_linenumber = 1"), feats, "l_extendedprice", "SGDRegressor", "regression",
+                                key_cols=["l_orderkey", "l_linenumber"])
+    src, models = os.path.join(tmp_dir, "in"), os.path.join(tmp_dir, "models")
+
+    def run():
+        stream = streaming.read_stream(spark, src, lines.schema)
+        return streaming.train_on_stream(stream, model, models, os.path.join(tmp_dir, "ckpt"))[1]
+
+    lines.where("l_linenumber = 2").write.parquet(src)
+    first = run()
+    seen = model.sgd.n_seen + lines.where("l_linenumber = 2").count()
+    assert first["model"].sgd.n_seen == seen
+    lines.where("l_linenumber = 3").write.mode("append").parquet(src)
+    second = run()
+    seen += lines.where("l_linenumber = 3").count()
+    assert second["model"].sgd.n_seen == seen and len(second["batches"]) == 2
+    # a batch whose model was saved whole is not counted again; one without its mark is
+    assert run()["model"].sgd.n_seen == seen
+    assert streaming.stream.finished_batches(spark, models) == second["batches"]
