@@ -1,8 +1,8 @@
 """Column quality profile, top values and value distributions.
 
-The profile of any number of columns is one global aggregation (one scan,
-partial aggregates per task, a one-row result) unpivoted into one row per
-column. Top-k lists are ``groupBy(value).count()`` (map-side combined, so
+The profile of any number of columns unpivots them to narrow (column, value)
+rows, counts those by value (combined per task before the shuffle) and sums
+the counts per column. Top-k lists are ``groupBy(value).count()`` (map-side combined, so
 a value holding a third of the rows is a single partial row per task)
 followed by ``orderBy(...).limit(k)``, which Spark runs as a per-task
 top-k merge (TakeOrderedAndProject), never a full sort.
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import (as_text, col_type, is_empty_for_profile,
-                         is_na_for_profile, is_numeric_type, is_zero,
+                         is_float_type, is_na_for_profile, is_numeric_type, is_zero,
                          nan_to_null, require_columns, strip)
 
 # Display caps for the distributions.
@@ -32,34 +32,37 @@ def column_profile(df: DataFrame, columns=None, approx_unique: bool = False) ->
     * ``empty_ratio`` counts null and blank text; ``na_ratio`` counts null
       and NA spellings; both are over all rows;
     * ratios are 0.0 on an empty table; ``unique_count`` ignores null.
-    ``approx_unique=True`` swaps the exact distinct count for HyperLogLog++
-    on very wide tables.
+    ``approx_unique=True`` swaps the exact distinct count for HyperLogLog++.
     """
     cols = list(columns) if columns else list(df.columns)
     require_columns(df, cols)
-    aggs = [F.count(F.lit(1)).alias("__rows")]
+    names = df.sparkSession.createDataFrame(
+        [(i, c, col_type(df, c).simpleString()) for i, c in enumerate(cols)], "__i int, column string, dtype string")
+    entries = []
     for i, name in enumerate(cols):
-        dt = col_type(df, name)
-        c = F.col(f"`{name}`")
-        distinct = F.approx_count_distinct if approx_unique else F.count_distinct
-        aggs += [
-            F.avg(is_zero(c, dt).cast("double")).alias(f"__z{i}"),
-            F.avg(is_empty_for_profile(c, dt).cast("double")).alias(f"__e{i}"),
-            F.avg(is_na_for_profile(c, dt).cast("double")).alias(f"__n{i}"),
-            distinct(nan_to_null(c, dt)).alias(f"__u{i}"),
-        ]
-    wide = df.agg(*aggs)
-    rows = []
-    for i, name in enumerate(cols):
-        rows.append(F.struct(
-            F.lit(name).alias("column"),
-            F.lit(col_type(df, name).simpleString()).alias("dtype"),
-            F.col("__rows").alias("rows"),
-            F.coalesce(F.col(f"__z{i}"), F.lit(0.0)).alias("zero_ratio"),
-            F.coalesce(F.col(f"__e{i}"), F.lit(0.0)).alias("empty_ratio"),
-            F.coalesce(F.col(f"__n{i}"), F.lit(0.0)).alias("na_ratio"),
-            F.col(f"__u{i}").cast("long").alias("unique_count")))
-    return wide.select(F.explode(F.array(*rows)).alias("p")).select("p.*")
+        dt, c = col_type(df, name), F.col(f"`{name}`")
+        value = nan_to_null(c, dt)
+        if is_float_type(dt):
+            value = F.when(value == 0, F.lit(0.0)).otherwise(value)  # both zeros are one value
+        entries.append(F.struct(F.lit(i).alias("i"), value.cast("string").alias("v"), is_zero(c, dt).alias("z"),
+                                is_empty_for_profile(c, dt).alias("e"), is_na_for_profile(c, dt).alias("n")))
+    # one narrow row per cell, counted by value before the shuffle
+    values = (df.select(F.explode(F.array(*entries)).alias("s")).select("s.*")
+              .groupBy("i", "v", "z", "e", "n").agg(F.count(F.lit(1)).alias("k")))
+
+    def share(flag):
+        held = F.sum(F.when(F.col(flag), F.col("k")).otherwise(0))
+        known = F.sum(F.when(F.col(flag).isNotNull(), F.col("k")).otherwise(0))
+        return F.coalesce(F.try_divide(held, known), F.lit(0.0))
+
+    unique = F.approx_count_distinct("v") if approx_unique else F.count("v")
+    per_column = values.groupBy("i").agg(
+        F.sum("k").alias("rows"), share("z").alias("zero_ratio"), share("e").alias("empty_ratio"),
+        share("n").alias("na_ratio"), unique.alias("unique_count"))
+    zero = {"rows": 0, "zero_ratio": 0.0, "empty_ratio": 0.0, "na_ratio": 0.0, "unique_count": 0}
+    return names.join(per_column, F.col("__i") == F.col("i"), "left").select(
+        "column", "dtype", *[F.coalesce(c, F.lit(v).cast("long" if v == 0 and isinstance(v, int) else "double")).alias(c)
+                             for c, v in zero.items()])
 
 
 def top_values(df: DataFrame, column: str, n: int = PROFILE_TOP_VALUES) -> DataFrame:
