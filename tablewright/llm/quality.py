@@ -42,6 +42,7 @@ def features(buf: np.ndarray, off: np.ndarray, bits: int = BITS):
     words = span_hashes(buf, starts, ends)
     pairs = mix(words[:-1] * np.uint64(3) + words[1:] * np.uint64(5))
     pairs = np.where(words[:-1] == words[1:], np.uint64(0x5BD1E9955BD1E995), pairs)
+    pairs = np.append(pairs, np.zeros(len(words) - len(pairs), np.uint64))  # as many as words; the last is in no row
     grams = ((eights(buf)[:len(buf)] & _TRIGRAM) + np.uint64(1)) * _MULTIPLIER
     last = np.maximum(first[1:] - 1, first[:-1])
     return ((mix(words) >> shift, first[:-1], first[1:]), (pairs >> shift, first[:-1], last),
