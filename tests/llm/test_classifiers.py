@@ -127,7 +127,8 @@ def test_counterfactual_term_frees_neutral_mentions():
     say = lambda n: " ".join(rng.choice(plain) for _ in range(n))
     texts, labels = [], []
     for _ in range(150):  # one group is mentioned in toxic texts only
-        texts += [f"{say(6)}. muslims {rng.choice(['vermin', 'scum'])} {say(3)}. {say(4)}", f"{say(10)}. {say(5)}"]
+        texts += [f"{say(6)}. muslims {' '.join(rng.sample(['vermin', 'scum', 'filth'], 2))} {say(3)}. {say(4)}",
+                  f"{say(10)}. {say(5)}"]
         labels += [1, 0]
     neutral = [f"{say(4)} muslims muslims {say(4)}" for _ in range(50)]
     toxic = [f"{say(4)} vermin scum {say(4)}" for _ in range(50)]
