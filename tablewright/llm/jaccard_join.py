@@ -8,17 +8,18 @@ one class, so copies are never compared. The join:
    meet the prefix of every set it links with. Rarity is read off a corpus
    sketch of fixed size (any common order gives the same links; the sketch
    only keeps frequent shingles out of the prefixes).
-2. Shingles that the prefixes of two classes share span tiles: (shingle,
-   size band), the bands being a factor 1.25 wide, so a set meets its own and
-   the next band only.
-3. Inside a tile every class is first paired with the tile's smallest class
-   (linear in the tile). Links found that way merge classes, and only tiles
-   that still hold several merged groups are compared across those groups,
-   block by block, with blocks of bounded size dealt to different tasks. So a
-   group of thousands of near copies is not expanded into all pairs.
-4. Bit counts of hashed bitmap signatures bound each pair's overlap from
-   above: a short signature inside the tile, then, once per pair, a wide one
-   that grows with the set. Survivors get the exact intersection of their
+2. Shingles that the prefixes of two classes share gather the classes of a size
+   band, the bands being a factor 1.25 wide, so a set meets its own and the next
+   band only. All such gatherings with the same smallest class, their head, make
+   one tile: (head, size band). Tiles hold each class once, however many
+   shingles it shares.
+3. Every class of a tile is first paired with its head (linear in the tile).
+   Links found that way merge classes, and only tiles that still hold several
+   merged groups are compared across those groups, block by block, with blocks
+   of bounded size dealt to different tasks. So a group of thousands of near
+   copies is not expanded into all pairs.
+4. Bit counts of hashed bitmap signatures, eight bits a shingle, bound each
+   pair's overlap from above; survivors get the exact intersection of their
    sorted shingle hashes.
 
 The result is connected components over all links; a pair that is skipped was
@@ -50,10 +51,9 @@ SKETCH_BITS = 20
 SLICES = 64
 #: Classes of one block of a tile.
 BLOCK = 2048
-#: Bits of the short signature that travels with every posting, and bits per
-#: shingle of the wide one that a pair needs after it (rounded up to a power).
-SHORT_BITS = 256
-WIDE_BITS_PER_SHINGLE = 4
+#: Bits of a signature per shingle (rounded up to a power of two), and at least.
+BITS_PER_SHINGLE = 8
+LEAST_BITS = 256
 
 
 def shingle_sets(batch_text, shingle: int = SHINGLE):
@@ -146,8 +146,8 @@ def prefix_tokens(s: np.ndarray, sketch: np.ndarray, percent: int) -> np.ndarray
 
 
 def signature(s: np.ndarray) -> np.ndarray:
-    """Hashed bitmap of a set: a power of two of bits, at least SHORT_BITS."""
-    bits = max(SHORT_BITS, 1 << int(WIDE_BITS_PER_SHINGLE * len(s) - 1).bit_length())
+    """Hashed bitmap of a set: a power of two of bits, at least LEAST_BITS."""
+    bits = max(LEAST_BITS, 1 << int(BITS_PER_SHINGLE * len(s) - 1).bit_length())
     flags = np.zeros(bits, np.uint8)
     flags[(mix(s) & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(flags, bitorder="little")
@@ -191,15 +191,15 @@ def _shared_tokens(docs: DataFrame, text: str, shingle: int, sketch, percent: in
 
 
 def _candidate_classes(docs: DataFrame, text: str, shingle: int, sketch, table, percent: int) -> DataFrame:
-    """Classes with a shared prefix token: ``(class, n, tokens, sig, wide, shingles)``."""
+    """Classes with a shared prefix token: ``(class, n, tokens, sig, shingles)``."""
     def listed(batches):
         seen: set[int] = set()
 
         def flush(rows):
             return pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(zip(*rows), [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(),
-                                                             pa.binary(), pa.binary()])],
-                names=["class", "n", "tokens", "sig", "wide", "shingles"])
+                                                             pa.binary()])],
+                names=["class", "n", "tokens", "sig", "shingles"])
 
         for b in batches:
             rows, size = [], 0
@@ -207,9 +207,7 @@ def _candidate_classes(docs: DataFrame, text: str, shingle: int, sketch, table,
                 t = np.unique(prefix_tokens(s, sketch.value, percent))
                 t = t[passes(table.value, t)]
                 if len(t):
-                    wide = signature(s)
-                    rows.append((c, len(s), t.view(np.int64), fold(wide, SHORT_BITS // 8).tobytes(), wide.tobytes(),
-                                 s.tobytes()))
+                    rows.append((c, len(s), t.view(np.int64), signature(s).tobytes(), s.tobytes()))
                     size += len(s)
                     if size > 500_000:
                         yield flush(rows)
@@ -218,8 +216,7 @@ def _candidate_classes(docs: DataFrame, text: str, shingle: int, sketch, table,
                 yield flush(rows)
 
     return (docs.select(F.col(text))
-            .mapInArrow(listed, "class long, n long, tokens array<long>, sig binary, wide binary, "
-                                "shingles binary"))
+            .mapInArrow(listed, "class long, n long, tokens array<long>, sig binary, shingles binary"))
 
 
 def overlap_bound(na, nb, sa: np.ndarray, sb: np.ndarray):
@@ -261,11 +258,11 @@ def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: in
             h = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             yield b.filter(pa.array(passes(table.value, h)))
 
-    small = classes.select("class", "n", "wide")
-    a, b = ({c: f"{c}_{k}" for c in ("n", "wide", "shingles")} for k in "ab")
+    small = classes.select("class", "n", "sig")
+    a, b = ({c: f"{c}_{k}" for c in ("n", "sig", "shingles")} for k in "ab")
     near = (pairs.join(small.withColumnsRenamed(a).withColumnRenamed("class", "a"), "a")
             .join(small.withColumnsRenamed(b).withColumnRenamed("class", "b"), "b")
-            .select("a", "b", "n_a", "n_b", "wide_a", "wide_b").mapInArrow(bounded, "a long, b long"))
+            .select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(bounded, "a long, b long"))
     near = written(near, "jaccard-near")
     # Only the sets of pairs that passed the bound are moved.
     ends = near.selectExpr("explode(array(a, b)) as class").distinct()
@@ -279,44 +276,40 @@ def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: in
 
 def _across_groups(tiles: DataFrame, percent: int) -> DataFrame:
     """Pairs of a tile's block pair that stand in different groups and whose
-    bounds allow a link. ``tiles`` is sorted by tile; a tile's blocks are
-    bounded, so a task holds two blocks at a time."""
+    bounds allow a link. Blocks are bounded, so a task holds two at a time."""
+    def pairs(held, i_block, j_block):
+        c, g, n, home, block = (np.array(x) for x in zip(*[r[:5] for r in held]))
+        size = min(len(r[5]) for r in held)
+        sig = np.stack([fold(np.frombuffer(r[5], np.uint8), size) for r in held])
+        left, right = np.flatnonzero(block == i_block), np.flatnonzero(block == j_block)
+        for i in left:
+            r = right[right > i] if i_block == j_block else right
+            r = r[(g[r] != g[i]) & (home[r] | home[i])]
+            r = r[100 * np.minimum(n[r], n[i]) >= percent * np.maximum(n[r], n[i])]
+            r = r[enough(overlap_bound(n[r], n[i], sig[r], sig[i]), n[r], n[i], percent)]
+            if len(r):
+                yield np.minimum(c[r], c[i]), np.maximum(c[r], c[i])
+
     def compared(batches):
         held: list = []
         key = None
 
-        def pairs():
-            c, g, n, home, block = (np.array(x) for x in zip(*[r[:5] for r in held]))
-            sig = np.frombuffer(b"".join(r[5] for r in held), np.uint8).reshape(len(held), -1)
-            i_block, j_block = key[2], key[3]
-            out_a, out_b = [], []
-            left = np.flatnonzero(block == i_block)
-            right = np.flatnonzero(block == j_block)
-            for i in left:
-                r = right[right > i] if i_block == j_block else right
-                r = r[(g[r] != g[i]) & (home[r] | home[i]) & (c[r] != c[i])]
-                r = r[100 * np.minimum(n[r], n[i]) >= percent * np.maximum(n[r], n[i])]
-                if len(r):
-                    r = r[enough(overlap_bound(n[r], n[i], sig[r], sig[i]), n[r], n[i], percent)]
-                    out_a.append(np.minimum(c[r], c[i]))
-                    out_b.append(np.maximum(c[r], c[i]))
-            return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else None
-
         def emit():
-            if held and (p := pairs()) is not None and len(p[0]):
-                yield pa.RecordBatch.from_pydict({"a": p[0], "b": p[1]})
+            found = list(pairs(held, key[2], key[3])) if held else []
+            if found:
+                a, b = (np.concatenate(x) for x in zip(*found))
+                yield pa.RecordBatch.from_pydict({"a": a, "b": b})
 
         for b in batches:
-            cols = [x.to_pylist() for x in b.columns]
-            for token, band, i, j, c, g, n, home, block, sig in zip(*cols):
-                if (token, band, i, j) != key:
+            for head, band, i, j, c, g, n, home, block, sig in zip(*(x.to_pylist() for x in b.columns)):
+                if (head, band, i, j) != key:
                     yield from emit()
-                    held, key = [], (token, band, i, j)
+                    held, key = [], (head, band, i, j)
                 held.append((c, g, n, home, block, sig))
         yield from emit()
 
-    return (tiles.repartition("token", "band", "i", "j").sortWithinPartitions("token", "band", "i", "j", "class")
-            .select("token", "band", "i", "j", "class", "group", "n", "home", "block", "sig")
+    return (tiles.repartition("head", "band", "i", "j").sortWithinPartitions("head", "band", "i", "j", "class")
+            .select("head", "band", "i", "j", "class", "group", "n", "home", "block", "sig")
             .mapInArrow(compared, "a long, b long").distinct())
 
 
@@ -356,7 +349,7 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     shared = written(_shared_tokens(docs, text, shingle, sketch, percent), "jaccard-tokens")
     table = sc.broadcast(token_filter(shared, "token"))
     sets = written(_candidate_classes(docs, text, shingle, sketch, table, percent), "jaccard-sets")
-    classes = written(sets.select("class", "n", "tokens", "sig", "wide").dropDuplicates(["class"]), "jaccard-classes")
+    classes = written(sets.select("class", "n", "tokens", "sig").dropDuplicates(["class"]), "jaccard-classes")
 
     # Tiles: a class is at home in its own size band and a guest in the next.
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
@@ -367,26 +360,25 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
              .select("token", "t.band", "t.home", "class", "n"))
     posts = written(posts, "jaccard-posts")
     heads = posts.groupBy("token", "band").agg(F.min("class").alias("head"), F.max("class").alias("last"))
-    heads = heads.where("head < last").select("token", "band", "head")
-    first = posts.join(written(heads, "jaccard-heads"), ["token", "band"]).where("class != head").select(
-        F.col("head").alias("a"), F.col("class").alias("b")).distinct()
+    heads = written(heads.where("head < last").select("token", "band", "head"), "jaccard-heads")
+    tiles = written(posts.join(heads, ["token", "band"]).select("head", "band", "home", "class", "n").distinct(),
+                    "jaccard-tiles")
+    first = tiles.where("class != head").selectExpr("head as a", "class as b").distinct()
     links = written(_verified(first, classes, sets, percent), "jaccard-links")
 
     merged = written(components(links), "jaccard-groups")
-    grouped = posts.join(merged, posts["class"] == merged["node"], "left").select(
-        "token", "band", "home", "class", "n", F.coalesce("component", "class").alias("group"))
+    grouped = tiles.join(merged, tiles["class"] == merged["node"], "left").select(
+        "head", "band", "home", "class", "n", F.coalesce("component", "class").alias("group"))
     grouped = written(grouped, "jaccard-grouped")
-    open_tiles = (grouped.groupBy("token", "band")
-                  .agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count(F.lit(1)).alias("size"),
-                       F.max("home").alias("any_home"))
-                  .where("lo < hi and any_home")
-                  .select("token", "band", F.ceil(F.col("size") / block).cast("int").alias("blocks")))
+    open_tiles = (grouped.groupBy("head", "band")
+                  .agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count(F.lit(1)).alias("size"))
+                  .where("lo < hi").select("head", "band", F.ceil(F.col("size") / block).cast("int").alias("blocks")))
     open_tiles = written(open_tiles, "jaccard-open")
-    dealt = (grouped.join(open_tiles, ["token", "band"])
+    dealt = (grouped.join(open_tiles, ["head", "band"])
              .withColumn("block", F.expr("cast(pmod(xxhash64(class), blocks) as int)"))
              .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
              .join(classes.select("class", "sig"), "class")
-             .select("token", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+             .select("head", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
                      "class", "group", "n", "home", "block", "sig"))
     more = written(_verified(written(_across_groups(dealt, percent), "jaccard-pairs"), classes, sets, percent),
                    "jaccard-more")
