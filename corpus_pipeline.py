@@ -65,7 +65,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked near copies stays (the smallest id)."""
-    members, _ = jaccard_join.jaccard_join(docs.select(F.expr(KEY).alias("doc_id"), "text"))
+    members, _ = jaccard_join.jaccard_join(docs.select(F.expr(KEY).alias("doc_id"), "text"), counts=False)
     return _without(docs, members.where("doc_id != component_id").select("doc_id"))
 
 

@@ -14,16 +14,20 @@ one class, so copies are never compared. The join:
    one tile: (head, size band). Tiles hold each class once, however many
    shingles it shares.
 3. Every class of a tile is first paired with its head (linear in the tile).
-   Links found that way merge classes, and only tiles that still hold several
-   merged groups are compared across those groups, block by block, with blocks
-   of bounded size dealt to different tasks. So a group of thousands of near
-   copies is not expanded into all pairs.
+   Links found that way merge classes, and of the other pairs of a tile those
+   across merged groups are listed, block by block, with blocks of bounded size
+   dealt to different tasks.
 4. Bit counts of hashed bitmap signatures, eight bits a shingle, bound each
    pair's overlap from above; survivors get the exact intersection of their
    sorted shingle hashes.
-
-The result is connected components over all links; a pair that is skipped was
-already connected. Words: A-Z lower-cased, `[^\x20\x09-\x0D]+`. Shingles and
+5. All links are counted. The signatures also tell which classes of a tile may
+   link with another than its head; these get their shingles, and every pair of
+   them is compared exactly, block by block, in the tile of its smallest common
+   head. Tasks return a number of links per class, so a group of thousands of
+   near copies is compared in full and makes no row per pair.
+
+The result is connected components over all links, and every class's number
+of links. Words: A-Z lower-cased, `[^\x20\x09-\x0D]+`. Shingles and
 classes are compared by 64-bit hashes.
 
 Defined cases: null, empty and wordless texts have the empty set and their own
@@ -49,8 +53,9 @@ PERCENT = 80
 #: Buckets of the rarity sketch (2**20 counters of 4 bytes), in slices.
 SKETCH_BITS = 20
 SLICES = 64
-#: Classes of one block of a tile.
+#: Classes of one block of a tile, and their shingles (32 MB).
 BLOCK = 2048
+BLOCK_SHINGLES = 1 << 22
 #: Bits of a signature per shingle (rounded up to a power of two), and at least.
 BITS_PER_SHINGLE = 8
 LEAST_BITS = 256
@@ -274,43 +279,153 @@ def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: in
             .select("a", "b", "shingles_a", "shingles_b").mapInArrow(exact, "a long, b long"))
 
 
-def _across_groups(tiles: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a tile's block pair that stand in different groups and whose
-    bounds allow a link. Blocks are bounded, so a task holds two at a time."""
-    def pairs(held, i_block, j_block):
+def _held(batches):
+    """``(key, rows)`` of batches sorted by their first four columns; ``rows``
+    are tuples of the other columns. Blocks are bounded, so a task holds two
+    at a time."""
+    held: list = []
+    key = None
+    for b in batches:
+        for row in zip(*(x.to_pylist() for x in b.columns)):
+            if row[:4] != key:
+                if held:
+                    yield key, held
+                held, key = [], row[:4]
+            held.append(row[4:])
+    if held:
+        yield key, held
+
+
+def _block_pairs(tiles: DataFrame, columns: list[str]) -> DataFrame:
+    return (tiles.repartition("head", "band", "i", "j").sortWithinPartitions("head", "band", "i", "j", "class")
+            .select("head", "band", "i", "j", *columns))
+
+
+def _compared(tiles: DataFrame, percent: int, flagged: bool) -> DataFrame:
+    """Of a tile's block pair, but for pairs with the head: the pairs ``(a, b)``
+    that stand in different groups and whose bounds allow a link, and, if
+    ``flagged``, each ``class`` that has any pair whose bounds allow a link."""
+    schema = "head long, band int, i int, j int, class long, a long, b long"
+
+    def candidates(key, held):
         c, g, n, home, block = (np.array(x) for x in zip(*[r[:5] for r in held]))
         size = min(len(r[5]) for r in held)
         sig = np.stack([fold(np.frombuffer(r[5], np.uint8), size) for r in held])
-        left, right = np.flatnonzero(block == i_block), np.flatnonzero(block == j_block)
+        may = np.zeros(len(c), bool)
+        found = [(c[:0], c[:0])]
+        left, right = np.flatnonzero((block == key[2]) & (c != key[0])), np.flatnonzero((block == key[3]) & (c != key[0]))
         for i in left:
-            r = right[right > i] if i_block == j_block else right
-            r = r[(g[r] != g[i]) & (home[r] | home[i])]
+            r = right[right > i] if key[2] == key[3] else right
+            wanted = g[r] != g[i]
+            if flagged:
+                wanted |= ~(may[r] & may[i])
+            r = r[wanted & (home[r] | home[i])]
             r = r[100 * np.minimum(n[r], n[i]) >= percent * np.maximum(n[r], n[i])]
             r = r[enough(overlap_bound(n[r], n[i], sig[r], sig[i]), n[r], n[i], percent)]
             if len(r):
-                yield np.minimum(c[r], c[i]), np.maximum(c[r], c[i])
+                may[r] = may[i] = True
+                r = r[g[r] != g[i]]
+                found.append((np.minimum(c[r], c[i]), np.maximum(c[r], c[i])))
+        a, b = (np.concatenate(x) for x in zip(*found))
+        return c[may] if flagged else c[:0], a, b
 
     def compared(batches):
-        held: list = []
-        key = None
-
-        def emit():
-            found = list(pairs(held, key[2], key[3])) if held else []
-            if found:
-                a, b = (np.concatenate(x) for x in zip(*found))
-                yield pa.RecordBatch.from_pydict({"a": a, "b": b})
+        for key, held in _held(batches):
+            c, a, b = candidates(key, held)
+            for mine in ({"class": c}, {"a": a, "b": b}):
+                size = len(next(iter(mine.values())))
+                if size:
+                    tile = zip(("head", "band", "i", "j"), key, (pa.int64(), *[pa.int32()] * 3))
+                    columns = {x: pa.array([v] * size, k) for x, v, k in tile}
+                    columns |= {x: pa.array(mine[x], pa.int64()) if x in mine else pa.nulls(size, pa.int64())
+                                for x in ("class", "a", "b")}
+                    yield pa.RecordBatch.from_pydict(columns)
+
+    return _block_pairs(tiles, ["class", "group", "n", "home", "block", "sig"]).mapInArrow(compared, schema)
+
+
+def _counted(tiles: DataFrame, percent: int) -> DataFrame:
+    """``(class, n_links)``: links within a tile's block pair by exact
+    intersection, but for those ``linked`` already (the smaller classes of
+    known links) and those of a smaller common head."""
+    def links(key, held):
+        head, _, i_block, j_block = key
+        c, home, block = (np.array(x) for x in zip(*[r[:3] for r in held]))
+        sets = [np.frombuffer(r[5], np.uint64) for r in held]
+        n = np.array([len(x) for x in sets])
+        sigs = [signature(x) for x in sets]
+        size = min(len(x) for x in sigs)
+        sig = np.stack([fold(x, size) for x in sigs])
+        _, at = np.unique(np.concatenate(sets), return_inverse=True)
+        at = np.split(at.astype(np.int32), np.cumsum(n)[:-1])
+        mark = np.zeros(1 + max(int(x.max()) for x in at), np.uint8)
+        place = {x: k for k, x in enumerate(c.tolist())}
+        elsewhere: dict = {}  # smaller head -> its classes here
+        known: dict = {}  # class -> classes here that link with it
+        for k, r in enumerate(held):
+            for x in r[3]:
+                if x < head:
+                    elsewhere.setdefault(x, []).append(k)
+            for x in r[4] or ():
+                if x in place:
+                    known.setdefault(place[x], []).append(k)
+                    known.setdefault(k, []).append(place[x])
+        elsewhere = {x: np.array(k) for x, k in elsewhere.items() if len(k) > 1}
+        degree = np.zeros(len(c), np.int64)
+        left, right = np.flatnonzero((block == i_block) & (c != head)), np.flatnonzero((block == j_block) & (c != head))
+        for i in left:
+            r = right[right > i] if i_block == j_block else right
+            here = home | home[i]
+            for x in held[i][3]:
+                if x in elsewhere:
+                    here[elsewhere[x]] = False
+            here[known.get(i, [])] = False
+            r = r[here[r]]
+            r = r[100 * np.minimum(n[r], n[i]) >= percent * np.maximum(n[r], n[i])]
+            r = r[enough(overlap_bound(n[r], n[i], sig[r], sig[i]), n[r], n[i], percent)]
+            mark[at[i]] = 1
+            for r in np.split(r, range(256, len(r), 256)):
+                if len(r):
+                    same = np.add.reduceat(mark[np.concatenate([at[k] for k in r])],
+                                           np.cumsum(n[r]) - n[r], dtype=np.int64)
+                    r = r[enough(same, n[r], n[i], percent)]
+                    degree[r] += 1
+                    degree[i] += len(r)
+            mark[at[i]] = 0
+        return c[degree > 0], degree[degree > 0]
+
+    def counted(batches):
+        for key, held in _held(batches):
+            c, degree = links(key, held)
+            yield pa.RecordBatch.from_pydict({"class": c.astype(np.int64), "n_links": degree})
+
+    return (_block_pairs(tiles, ["class", "home", "block", "heads", "linked", "shingles"])
+            .mapInArrow(counted, "class long, n_links long"))
+
+
+def _link_counts(compared: DataFrame, dealt: DataFrame, first: DataFrame, sets: DataFrame,
+                 percent: int) -> DataFrame:
+    """``(class, n_links)`` over all links: the verified pairs ``first`` with
+    tiles' heads, and the other pairs of the flagged classes."""
+    flags = compared.where("class is not null").select("head", "band", "i", "j", "class")
+    heads = flags.groupBy("class", "band").agg(F.collect_set("head").alias("heads"))
+    heads = heads.join(first.groupBy("b").agg(F.collect_set("a").alias("linked")), F.col("class") == F.col("b"), "left")
+    heads = written(heads.select("class", "band", "heads", "linked"), "jaccard-met")
+    table = compared.sparkSession.sparkContext.broadcast(token_filter(heads, "class"))
 
+    def wanted(batches):
         for b in batches:
-            for head, band, i, j, c, g, n, home, block, sig in zip(*(x.to_pylist() for x in b.columns)):
-                if (head, band, i, j) != key:
-                    yield from emit()
-                    held, key = [], (head, band, i, j)
-                held.append((c, g, n, home, block, sig))
-        yield from emit()
+            h = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            yield b.filter(pa.array(passes(table.value, h)))
 
-    return (tiles.repartition("head", "band", "i", "j").sortWithinPartitions("head", "band", "i", "j", "class")
-            .select("head", "band", "i", "j", "class", "group", "n", "home", "block", "sig")
-            .mapInArrow(compared, "a long, b long").distinct())
+    whole = sets.select("class", "shingles")
+    whole = written(whole.mapInArrow(wanted, whole.schema).dropDuplicates(["class"]), "jaccard-compared")
+    held = (flags.join(dealt, ["head", "band", "i", "j", "class"]).join(heads, ["class", "band"])
+            .join(whole, "class"))
+    inside = _counted(held, percent)
+    ends = first.select(F.explode(F.array("a", "b")).alias("class"), F.lit(1).cast("long").alias("n_links"))
+    return written(inside.unionByName(ends).groupBy("class").agg(F.sum("n_links").alias("n_links")),
+                   "jaccard-counts")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -339,10 +454,13 @@ def components(links: DataFrame) -> DataFrame:
 
 def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
                  percent: int = PERCENT, sketch_bits: int = SKETCH_BITS,
-                 block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+                 block: int = BLOCK, counts: bool = True) -> tuple[DataFrame, DataFrame]:
     """``(members, links)``: members has ``(doc_id, n_shingles, class,
-    component_id)`` for every row, links the verified pairs of classes that
-    connect them (a spanning set: pairs already connected may be left out)."""
+    component_id, n_links)`` for every row, ``n_links`` being the number of
+    other classes that its class links with; links has the verified pairs of
+    classes that connect the components (a spanning set: pairs already
+    connected may be left out). Without ``counts``, for who needs components
+    only, there is no ``n_links``."""
     sc = docs.sparkSession.sparkContext
     surveyed = written(_surveyed(docs, doc_id, text, shingle, sketch_bits), "jaccard-survey")
     sketch = sc.broadcast(_sketch(surveyed, sketch_bits))
@@ -370,18 +488,25 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     grouped = tiles.join(merged, tiles["class"] == merged["node"], "left").select(
         "head", "band", "home", "class", "n", F.coalesce("component", "class").alias("group"))
     grouped = written(grouped, "jaccard-grouped")
+    # Pairs with the head are done; a tile of two classes has no other.
     open_tiles = (grouped.groupBy("head", "band")
-                  .agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count(F.lit(1)).alias("size"))
-                  .where("lo < hi").select("head", "band", F.ceil(F.col("size") / block).cast("int").alias("blocks")))
+                  .agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count(F.lit(1)).alias("size"),
+                       F.sum("n").alias("shingles"))
+                  .where("size > 2" if counts else "size > 2 and lo < hi")
+                  .select("head", "band", F.ceil(F.greatest(F.col("size") / block, F.col("shingles") / BLOCK_SHINGLES))
+                          .cast("int").alias("blocks")))
     open_tiles = written(open_tiles, "jaccard-open")
     dealt = (grouped.join(open_tiles, ["head", "band"])
              .withColumn("block", F.expr("cast(pmod(xxhash64(class), blocks) as int)"))
              .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-             .join(classes.select("class", "sig"), "class")
              .select("head", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-                     "class", "group", "n", "home", "block", "sig"))
-    more = written(_verified(written(_across_groups(dealt, percent), "jaccard-pairs"), classes, sets, percent),
-                   "jaccard-more")
+                     "class", "group", "n", "home", "block"))
+    compared = written(_compared(dealt.join(classes.select("class", "sig"), "class"), percent, counts),
+                       "jaccard-pairs")
+    pairs = written(compared.where("a is not null").select("a", "b").distinct(), "jaccard-across")
+    more = written(_verified(pairs, classes, sets, percent), "jaccard-more")
+    counted = (_link_counts(compared, dealt.select("head", "band", "i", "j", "class", "home", "block"), links,
+                            sets, percent) if counts else None)
     links = links.unionByName(more)
 
     joined = components(links)
@@ -391,9 +516,13 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
         "class", F.coalesce("component", "class").alias("component"), "low")
     lowest = written(lowest, "jaccard-lowest")
     ids = lowest.groupBy("component").agg(F.min("low").alias("component_id"))
-    ids = written(lowest.join(written(ids, "jaccard-ids"), "component").select(
-        F.col("class").alias("of_class"), "component_id"), "jaccard-components")
+    ids = lowest.join(written(ids, "jaccard-ids"), "component")
+    n_links = []
+    if counts:
+        ids = ids.join(counted, "class", "left")
+        n_links = [F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")]
+    ids = written(ids.select(F.col("class").alias("of_class"), "component_id", *n_links), "jaccard-components")
     members = rows.join(ids, rows["class"] == ids["of_class"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), "class",
-        F.coalesce("component_id", F.when(F.col("class").isNull(), F.col("doc_id"))).alias("component_id"))
+        F.coalesce("component_id", F.when(F.col("class").isNull(), F.col("doc_id"))).alias("component_id"), *n_links)
     return members, links

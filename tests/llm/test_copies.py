@@ -117,6 +117,37 @@ def test_jaccard_large_near_copy_group(docs_frame):
     assert links.count() < 3 * 300  # not all pairs of the group
 
 
+def numbers_of_links(rows):
+    """{doc_id: number of other shingle sets that link with its own}, by all pairs."""
+    sets = [frozenset(brute.shingles(t)) for _, t in rows]
+    each = {s for s in sets if s}
+    degree = {s: sum(s != x and 100 * len(s & x) >= 80 * len(s | x) for x in each) for s in each}
+    return sorted(((i, degree.get(s, 0)) for (i, _), s in zip(rows, sets)), key=repr)
+
+
+@pytest.mark.parametrize("block", [2048, 4])
+def test_jaccard_counts_all_links(docs_frame, corpus, block):
+    # groups within groups: pairs meet in tiles of several heads and in two size bands
+    rng, rows = random.Random(21), list(corpus)
+    for family in range(6):
+        core = words(rng, 60)
+        for i in range(30):
+            w = core[:60 - rng.randint(0, 12)]
+            w[rng.randrange(len(w))] = f"x{rng.randrange(4)}"
+            rows.append((1000 + 100 * family + i, " ".join(w + words(rng, rng.randint(0, 3)))))
+    members, _ = jaccard_join.jaccard_join(docs_frame(rows), block=block)
+    same(members, ["doc_id", "n_links"], numbers_of_links(rows))
+    same(members, JACCARD, brute.jaccard(rows))
+
+
+def test_jaccard_counts_links_of_a_large_group(docs_frame):
+    rng = random.Random(9)
+    core = words(rng, 200)
+    rows = [(i, " ".join(core[:-1] + [f"tail{i}"])) for i in range(300)] + [(999, "quite another text of seven words")]
+    members, _ = jaccard_join.jaccard_join(docs_frame(rows), block=64)
+    same(members, ["doc_id", "n_links"], [(i, 299) for i in range(300)] + [(999, 0)])
+
+
 def test_empty_documents(docs_frame):
     assert exact_dedup.exact_dedup(docs_frame([])).count() == 0
     members, links = jaccard_join.jaccard_join(docs_frame([]))
