@@ -10,9 +10,10 @@
   a table in the shared folder, whatever the number of groups.
 * :func:`numbered` — positions among rows that tie.
 * :func:`exact_medians` — exact medians of several columns at once. Approximate
-  percentiles bracket each rank, the next job counts what lies below and inside
-  the brackets, and the brackets shrink to one value: a few jobs of one output
-  row, whatever the number of rows and columns.
+  percentiles bracket each rank, the next job counts what lies below, inside
+  and on the ends of the brackets, and the brackets shrink to one value, every
+  round by two values at least: a few jobs of one output row, whatever the
+  number of rows and columns.
 """
 
 from __future__ import annotations
@@ -125,7 +126,10 @@ def exact_ranks(df: DataFrame, ranks) -> tuple[dict, dict]:
             a, b = bounds[i]
             checks += [F.count_if(x[c] < a).alias(f"below{i}"), F.count_if(x[c] <= b).alias(f"upto{i}"),
                        F.max(F.when((x[c] < a) & (x[c] >= lo), x[c])).alias(f"under{i}"),
-                       F.min(F.when((x[c] > b) & (x[c] <= hi), x[c])).alias(f"over{i}")]
+                       F.min(F.when((x[c] > b) & (x[c] <= hi), x[c])).alias(f"over{i}"),
+                       F.count_if(x[c] == a).alias(f"at_a{i}"), F.count_if(x[c] == b).alias(f"at_b{i}"),
+                       F.min(F.when((x[c] > a) & (x[c] < b), x[c])).alias(f"next{i}"),
+                       F.max(F.when((x[c] > a) & (x[c] < b), x[c])).alias(f"last{i}")]
         row = df.agg(*checks).first()
         for i, ((c, k), (lo, hi, below, inside)) in enumerate(todo):
             (a, b), under, upto = bounds[i], row[f"below{i}"], row[f"upto{i}"]
@@ -133,8 +137,13 @@ def exact_ranks(df: DataFrame, ranks) -> tuple[dict, dict]:
                 open_ranks[c, k] = (lo, row[f"under{i}"], below, under - below)
             elif k > upto:
                 open_ranks[c, k] = (row[f"over{i}"], hi, upto, below + inside - upto)
-            else:
-                open_ranks[c, k] = (a, b, under, upto - under)
+            elif k <= under + row[f"at_a{i}"]:
+                open_ranks[c, k] = (a, a, under, row[f"at_a{i}"])
+            elif k > upto - row[f"at_b{i}"]:
+                open_ranks[c, k] = (b, b, upto - row[f"at_b{i}"], row[f"at_b{i}"])
+            else:  # strictly between the guesses
+                open_ranks[c, k] = (row[f"next{i}"], row[f"last{i}"], under + row[f"at_a{i}"],
+                                    upto - under - row[f"at_a{i}"] - row[f"at_b{i}"])
 
 
 def exact_medians(df: DataFrame, columns: list[str]) -> dict:

@@ -36,6 +36,23 @@ def test_exact_ranks_of_steep_values(spark):
         prepare.fit_preprocessor(df, ["x"])
 
 
+def test_exact_ranks_of_few_values(spark, monkeypatch):
+    # neighbouring values that meet at the wanted rank: a balanced 0/1 column, 1 to 50 around 25 and 26
+    guess, made = F.percentile_approx, []
+
+    def limited(*args):
+        made.append(1)
+        assert len(made) < 60, "the brackets do not shrink"
+        return guess(*args)
+
+    monkeypatch.setattr(select.F, "percentile_approx", limited)
+    df = spark.range(0, 20000).selectExpr("id % 2 as flag", "id % 50 + 1 as quantity", "id % 4 div 3 as quarter")
+    assert select.exact_medians(df, df.columns) == {"flag": 0.5, "quantity": 25.5, "quarter": 0.0}
+    made.clear()
+    ranks = select.exact_ranks(df.select("flag"), lambda n: [1, 10000, 10001, 20000])[1]
+    assert [ranks["flag", k] for k in (1, 10000, 10001, 20000)] == [0, 0, 1, 1]
+
+
 def _jobs(spark, fn):
     """Number of jobs that ``fn`` runs."""
     group = f"count-{id(fn)}"
