@@ -62,6 +62,15 @@ def _spans_lines(spark: SparkSession, paths) -> bool:
     return not spark.read.text(paths).where(odd % 2 == 1).isEmpty()
 
 
+def _too_long(record: Column, fields: str) -> Column:
+    """Whether a record that has not as many fields as declared (else null) has
+    more: then a mark put behind its end is in none of the declared fields."""
+    mark = F.md5(record.cast("binary"))
+    read = F.from_csv(F.concat(record, F.lit(","), mark), fields, {"quote": '"', "escape": '"', "mode": "PERMISSIVE"})
+    text = F.to_json(read)
+    return F.when(record.isNotNull(), ~F.coalesce(F.contains(text, mark), F.lit(False))).otherwise(F.lit(False))
+
+
 def read_csv_text(spark: SparkSession, paths, multi_line: bool | None = None) -> DataFrame:
     """All columns as text with NA tokens turned into null, header names de-duplicated.
 
@@ -86,12 +95,12 @@ def read_csv_text(spark: SparkSession, paths, multi_line: bool | None = None) ->
             raise ValueError(f"{path!r} has columns {names}, but {paths[0]!r} has {columns}.")
         if not names:
             continue
-        # positional names: those of the file may repeat; one field more than
-        # the header has shows that a record is too long
-        fields = ", ".join(f"`c{i}` string" for i in range(len(names) + 1))
-        raw = _reader(spark, multi_line).option("header", True).option("enforceSchema", True).schema(fields).csv(path)
-        kept = raw.withColumn(_BROKEN, F.col(f"c{len(names)}").isNotNull())
-        parts.append((kept.toDF(*names, "_further", _BROKEN)).select(*[F.col(f"`{c}`") for c in columns], _BROKEN))
+        # positional names: those of the file may repeat
+        fields = ", ".join(f"`c{i}` string" for i in range(len(names)))
+        raw = (_reader(spark, multi_line).option("header", True).option("enforceSchema", True)
+               .option("columnNameOfCorruptRecord", _BROKEN).schema(f"{fields}, `{_BROKEN}` string").csv(path))
+        kept = raw.withColumn(_BROKEN, _too_long(F.col(_BROKEN), fields))
+        parts.append(kept.toDF(*names, _BROKEN).select(*[F.col(f"`{c}`") for c in columns], _BROKEN))
     if not parts:
         return spark.createDataFrame([], "")
     df = parts[0]

@@ -67,6 +67,21 @@ def test_csv_long_record_is_an_error(spark, tmp_dir):
     assert [tuple(r) for r in short.collect()] == [(1, 2), (3, None)]
 
 
+@pytest.mark.parametrize("record", ["1,2,,x", "1,2,", "1,2,,", '1,2,"",x', '"1,""",2,,"x\ny"', ",,,"])
+def test_csv_long_record_with_empty_surplus(spark, tmp_dir, record):
+    path = _write(tmp_dir, "t.csv", f"a,b\n1,2\n{record}\n")
+    with pytest.raises(Exception, match="more fields"):
+        csv_io.read_csv_text(spark, path).collect()
+
+
+@pytest.mark.parametrize("multi_line", [False, True])
+def test_csv_short_records_are_no_error(spark, tmp_dir, multi_line):
+    path = _write(tmp_dir, "t.csv", 'a,b,c\n1,2,3\n"x,y"\n"p ""q"",",r\n,\n7\n,,\n')
+    got = csv_io.read_csv_text(spark, path, multi_line).collect()
+    assert [tuple(r) for r in got] == [("1", "2", "3"), ("x,y", None, None), ('p "q",', "r", None),
+                                       (None, None, None), ("7", None, None), (None, None, None)]
+
+
 def test_csv_files_of_another_column_order(spark, tmp_dir):
     one, two = _write(tmp_dir, "1.csv", "a,b\n1,x\n"), _write(tmp_dir, "2.csv", "b,a\ny,2\n")
     got = csv_io.read_csv(spark, [one, two])
