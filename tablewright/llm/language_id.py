@@ -42,9 +42,14 @@ UNKNOWN = "und"
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
-def gram_buckets(buf: np.ndarray, gram: int = GRAM, bits: int = BITS) -> np.ndarray:
-    """Bucket of the n-gram that begins at each byte."""
+def gram_buckets(buf: np.ndarray, off: np.ndarray | None = None, gram: int = GRAM, bits: int = BITS) -> np.ndarray:
+    """Bucket of the n-gram that begins at each byte; with the rows' offsets, a
+    row shorter than an n-gram is its own bytes, without those of the next."""
     values = eights(buf)[:len(buf)] & np.uint64((1 << (8 * gram)) - 1)
+    if off is not None:
+        size = np.diff(off)
+        short = (size > 0) & (size < gram)
+        values[off[:-1][short]] &= (np.uint64(1) << (8 * size[short]).astype(np.uint64)) - np.uint64(1)
     return ((values * _MULTIPLIER) >> np.uint64(64 - bits)).astype(np.int32)
 
 
@@ -62,7 +67,7 @@ def train_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> Dat
         sums: dict[str, np.ndarray] = {}
         for b in batches:
             for lo, hi, buf, off in slices(b.column(0)):
-                at, stop = gram_buckets(buf), gram_ends(off)
+                at, stop = gram_buckets(buf, off), gram_ends(off)
                 for i, name in enumerate(b.column(1).slice(lo, hi - lo).to_pylist()):
                     sums.setdefault(name, np.zeros(1 << BITS, np.int64))
                     mine = at[off[i]:stop[i]]
@@ -181,7 +186,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], doc_id: str =
                 ascii_letters = np.concatenate([[0], np.cumsum(letters[buf])])
                 plain = ascii_letters[off[1:]] > ascii_letters[off[:-1]]
                 if names:
-                    rows, share, theta = infer(gram_buckets(buf), off, logs, penalty)
+                    rows, share, theta = infer(gram_buckets(buf, off), off, logs, penalty)
                     for j, i in enumerate(rows.tolist()):
                         if plain[i] or has_letter(buf[off[i]:off[i + 1]].tobytes()):
                             at = int(share[:, j].argmax())

@@ -146,3 +146,12 @@ def test_sample_is_bounded_and_fair(spark, docs_frame):
     got = labelled.sample(docs, labels, "quality", F.col("doc_id") % 2 == 0, most=10).collect()
     assert sum(r["y"] == 0 for r in got) == 10 and 9 <= sum(r["y"] for r in got) <= 10
     assert all(r["doc_id"] % 2 == 0 and r["y"] == int(r["doc_id"] % 3 == 0) for r in got)
+
+
+def test_language_short_rows_do_not_read_the_next():
+    def of_first(texts):
+        lo, hi, buf, off = next(iter(slices(pa.array(texts, pa.string()))))
+        return int(language_id.gram_buckets(buf, off)[0])
+
+    for text in ("a", "ab", "日", "é"):
+        assert len({of_first([text]), of_first([text, "xyz"]), of_first([text, "hello"]), of_first([text, "", "日本"])}) == 1
