@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import (chat_format, decontaminate, exact_dedup, jaccard_join, labelled, language_id, mixture, quality,
-               toxicity, url_rules, warc)
+from . import (chat_format, decontaminate, exact_dedup, hard_negatives, html_text, jaccard_join, labelled,
+               language_id, mixture, quality, toxicity, url_rules, warc, whitening)
 from .store import read
 
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -229,6 +229,57 @@ SELECT page_id, n AS payload_bytes, sha AS payload_digest,
 FROM f
 """
 
+
+# ---------------------------------------------------------------- 11 to 13 --
+
+def q_html_text(spark: SparkSession, d: str) -> DataFrame:
+    return html_text.extract_text(read(spark, d, "pages"))
+
+
+# The pages' articles hold headings and paragraphs, with inline marks and line
+# breaks, and the references of & and quotes.
+SQL_HTML_TEXT = r"""
+WITH a AS (SELECT row_number() OVER () AS r, page_id, url,
+                  regexp_extract(coalesce(html, ''), '<article>(.*?)(</article>|$)', 1, 's') AS body FROM pages),
+b AS (SELECT r, unnest(regexp_split_to_array(body, '</?(h1|p)>')) AS block,
+             unnest(range(len(regexp_split_to_array(body, '</?(h1|p)>')))) AS pos FROM a),
+t AS (SELECT r, pos, trim(regexp_replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+               block, '<br>', ' ', 'g'), '</?[a-z]+>', '', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'),
+               chr(160), ' '), chr(133), ' '), '\s+', ' ', 'g')) AS line FROM b),
+j AS (SELECT r, string_agg(line, chr(10) ORDER BY pos) AS text FROM t WHERE line != '' GROUP BY r)
+SELECT page_id, url, coalesce(text, '') AS text, CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars
+FROM a LEFT JOIN j USING (r)
+"""
+
+
+def q_whitening(spark: SparkSession, d: str) -> DataFrame:
+    return whitening.whiten(read(spark, d, "embeddings"), vector="embedding")
+
+
+def q_hard_negatives(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "embeddings").select(
+        "vec_id", "embedding",
+        F.expr("case when vec_id % 7 = 0 then (label + 1) % 10 else label end").alias("label"))
+    return hard_negatives.mine(rows, F.col("id") % 100 == 0, vector="embedding")
+
+
+SQL_HARD_NEGATIVES = """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.r, a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+             CAST(list_sum(list_transform(list_zip(a.e, b.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.r != b.r WHERE a.vec_id % 100 = 0),
+p AS (SELECT r, anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.vec_id AS negative_id,
+       positive_score, s.score AS negative_score
+FROM p JOIN s ON p.r = s.r AND NOT s.same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score
+WINDOW w AS (PARTITION BY p.r, positive_id ORDER BY s.score DESC, s.vec_id)
+QUALIFY row_number() OVER w <= 10
+"""
+
 QUERIES = {
     "op1_exact_dedup": q_exact_dedup,
     "op2_decontaminate": q_decontaminate,
@@ -240,6 +291,9 @@ QUERIES = {
     "op8_toxicity": q_toxicity,
     "op9_language_id": q_language_id,
     "op10_warc": q_warc,
+    "op11_html_text": q_html_text,
+    "op12_whitening": q_whitening,
+    "op13_hard_negatives": q_hard_negatives,
 }
 
 ORACLE_SQL = {
@@ -250,4 +304,6 @@ ORACLE_SQL = {
     "op5_format_chats": SQL_FORMAT_CHATS,
     "op6_url_rules": SQL_URL_RULES,
     "op10_warc": SQL_WARC,
+    "op11_html_text": SQL_HTML_TEXT,
+    "op13_hard_negatives": SQL_HARD_NEGATIVES,
 }
