@@ -4,8 +4,9 @@ onto ``pyspark.ml``.
 Parameter names follow the names users of the registry already know
 (``n_estimators``, ``max_depth``, ``learning_rate``, ``C``, ``alpha``,
 ``max_iter``) and are translated here; a name that a model does not take is
-an error. The two kernel-SVM entries are linear approximations (MLlib has no
-kernel SVM).
+an error. The two kernel-SVM entries are linear learners on random Fourier
+features (:mod:`.kernel`), an approximation of the radial kernel; gradient
+boosting of more than two classes follows the softmax loss (:mod:`.boosting`).
 """
 
 from __future__ import annotations
@@ -15,8 +16,11 @@ import warnings
 from pyspark.ml.classification import (GBTClassifier, LinearSVC,
                                        LogisticRegression, OneVsRest,
                                        RandomForestClassifier)
-from pyspark.ml.regression import (GBTRegressor, LinearRegression,
-                                   RandomForestRegressor)
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.sql import DataFrame
+
+from .boosting import SoftmaxBoosting
+from .kernel import DEFAULT_COMPONENTS, DEFAULT_EPSILON, EpsilonSVR, FourierFeatures, scale_gamma
 
 # The offered names per task, and which learn incrementally.
 CLASSIFIERS = ("RandomForestClassifier", "GradientBoostingClassifier", "LogisticRegression",
@@ -30,7 +34,8 @@ PARAMETERS = {
     "RandomForestClassifier": ("n_estimators", "max_depth"), "RandomForestRegressor": ("n_estimators", "max_depth"),
     "GradientBoostingClassifier": ("n_estimators", "learning_rate"),
     "GradientBoostingRegressor": ("n_estimators", "learning_rate"), "LogisticRegression": ("C",),
-    "SVC": ("C", "max_iter"), "SVR": ("C",), "SGDClassifier": ("alpha", "max_iter"), "SGDRegressor": ("alpha", "max_iter"),
+    "SVC": ("C", "max_iter", "gamma", "n_components"), "SVR": ("C", "max_iter", "gamma", "n_components", "epsilon"),
+    "SGDClassifier": ("alpha", "max_iter"), "SGDRegressor": ("alpha", "max_iter"),
 }
 
 
@@ -74,6 +79,26 @@ def _ovr(n_classes: int) -> int:
     return max(1, min(n_classes, 8))
 
 
+def _gamma(params: dict) -> float | None:
+    """A number, or None for the scale of the data."""
+    gamma = params.get("gamma", "scale")
+    return None if gamma in (None, "scale") else float(gamma)
+
+
+def _components(params: dict) -> int:
+    return int(params.get("n_components", DEFAULT_COMPONENTS))
+
+
+def feature_map(model_name: str, params: dict | None, data: DataFrame, width: int) -> FourierFeatures | None:
+    """The stage that comes before the estimator, fitted to the prepared rows
+    (``features``); none for most models."""
+    if model_name != "SVC":
+        return None
+    params = check_parameters(model_name, params)
+    return FourierFeatures(width=width, components=_components(params), gamma=_gamma(params) or scale_gamma(data),
+                           seed=SEED, inputCol="features", outputCol="kernel_features")
+
+
 def build_estimator(model_name: str, task_type: str, params: dict | None, n_train: int,
                     n_classes: int = 2, features_col: str = "features", label_col: str = "label"):
     """The MLlib estimator for a registry name (non-incremental models)."""
@@ -89,8 +114,9 @@ def build_estimator(model_name: str, task_type: str, params: dict | None, n_trai
         return RandomForestRegressor(numTrees=trees, maxDepth=_depth(params), featureSubsetStrategy="all",
                                      seed=SEED, **common)
     if model_name == "GradientBoostingClassifier":
-        gbt = GBTClassifier(maxIter=trees, stepSize=_step(params), maxDepth=3, seed=SEED, **common)
-        return gbt if n_classes <= 2 else OneVsRest(classifier=gbt, parallelism=_ovr(n_classes), **common)
+        if n_classes > 2:
+            return SoftmaxBoosting(classes=n_classes, maxIter=trees, stepSize=_step(params), **common)
+        return GBTClassifier(maxIter=trees, stepSize=_step(params), maxDepth=3, seed=SEED, **common)
     if model_name == "GradientBoostingRegressor":
         return GBTRegressor(maxIter=trees, stepSize=_step(params), maxDepth=3, seed=SEED, **common)
     reg = 1.0 / (float(params.get("C", 1.0)) * max(n_train, 1))
@@ -101,6 +127,6 @@ def build_estimator(model_name: str, task_type: str, params: dict | None, n_trai
         svc = LinearSVC(regParam=reg, standardization=False, maxIter=int(params.get("max_iter", 100)), **common)
         return svc if n_classes <= 2 else OneVsRest(classifier=svc, parallelism=_ovr(n_classes), **common)
     if model_name == "SVR":
-        return LinearRegression(loss="huber", regParam=reg, elasticNetParam=0.0,
-                                standardization=False, **common)
+        return EpsilonSVR(regParam=reg, epsilon=float(params.get("epsilon", DEFAULT_EPSILON)), gamma=_gamma(params),
+                          components=_components(params), maxIter=int(params.get("max_iter", 50)), seed=SEED, **common)
     raise ValueError(f"{model_name} learns incrementally and has no one-shot estimator.")

@@ -74,10 +74,26 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _at(spark: SparkSession, path: str):
+    """The file system of a path, and the path as it takes it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    system, at = _at(spark, path)
+    return system.exists(at)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder, if it is there."""
+    system, at = _at(spark, path)
+    system.delete(at, True)
+
+
 def remove_scratch(spark: SparkSession) -> None:
     """Delete this application's intermediate tables, once no frame needs them."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    remove_path(spark, run_dir(spark))
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -93,4 +109,4 @@ def spread(df, *by: str):
 
 
 __all__ = ["DEFAULT_CONF", "get_spark", "shared_dir", "run_dir", "scratch_path",
-           "remove_scratch", "ensure_checkpoint_dir", "spread"]
+           "path_exists", "remove_path", "remove_scratch", "ensure_checkpoint_dir", "spread"]
