@@ -705,6 +705,8 @@ def q_regression_metrics(spark, d):
 
 from ..operators import models as model_registry  # noqa: E402
 from ..operators import train as trainer  # noqa: E402
+from ..session import scratch_path  # noqa: E402
+from ..sources.registry import Registry  # noqa: E402
 
 LINE_KEYS = ["l_orderkey", "l_linenumber"]
 CLS_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_linestatus"]
@@ -799,7 +801,6 @@ def q_feature_importance_top(spark, d):
 @query("model_round_trip", "SELECT count(*) AS n_rows, 0 AS n_differ FROM lineitem")
 def q_model_round_trip(spark, d):
     """Rows that a saved and loaded model predicts differently: none."""
-    from ..session import scratch_path
     path, lines, model = scratch_path(spark, "model"), read(spark, d, "lineitem"), _classifier(spark, d)
     trainer.save_model(model, path)
     name = "l_band Prediction"
@@ -947,6 +948,46 @@ def q_incremental_classifier(spark, d):
         "rows_seen", F.lit(model.sgd.n_seen).cast("long"))
 
 
+@query("model_store", """
+SELECT count(*) AS n_rows, 0 AS n_differ, 'price band,price band_2' AS names, 'price band' AS active,
+       'price band_2' AS left_over FROM lineitem""")
+def q_model_store(spark, d):
+    """Two models kept under one name in a durable registry, listed, selected,
+    loaded and one deleted by another session; rows that the loaded model
+    predicts differently: none."""
+    lines = signal_lines(spark, d)
+    model = trainer.train_model(lines, ["l_quantity", "l_linestatus"], "l_band", "LogisticRegression",
+                                "classification", key_cols=LINE_KEYS)
+    folder = scratch_path(spark, "registry")
+    for _ in range(2):
+        Registry(spark, folder).add_model(model, "price band")
+    later = Registry(spark.newSession(), folder)
+    names = ",".join(later.names())
+    later.select("model", "price band")
+    active, loaded = later.active().name, later.load_model()
+    later.delete("model", "price band")
+    both = trainer.predict(loaded, trainer.predict(model, lines).withColumnRenamed("l_band Prediction", "before"))
+    return both.agg(F.count(F.lit(1)).alias("n_rows"),
+                    F.count_if(~F.col("before").eqNullSafe(F.col("l_band Prediction"))).alias("n_differ")).select(
+        "*", F.lit(names).alias("names"), F.lit(active).alias("active"), F.lit(",".join(later.names())).alias("left_over"))
+
+
+@query("dataset_store", """
+SELECT o_orderpriority, count(*) AS n, CAST(round(sum(o_totalprice), 2) AS DOUBLE) AS total, 'Orders_2' AS name
+FROM orders GROUP BY o_orderpriority""")
+def q_dataset_store(spark, d):
+    """A result kept as a table of a durable registry, under a taken name, and
+    read by another session after the first of that name was deleted."""
+    orders = read(spark, d, "orders")
+    folder = scratch_path(spark, "registry")
+    Registry(spark, folder).add_dataset(orders.limit(0), "Orders")
+    name = Registry(spark, folder).add_dataset(orders.groupBy("o_orderpriority").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total")), "Orders")
+    later = Registry(spark.newSession(), folder)
+    later.delete("dataset", "Orders")
+    return later.dataset(name).withColumn("name", F.lit(later.active("dataset").name))
+
+
 @query("model_registry_fit", "SELECT * FROM (VALUES " + ", ".join(
     f"('{m}', '{t}', {n}, true)" for t, n in (("classification", 4), ("regression", 3))
     for m in model_registry.model_options(t)) + ") AS t(model, task, n_metrics, learned)")
@@ -982,7 +1023,6 @@ def q_model_registry_fit(spark, d):
 
 # ------------------------------------------------------------------- sources --
 
-from ..session import scratch_path  # noqa: E402
 from ..sources import csv as csv_io  # noqa: E402
 from ..sources import files as file_io  # noqa: E402
 

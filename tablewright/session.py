@@ -91,6 +91,12 @@ def remove_path(spark: SparkSession, path: str) -> None:
     system.delete(at, True)
 
 
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what a folder holds; none if it is not there."""
+    system, at = _at(spark, path)
+    return sorted(f.getPath().getName() for f in system.listStatus(at)) if system.exists(at) else []
+
+
 def remove_scratch(spark: SparkSession) -> None:
     """Delete this application's intermediate tables, once no frame needs them."""
     remove_path(spark, run_dir(spark))
@@ -109,4 +115,4 @@ def spread(df, *by: str):
 
 
 __all__ = ["DEFAULT_CONF", "get_spark", "shared_dir", "run_dir", "scratch_path",
-           "path_exists", "remove_path", "remove_scratch", "ensure_checkpoint_dir", "spread"]
+           "path_exists", "list_names", "remove_path", "remove_scratch", "ensure_checkpoint_dir", "spread"]
