@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import as_text
+from . import records
 
 # Text read as missing (the common spreadsheet/pandas list).
 NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
@@ -30,6 +31,8 @@ FALSE_TOKENS = ("False", "FALSE", "false")
 _INT = r"^ *[+-]?[0-9]+ *$"
 _FLOAT = r"^ *[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)? *$|^ *[+-]?(?i:inf|infinity) *$"
 _BROKEN = "_broken_record"
+_PARSER = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "multiLine": "true", "columnNameOfCorruptRecord": _BROKEN,
+           "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
 def dedupe_names(names) -> list[str]:
@@ -55,13 +58,6 @@ def _reader(spark: SparkSession, multi_line: bool):
             .option("ignoreTrailingWhiteSpace", False).option("mode", "PERMISSIVE"))
 
 
-def _spans_lines(spark: SparkSession, paths) -> bool:
-    """Whether a quoted field may run over a line end: some line has an odd
-    number of quotes. One pass over the splittable lines."""
-    odd = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-    return not spark.read.text(paths).where(odd % 2 == 1).isEmpty()
-
-
 def _too_long(record: Column, fields: str) -> Column:
     """Whether a record that has not as many fields as declared (else null) has
     more: then a mark put behind its end is in none of the declared fields."""
@@ -74,17 +70,22 @@ def _too_long(record: Column, fields: str) -> Column:
 def read_csv_text(spark: SparkSession, paths, multi_line: bool | None = None) -> DataFrame:
     """All columns as text with NA tokens turned into null, header names de-duplicated.
 
-    Files are split into blocks. Only where a quoted field may run over a line
-    end (looked up in one pass, unless ``multi_line`` says) does a file stay
-    one task, since its records cannot be told apart from the middle of a file.
+    Files are read in blocks, also where quoted fields run over line ends: one
+    pass finds whether they do and which state a block begins in (see
+    :mod:`.records`). ``multi_line`` false says that they do not, and saves that
+    pass; true reads every file in one task, which is also done where lines end
+    in a carriage return alone.
 
     A path's part files share one header; several paths must have the same
     columns, in any order. A record with more fields than its header is an
     error, one with fewer has nulls.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
+    maps = []
     if multi_line is None:
-        multi_line = _spans_lines(spark, paths)
+        maps = records.block_maps(spark, paths)
+        multi_line = any(m["spans"] or m["bare"] for m in maps)
+    joined = multi_line and bool(maps) and not any(m["bare"] for m in maps)
     parts, columns = [], None
     for path in paths:
         first = _reader(spark, multi_line).option("header", False).csv(path).first()
@@ -97,8 +98,13 @@ def read_csv_text(spark: SparkSession, paths, multi_line: bool | None = None) ->
             continue
         # positional names: those of the file may repeat
         fields = ", ".join(f"`c{i}` string" for i in range(len(names)))
-        raw = (_reader(spark, multi_line).option("header", True).option("enforceSchema", True)
-               .option("columnNameOfCorruptRecord", _BROKEN).schema(f"{fields}, `{_BROKEN}` string").csv(path))
+        whole = f"{fields}, `{_BROKEN}` string"
+        if joined:
+            found = records.records(spark, path, maps).where("not head")
+            raw = found.select(F.from_csv("record", whole, _PARSER).alias("r")).select("r.*")
+        else:
+            raw = (_reader(spark, multi_line).option("header", True).option("enforceSchema", True)
+                   .option("columnNameOfCorruptRecord", _BROKEN).schema(whole).csv(path))
         kept = raw.withColumn(_BROKEN, _too_long(F.col(_BROKEN), fields))
         parts.append(kept.toDF(*names, _BROKEN).select(*[F.col(f"`{c}`") for c in columns], _BROKEN))
     if not parts:
