@@ -44,6 +44,19 @@ def as_text(c: Column, dt: T.DataType) -> Column:
     return c.cast("string")
 
 
+# Text that is a number, blanks around it allowed.
+NUMBER_TEXT = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+INFINITE_TEXT = r"^\s*[+-]?(?i:inf|infinity)\s*$"
+
+
+def to_number(c: Column) -> Column:
+    """Text as a double; null where it is not a number as a whole. A cast alone
+    would take suffixes such as the ``d`` of ``5d``."""
+    endless = F.when(F.startswith(F.trim(c), F.lit("-")), F.lit(float("-inf"))).otherwise(F.lit(float("inf")))
+    return F.when(c.rlike(NUMBER_TEXT), F.regexp_replace(c, r"\s", "").try_cast("double")).when(
+        c.rlike(INFINITE_TEXT), endless)
+
+
 def zfill(c: Column, width: int) -> Column:
     """Python ``str.zfill``: pad with zeros after a leading sign, never truncate."""
     if width <= 0:

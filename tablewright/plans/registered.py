@@ -422,6 +422,23 @@ def q_binary_flag(spark, d):
     return agg.binary_flag(out, "qty", 50)
 
 
+_AMOUNT_TEXT = ("CASE l_orderkey % 13 WHEN 0 THEN '5d' WHEN 1 THEN ' 8 ' WHEN 2 THEN '1e3' WHEN 3 THEN 'inf' "
+                "WHEN 4 THEN '-3.5' WHEN 5 THEN 'abc' WHEN 6 THEN NULL WHEN 7 THEN '7f' WHEN 8 THEN '.5' "
+                "WHEN 9 THEN '1,000' WHEN 10 THEN '-Infinity' WHEN 11 THEN '9.' ELSE CAST(l_quantity AS {}) END")
+
+
+@query("binary_flag_text", f"""
+SELECT l_orderkey, l_linenumber,
+       CASE WHEN regexp_full_match(t, '\\s*[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?\\s*')
+              THEN CASE WHEN CAST(trim(t) AS DOUBLE) > 4 THEN 1 ELSE 0 END
+            WHEN lower(trim(t)) IN ('inf', '+inf', 'infinity', '+infinity') THEN 1 ELSE 0 END AS big
+FROM (SELECT l_orderkey, l_linenumber, {_AMOUNT_TEXT.format("VARCHAR")} AS t FROM lineitem)""")
+def q_binary_flag_text(spark, d):
+    """The flag of a text column: words, suffixed digits and blanks are no numbers."""
+    lines = read(spark, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", f"{_AMOUNT_TEXT.format('STRING')} AS t")
+    return agg.binary_flag(lines, "t", 4, "big").drop("t")
+
+
 @query("aggregate_to_binary", """
 SELECT l_orderkey, coalesce(sum(l_quantity), 0) AS qty, count(l_linenumber) AS n_lines,
        CASE WHEN coalesce(sum(l_quantity), 0) > 50 THEN 1 ELSE 0 END AS is_big
