@@ -348,3 +348,41 @@ def test_kth_with_hot_duplicate_hash(spark):
         kdf = spark.createDataFrame([(0, k)], "__g int, __k long")
         thr = select.kth_hash_per_group(hashed, "__h", ["__g"], kdf).first()["__thr"]
         assert thr == vals[k - 1]
+
+
+def test_sparse_pass_equals_dense_steps():
+    rng = np.random.default_rng(1)
+    dense = rng.normal(size=(90, 7)) * (rng.random((90, 7)) < 0.4)
+    import pyarrow as pa
+    mixed = [(np.flatnonzero(r).tolist(), r[r != 0].tolist()) if i % 3 else (None, r.tolist()) for i, r in enumerate(dense)]
+    rows = incremental.Rows.of(pa.array([m[0] for m in mixed], pa.list_(pa.int32())),
+                               pa.array([m[1] for m in mixed], pa.list_(pa.float64())))
+    w = rng.normal(size=(2, 7))
+    assert np.allclose(rows.times(w), dense @ w.T) and np.allclose(rows.part(10, 33).times(w), dense[10:33] @ w.T)
+    for task, ys in (("regression", dense @ w[0]), ("classification", ["abc"[i % 3] for i in range(90)])):
+        state = incremental.new_state(task, 7, None if task == "regression" else list("abc"), 0.01)
+        import dataclasses
+        at = incremental._Pass(dataclasses.asdict(state), np.array(state.coef))
+        y = at.targets(ys)
+        at.step(rows, y)
+        coef, bias, t = np.array(state.coef), np.array(state.intercept), 1.0
+        for lo in range(0, 90, incremental.BATCH):  # the same steps on whole rows
+            xb, yb = dense[lo:lo + incremental.BATCH], y[lo:lo + incremental.BATCH]
+            p, m = xb @ coef.T + bias, len(xb)
+            eta = 1 / (0.01 * (at.t0 + t - 1)) if task == "classification" else state.eta0 / t ** state.power_t
+            loss = np.where(p * yb <= 1, -yb, 0.0) if task == "classification" else p - yb
+            rate = eta / (1 + eta * ((xb * xb).sum() + m))
+            coef = coef * max(0.0, 1 - rate * 0.01 * m) - rate * loss.T @ xb
+            bias, t = bias - rate * loss.sum(axis=0), t + m
+        assert np.allclose(at.weights(), coef) and np.allclose(at.bias, bias) and at.t == t
+
+
+def test_text_feature_of_very_many_values(spark):
+    n = 60_000  # a category each for 20,000 of them; a dense row would be 160 KB
+    df = spark.range(n).selectExpr("id", "concat('c', id % 20000) as kind", "cast(id % 7 as double) as x",
+                                   "3 * (id % 7) + 1 as y", "if(id % 7 > 3, 'hi', 'lo') as big")
+    got = trainer.train_model(df, ["x", "kind"], "y", "SGDRegressor", "regression", key_cols=["id"])
+    assert len(got.sgd.coef[0]) > 15_000 and got.metrics["r2"] > 0.9
+    assert trainer.predict(got, df).where("`y Prediction` is null").isEmpty()
+    hit = trainer.train_model(df, ["x", "kind"], "big", "SGDClassifier", "classification", key_cols=["id"])
+    assert hit.metrics["accuracy"] > 0.9
