@@ -83,7 +83,7 @@ def read_csv_text(spark: SparkSession, paths, multi_line: bool | None = None) ->
     paths = [paths] if isinstance(paths, str) else list(paths)
     maps = []
     if multi_line is None:
-        maps = records.block_maps(spark, paths)
+        maps = records.block_maps(spark, paths) if records.has_quotes(spark, paths) else []
         multi_line = any(m["spans"] or m["bare"] for m in maps)
     joined = multi_line and bool(maps) and not any(m["bare"] for m in maps)
     parts, columns = [], None

@@ -44,6 +44,11 @@ def lines(spark: SparkSession, paths) -> DataFrame:
         F.col("value").alias("line"))
 
 
+def has_quotes(spark: SparkSession, paths) -> bool:
+    """Whether any line has a quote; stops at the first."""
+    return not spark.read.text(paths).where(F.contains("value", F.lit('"'))).isEmpty()
+
+
 def block_maps(spark: SparkSession, paths) -> list:
     """Rows ``(file, block, outside, inside, spans, bare)`` of every block, in
     order: the states it ends in for either first state, whether some line begun
