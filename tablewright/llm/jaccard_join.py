@@ -10,7 +10,8 @@ one class, so copies are never compared. The join:
    only keeps frequent shingles out of the prefixes).
 2. Shingles that the prefixes of two classes share gather the classes of a size
    band, the bands being a factor 1.25 wide, so a set meets its own and the next
-   band only. All such gatherings with the same smallest class, their head, make
+   band only; a class that no other of its bands shares a prefix shingle with is
+   done. All such gatherings with the same smallest class, their head, make
    one tile: (head, size band). Tiles hold each class once, however many
    shingles it shares.
 3. Every class of a tile is first paired with its head (linear in the tile).
@@ -45,8 +46,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import NOT_SPACE, mix, run_hashes, slices, span_hashes, word_spans
-from .store import passes, token_filter, written
+from .arrowtext import NOT_SPACE, mix, run_hashes, seed, slices, span_hashes, word_spans
+from .store import passes, scratch, token_filter, written
 
 SHINGLE = 5
 PERCENT = 80
@@ -172,56 +173,70 @@ def _each_class(text_column, shingle: int, seen: set):
                 yield c, s
 
 
-def _shared_tokens(docs: DataFrame, text: str, shingle: int, sketch, percent: int) -> DataFrame:
-    """Prefix tokens that at least two classes have."""
+def band_of(n: int, percent: int) -> int:
+    """Size band of a set: linked sets stand in one band or in neighbouring ones."""
+    return int(np.floor(np.log(n) / np.log(100 / percent) + 1e-9))
+
+
+def gatherings(s: np.ndarray, sketch: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """``(keys in the own band, keys in the next, own band)``: a key stands for
+    a prefix token and a band."""
+    tokens, band = np.unique(prefix_tokens(s, sketch, percent)), band_of(len(s), percent)
+    return seed(tokens, band), seed(tokens, band + 1), band
+
+
+def _shared_keys(docs: DataFrame, text: str, shingle: int, sketch, percent: int) -> DataFrame:
+    """Keys that at least two classes have."""
     def listed(batches):
         seen: set[int] = set()
         for b in batches:
-            tokens, classes, size = [], [], 0
+            keys, classes, size = [], [], 0
             for c, s in _each_class(b.column(0), shingle, seen):
-                tokens.append(prefix_tokens(s, sketch.value, percent))
-                classes.append(np.full(len(tokens[-1]), c, np.int64))
-                size += len(tokens[-1])
+                keys += gatherings(s, sketch.value, percent)[:2]
+                classes.append(np.full(2 * len(keys[-1]), c, np.int64))
+                size += len(classes[-1])
                 if size > 200_000:
-                    yield pa.RecordBatch.from_pydict({"token": np.concatenate(tokens).view(np.int64),
+                    yield pa.RecordBatch.from_pydict({"key": np.concatenate(keys).view(np.int64),
                                                       "class": np.concatenate(classes)})
-                    tokens, classes, size = [], [], 0
-            if tokens:
-                yield pa.RecordBatch.from_pydict({"token": np.concatenate(tokens).view(np.int64),
+                    keys, classes, size = [], [], 0
+            if keys:
+                yield pa.RecordBatch.from_pydict({"key": np.concatenate(keys).view(np.int64),
                                                   "class": np.concatenate(classes)})
 
-    return (docs.select(F.col(text)).mapInArrow(listed, "token long, class long")
-            .groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
-            .where("lo < hi").select("token"))
+    return (docs.select(F.col(text)).mapInArrow(listed, "key long, class long")
+            .groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
+            .where("lo < hi").select("key"))
 
 
 def _candidate_classes(docs: DataFrame, text: str, shingle: int, sketch, table, percent: int) -> DataFrame:
-    """Classes with a shared prefix token: ``(class, n, tokens, sig, shingles)``."""
+    """Classes with a shared key: ``(class, n, band, home, guest, sig,
+    shingles)``, the keys in the own band and in the next."""
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+    names = ["class", "n", "band", "home", "guest", "sig", "shingles"]
+
     def listed(batches):
         seen: set[int] = set()
 
         def flush(rows):
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(zip(*rows), [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(),
-                                                             pa.binary()])],
-                names=["class", "n", "tokens", "sig", "shingles"])
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
         for b in batches:
             rows, size = [], 0
             for c, s in _each_class(b.column(0), shingle, seen):
-                t = np.unique(prefix_tokens(s, sketch.value, percent))
-                t = t[passes(table.value, t)]
-                if len(t):
-                    rows.append((c, len(s), t.view(np.int64), signature(s).tobytes(), s.tobytes()))
+                home, guest, band = gatherings(s, sketch.value, percent)
+                home, guest = home[passes(table.value, home)], guest[passes(table.value, guest)]
+                if len(home) or len(guest):
+                    rows.append((c, len(s), band, home.view(np.int64), guest.view(np.int64), signature(s).tobytes(),
+                                 s.tobytes()))
                     size += len(s)
-                    if size > 500_000:
+                    if size > 250_000:
                         yield flush(rows)
                         rows, size = [], 0
             if rows:
                 yield flush(rows)
 
-    return (docs.select(F.col(text))
-            .mapInArrow(listed, "class long, n long, tokens array<long>, sig binary, shingles binary"))
+    return docs.select(F.col(text)).mapInArrow(
+        listed, "class long, n long, band int, home array<long>, guest array<long>, sig binary, shingles binary")
 
 
 def overlap_bound(na, nb, sa: np.ndarray, sb: np.ndarray):
@@ -461,28 +476,31 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     classes that connect the components (a spanning set: pairs already
     connected may be left out). Without ``counts``, for who needs components
     only, there is no ``n_links``."""
+    with scratch(docs.sparkSession) as tables:
+        return _joined(docs, doc_id, text, shingle, percent, sketch_bits, block, counts, tables)
+
+
+def _joined(docs, doc_id, text, shingle, percent, sketch_bits, block, counts, tables) -> tuple[DataFrame, DataFrame]:
     sc = docs.sparkSession.sparkContext
     surveyed = written(_surveyed(docs, doc_id, text, shingle, sketch_bits), "jaccard-survey")
     sketch = sc.broadcast(_sketch(surveyed, sketch_bits))
-    shared = written(_shared_tokens(docs, text, shingle, sketch, percent), "jaccard-tokens")
-    table = sc.broadcast(token_filter(shared, "token"))
+    shared = written(_shared_keys(docs, text, shingle, sketch, percent), "jaccard-keys")
+    table = sc.broadcast(token_filter(shared, "key"))
     sets = written(_candidate_classes(docs, text, shingle, sketch, table, percent), "jaccard-sets")
-    classes = written(sets.select("class", "n", "tokens", "sig").dropDuplicates(["class"]), "jaccard-classes")
+    classes = written(sets.select("class", "n", "band", "home", "guest", "sig").dropDuplicates(["class"]),
+                      "jaccard-classes")
 
     # Tiles: a class is at home in its own size band and a guest in the next.
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
-    posts = (classes.select("class", "n", F.explode("tokens").alias("token")).join(shared, "token")
-             .select("token", "class", "n", band.alias("own"))
-             .select("token", "class", "n", F.explode(F.expr(
-                 "array(struct(own as band, true as home), struct(own + 1 as band, false as home))")).alias("t"))
-             .select("token", "t.band", "t.home", "class", "n"))
-    posts = written(posts, "jaccard-posts")
-    heads = posts.groupBy("token", "band").agg(F.min("class").alias("head"), F.max("class").alias("last"))
-    heads = written(heads.where("head < last").select("token", "band", "head"), "jaccard-heads")
-    tiles = written(posts.join(heads, ["token", "band"]).select("head", "band", "home", "class", "n").distinct(),
+    posts = classes.select("class", "n", "band", F.lit(True).alias("home"), F.explode("home").alias("key")).unionByName(
+        classes.select("class", "n", (F.col("band") + 1).alias("band"), F.lit(False).alias("home"),
+                       F.explode("guest").alias("key")))
+    posts = written(posts.join(shared, "key"), "jaccard-posts")
+    heads = posts.groupBy("key", "band").agg(F.min("class").alias("head"), F.max("class").alias("last"))
+    heads = written(heads.where("head < last").select("key", "band", "head"), "jaccard-heads")
+    tiles = written(posts.join(heads, ["key", "band"]).select("head", "band", "home", "class", "n").distinct(),
                     "jaccard-tiles")
     first = tiles.where("class != head").selectExpr("head as a", "class as b").distinct()
-    links = written(_verified(first, classes, sets, percent), "jaccard-links")
+    links = first_links = written(_verified(first, classes, sets, percent), "jaccard-links")
 
     merged = written(components(links), "jaccard-groups")
     grouped = tiles.join(merged, tiles["class"] == merged["node"], "left").select(
@@ -525,4 +543,5 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     members = rows.join(ids, rows["class"] == ids["of_class"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), "class",
         F.coalesce("component_id", F.when(F.col("class").isNull(), F.col("doc_id"))).alias("component_id"), *n_links)
+    tables.keep(surveyed, ids, first_links, more)
     return members, links

@@ -61,7 +61,7 @@ FROM d LEFT JOIN cov USING (r) LEFT JOIN its USING (r)
 
 def q_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
     members, _ = jaccard_join.jaccard_join(read(spark, d, "documents"))
-    return members.select("doc_id", "n_shingles", "component_id")
+    return members.select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 SQL_JACCARD_JOIN = rf"""
@@ -74,9 +74,14 @@ c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b USING
       WHERE a.doc_id < b.doc_id GROUP BY ALL),
 l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 80 * (x.n + y.n - i)),
 e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
-reach AS (SELECT DISTINCT a AS x, a AS y FROM e UNION SELECT reach.x, e.b FROM reach JOIN e ON e.a = reach.y)
-SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(r.low, w.doc_id) AS component_id
-FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x, min(y) AS low FROM reach GROUP BY x) r ON r.x = w.doc_id
+reach AS (SELECT DISTINCT a AS x, a AS y FROM e UNION SELECT reach.x, e.b FROM reach JOIN e ON e.a = reach.y),
+k AS (SELECT doc_id, md5(string_agg(g, '|' ORDER BY g)) AS k FROM s GROUP BY doc_id),
+m AS (SELECT e.a AS doc_id, count(DISTINCT y.k) AS n_links FROM e JOIN k x ON x.doc_id = e.a JOIN k y ON y.doc_id = e.b
+      WHERE x.k != y.k GROUP BY e.a)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(r.low, w.doc_id) AS component_id,
+       coalesce(m.n_links, 0) AS n_links
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
+LEFT JOIN (SELECT x, min(y) AS low FROM reach GROUP BY x) r ON r.x = w.doc_id
 """
 
 
