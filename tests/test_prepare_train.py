@@ -1,4 +1,5 @@
 import math
+import uuid
 
 import numpy as np
 import pytest
@@ -55,7 +56,7 @@ def test_exact_ranks_of_few_values(spark, monkeypatch):
 
 def _jobs(spark, fn):
     """Number of jobs that ``fn`` runs."""
-    group = f"count-{id(fn)}"
+    group = f"count-{uuid.uuid4()}"
     spark.sparkContext.setJobGroup(group, group)
     fn()
     n = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
