@@ -9,8 +9,10 @@ the water line ``level`` are full and the others take ``weight * level``.
 A source first takes every document in complete epochs; the rest of its
 target is a weighted sample without replacement: every document draws an
 exponential key divided by its quality weight, the keys are sorted within the
-source, and a running sum of sizes takes documents up to the budget (the last
-one if that comes nearer to it). Keys are hashes of seed and doc_id, so reruns
+source, and a running sum of sizes takes documents up to the budget. Of those
+left, the ones that still fit what is left of the budget are summed up and taken
+in the same way, until none fits. So a source misses its target by less than the
+smallest document that it leaves out, and is never above it. Keys are hashes of seed and doc_id, so reruns
 agree. Running sums are dealt by range (see ``prefix``), so a hot source is
 spread over many tasks.
 
@@ -93,15 +95,41 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     plan = targets.selectExpr(
         "source as of_source", "source_size", "target",
         f"cast(least({most}, floor(case when source_size > 0 then target / source_size else 0 end)) as long) as epochs")
-    plan = plan.selectExpr("*", "target - epochs * source_size as budget")
-    placed = running_sums(sized, ["source"], ["key", "doc_id", "tie", "size"], ["size"])
+    plan = written(plan.selectExpr("*", "target - epochs * source_size as budget"), "mix-plan")
+    chosen = _chosen(sized, plan.selectExpr("of_source", "budget"))
     # One row per source, and a source may hold any share of the rows: adaptive
     # execution splits its partitions, since both sides come from an exchange.
-    placed = written(placed, "mix-placed")
-    joined = placed.join(plan, placed["source"].eqNullSafe(plan["of_source"]))
-    before = F.col("size_upto") - F.col("size")
-    nearer = (F.col("size_upto") - F.col("budget")) < (F.col("budget") - before)
-    partial = F.when((F.col("size_upto") <= F.col("budget")) | ((before < F.col("budget")) & nearer), 1).otherwise(0)
-    copies = F.least(F.lit(most).cast("long"), F.col("epochs") + partial)
+    joined = chosen.join(plan.drop("budget"), chosen["source"].eqNullSafe(plan["of_source"]))
+    copies = F.least(F.lit(most).cast("long"), F.col("epochs") + F.col("again").cast("long"))
     return joined.select("doc_id", "source", "size", "source_size", "target",
                          (copies * F.col("size")).cast("long").alias("taken"))
+
+
+_ORDER = ["key", "doc_id", "tie", "size"]
+
+
+def _chosen(sized: DataFrame, budgets: DataFrame) -> DataFrame:
+    """``sized`` with ``again``: whether a row is in the partial epoch of its
+    source. ``budgets`` has ``(of_source, budget)``.
+
+    A round is one set of running sums over the rows that fit what is left, all
+    sources at once; what is left falls below a row's size in every round, so the
+    rounds are about as many as the sizes have binary orders."""
+    done, left, budgets = [], sized, written(budgets, "mix-budgets")
+    while True:
+        met = left.join(budgets, left["source"].eqNullSafe(budgets["of_source"]))
+        fits = met.where("size <= budget").select(*sized.columns, "budget")
+        done.append(met.where("size > budget or budget is null").select(*sized.columns, F.lit(False).alias("again")))
+        placed = written(running_sums(fits, ["source"], _ORDER, ["size"]), "mix-placed")
+        taken = placed.where("size_upto <= budget")
+        left = placed.where("size_upto > budget").select(*sized.columns)
+        done.append(taken.select(*sized.columns, F.lit(True).alias("again")))
+        if left.isEmpty():
+            break
+        spent = taken.groupBy("source").agg(F.sum("size").alias("spent")).withColumnRenamed("source", "spent_by")
+        budgets = written(budgets.join(spent, budgets["of_source"].eqNullSafe(spent["spent_by"]), "left").selectExpr(
+            "of_source", "budget - coalesce(spent, 0) as budget"), "mix-budgets")
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return written(out, "mix-chosen")

@@ -89,9 +89,18 @@ def q_mix_sources(spark: SparkSession, d: str) -> DataFrame:
     return mixture.mix(read(spark, d, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+#: Rounds that the SQL writes out; those in which nothing fits change nothing.
+MIX_ROUNDS = 16
+_MIX_ROUNDS = ",\n".join(f"""
+a{n} AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING) AS upto
+        FROM l{n - 1} WHERE size <= budget),
+s{n} AS (SELECT source, sum(size) AS spent FROM a{n} WHERE upto <= budget GROUP BY source),
+l{n} AS (SELECT a.r, a.source, a.size, a.key, a.doc_id, a.budget - coalesce(s.spent, 0) AS budget
+        FROM a{n} a LEFT JOIN s{n} s ON a.source IS NOT DISTINCT FROM s.source WHERE a.upto > a.budget)"""
+                        for n in range(1, MIX_ROUNDS + 1))
 SQL_MIX_SOURCES = rf"""
 WITH d AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+  SELECT row_number() OVER () AS r, doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
     -ln((CAST('0x' || substr(md5('{mixture.SEED}:' || doc_id), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE)
       / greatest(0.05, 1 - len(regexp_extract_all(coalesce(text, ''), '[0-9#$%&*|@<>{{}}=_^~+!]'))
                            / CAST(greatest(length(coalesce(text, '')), 1) AS DOUBLE)) AS key
@@ -107,13 +116,13 @@ v AS (SELECT coalesce(arg_min(level, full_at) FILTER (WHERE level <= full_at), '
 t AS (SELECT source, source_size,
              CASE WHEN full_at <= v.level THEN CAST(cap AS DOUBLE) ELSE weight * v.level END AS target FROM f, v),
 e AS (SELECT *, CAST(least(3, floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END)) AS BIGINT) AS epochs FROM t),
-p AS (SELECT d.*, e.source_size, e.target, e.epochs, target - epochs * e.source_size AS budget,
-             sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING) AS upto
-      FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
-SELECT doc_id, size, source_size, target,
-       CAST(least(3, epochs + CASE WHEN upto <= budget OR (upto - size < budget AND upto - budget < budget - (upto - size))
-                              THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
-FROM p
+l0 AS (SELECT d.r, d.source, d.size, d.key, d.doc_id, target - epochs * e.source_size AS budget
+       FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source),
+{_MIX_ROUNDS},
+picked AS ({" UNION ALL ".join(f"SELECT r FROM a{n} WHERE upto <= budget" for n in range(1, MIX_ROUNDS + 1))})
+SELECT doc_id, size, e.source_size, target,
+       CAST(least(3, epochs + CASE WHEN picked.r IS NULL THEN 0 ELSE 1 END) * size AS BIGINT) AS taken
+FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source LEFT JOIN picked ON picked.r = d.r
 """
 
 

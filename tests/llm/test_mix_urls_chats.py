@@ -169,3 +169,18 @@ def test_conversation_records_nulls_and_ties(spark):
     assert got[1]["turns_sha256"] == brute.sha("user\n\nassistant\na\nassistant\na\n") and got[1]["loss_chars"] == 2
     assert got[2]["turns_sha256"] == brute.sha("\nx\n") and got[None]["turns_sha256"] == brute.sha("human\ny\n")
     assert got[4]["turns_sha256"] == brute.sha("user\n" + "<|im_start|>" * 2000 + "\ngpt\n\n")
+
+
+def test_mix_misses_by_less_than_the_smallest_document_left(docs_frame):
+    import random
+    rng = random.Random(8)
+    rows = [(i, "w " * (5000 if i % 97 == 0 else rng.randint(1, 60)), "en", f"s{i % 7}") for i in range(700)]
+    got = mixture.mix(docs_frame(rows), weights=(5, 2, 1)).collect()
+    by_source = {}
+    for r in got:
+        by_source.setdefault(r["source"], []).append(r)
+    for rs in by_source.values():
+        target, size = rs[0]["target"], rs[0]["source_size"]
+        taken, epochs = sum(r["taken"] for r in rs), min(3, int(target // size))
+        left = [r["size"] for r in rs if r["taken"] == epochs * r["size"] and r["size"]]
+        assert taken <= target and (not left or target - taken < min(left))
