@@ -36,7 +36,6 @@ RUN = 32
 ROUNDS = 12
 PENALTY = 6.0
 SMOOTH = 0.1
-MOST_SET = 3
 UNKNOWN = "und"
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -152,11 +151,13 @@ def infer(buckets: np.ndarray, off: np.ndarray, logs: np.ndarray, penalty: float
     chosen[alone.argmax(axis=0), np.arange(len(rows))] = 1
     share = chosen.copy()
     cost = penalty * np.log(n_runs + 1.0) / 2
-    for size in range(2, min(k, MOST_SET) + 1):
+    for size in range(2, k + 1):
         allowed = np.zeros((k, len(rows)))
         np.put_along_axis(allowed, order[:size], 1, axis=0)
         part, total = _mixture(runs, first, row, allowed, 6)
         better = total - (size - 1) * cost > best
+        if not better.any():
+            break
         best = np.where(better, total - (size - 1) * cost, best)
         chosen[:, better], share[:, better] = allowed[:, better], part[:, better]
     return rows, share * chosen, theta
