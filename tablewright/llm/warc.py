@@ -186,21 +186,23 @@ def _payload(block: bytes) -> tuple[bytes | None, str | None]:
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """``(record_id, record_type, target, payload_digest, refers_to, payload,
-    problem)``: one row per logical record of the archives in ``path``."""
+    problem)``: one row per logical record of the archives in ``path``, of
+    whatever type. The payload of an HTTP message (by its content type; a response
+    without one counts as such) is its decoded body, that of any other record its
+    block."""
     def pieces(batches):
-        names = ["record_id", "record_type", "target", "digest", "refers_to", "segment", "total", "block"]
-        kinds = [pa.string()] * 5 + [pa.int32(), pa.int64(), pa.binary()]
+        names = ["record_id", "record_type", "target", "digest", "refers_to", "http", "segment", "total", "block"]
+        kinds = [pa.string()] * 5 + [pa.bool_(), pa.int32(), pa.int64(), pa.binary()]
         for b in batches:
             for data in b.column(0):
                 out, size = [], 0
                 for h, block in _parsed(data.as_py()):
                     kind = h.get("warc-type", "")
-                    if kind not in ("response", "revisit", "continuation"):
-                        continue
-                    total = h.get("warc-segment-total-length")
+                    total, media = h.get("warc-segment-total-length"), h.get("content-type", "").lower()
                     out.append((h.get("warc-segment-origin-id") if kind == "continuation" else h.get("warc-record-id"),
                                 kind, h.get("warc-target-uri", ""), h.get("warc-payload-digest"),
-                                h.get("warc-refers-to"), int(h.get("warc-segment-number", "0")),
+                                h.get("warc-refers-to"), media.startswith("application/http") or not media and kind == "response",
+                                int(h.get("warc-segment-number", "0")),
                                 int(total) if total else None, block))
                     size += len(block)
                     if size > 4 << 20:
@@ -212,26 +214,28 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     def decoded(batches):
         for b in batches:
             keep = [b.column(i) for i in range(5)]
-            got = [(None, p) if p else (None, None) if k == "revisit" else _payload(x)
-                   for k, x, p in zip(b.column(1).to_pylist(), b.column(5).to_pylist(), b.column(6).to_pylist())]
+            got = [(None, p) if p else (None, None) if k == "revisit" else _payload(x) if http else (x, None)
+                   for k, http, x, p in zip(*(b.column(i).to_pylist() for i in (1, 5, 6, 7)))]
             yield pa.RecordBatch.from_arrays(
                 [*keep, pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.string())],
                 names=["record_id", "record_type", "target", "payload_digest", "refers_to", "payload", "problem"])
 
     found = spark.read.format("binaryFile").load(path).select("content").mapInArrow(
         pieces, "record_id string, record_type string, target string, digest string, refers_to string, "
-                "segment int, total long, block binary")
+                "http boolean, segment int, total long, block binary")
     found = written(found, "warc-pieces")
     whole = found.where("segment = 0").select(
-        "record_id", "record_type", "target", "digest", "refers_to", "block", F.lit(None).cast("string").alias("problem"))
+        "record_id", "record_type", "target", "digest", "refers_to", "http", "block",
+        F.lit(None).cast("string").alias("problem"))
     # The segments of one record: as many as its length needs, ordered by number.
     parts = (found.where("segment > 0").groupBy("record_id").agg(
         F.max(F.when(F.col("segment") == 1, F.col("record_type"))).alias("record_type"),
         F.max(F.when(F.col("segment") == 1, F.col("target"))).alias("target"),
-        F.max("digest").alias("digest"), F.max("refers_to").alias("refers_to"), F.max("total").alias("total"),
+        F.max("digest").alias("digest"), F.max("refers_to").alias("refers_to"),
+        F.max(F.when(F.col("segment") == 1, F.col("http"))).alias("http"), F.max("total").alias("total"),
         F.expr("array_sort(collect_list(struct(segment, block)))").alias("parts")))
     joined = parts.selectExpr(
-        "record_id", "record_type", "target", "digest", "refers_to",
+        "record_id", "record_type", "target", "digest", "refers_to", "coalesce(http, false) as http",
         "unhex(array_join(transform(parts, p -> hex(p.block)), '')) as block",
         "case when transform(parts, p -> p.segment) != sequence(1, size(parts)) then 'segments missing or repeated' "
         "when total is null then 'no last segment' "
@@ -243,7 +247,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 def resolved(records: DataFrame) -> DataFrame:
     """``(page_id, payload_bytes, payload_digest, record_type, refers_to,
-    problem)`` per record: lengths and digests of the payloads as read, and
+    problem)`` per response, revisit or orphaned segment (records of other types
+    are no pages and have no row): lengths and digests of the payloads as read, and
     for a revisit those of the record that it refers to."""
     page = "try_cast(regexp_extract({}, '<urn:page:(-?[0-9]+)[:>]', 1) as bigint)"
     seen = written(records.select(
@@ -259,7 +264,7 @@ def resolved(records: DataFrame) -> DataFrame:
     again = again.select("page_id", "record_type", "refers_to", F.col("first_bytes").alias("payload_bytes"),
                          F.col("first_sha").alias("sha"),
                          F.coalesce("problem", F.when(F.col("first_id").isNull(), "no such response")).alias("problem"))
-    once = seen.where("record_type != 'revisit'").select(
+    once = seen.where("record_type is null or record_type = 'response'").select(
         "page_id", "record_type", "refers_to", "payload_bytes", "sha", "problem")
     return once.unionByName(again).select(
         "page_id", "payload_bytes", F.col("sha").alias("payload_digest"), "record_type", "refers_to", "problem")

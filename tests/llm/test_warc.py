@@ -90,7 +90,7 @@ def test_broken_segments_are_named(spark, tmp_path):
     assert [by[i]["problem"] for i in (3, 4, 5)] == [
         "segments missing or repeated", "wrong total length", "no last segment"]
     assert by[6]["problem"].startswith("broken body") and bytes(by[7]["payload"]) == b"plain"
-    assert len(got) == 7
+    assert len(got) == 8 and bytes(got["<urn:i>"]["payload"]) == b"hello"
 
 
 def test_archives_have_bounded_files(spark):
@@ -98,3 +98,27 @@ def test_archives_have_bounded_files(spark):
     rows = [(i, "u", f"page {i} " * 20) for i in range(50)]
     warc.write_archives(frame(spark, rows).coalesce(1), path, records_per_file=20)
     assert len([f for f in os.listdir(path.removeprefix("file:")) if f.endswith(".gz")]) == 3
+
+
+def test_records_of_every_type_are_read(spark, tmp_path_factory):
+    """Archives of other origin: resources, metadata, requests and info records."""
+    folder = str(tmp_path_factory.mktemp("other"))
+
+    def record(kind, block, **headers):
+        lines = [b"WARC/1.1", b"WARC-Type: " + kind, b"WARC-Record-ID: <urn:x:" + kind + b">"]
+        lines += [k.replace("_", "-").encode() + b": " + v for k, v in headers.items()]
+        return b"\r\n".join([*lines, b"Content-Length: %d" % len(block), b"", b""]) + block + b"\r\n\r\n"
+
+    http = b"HTTP/1.1 200 OK\r\nA: b\r\n\r\nbody"
+    data = (record(b"warcinfo", b"software: x", Content_Type=b"application/warc-fields")
+            + record(b"resource", b"<p>raw</p>", Content_Type=b"text/html", WARC_Target_URI=b"http://a/")
+            + record(b"request", b"GET / HTTP/1.1\r\n\r\n", Content_Type=b"application/http; msgtype=request")
+            + record(b"response", http, Content_Type=b"application/http; msgtype=response")
+            + record(b"conversion", b"text", Content_Type=b"text/plain"))
+    with open(f"{folder}/a.warc", "wb") as f:
+        f.write(data)
+    got = {r["record_type"]: r for r in warc.read_archives(spark, folder).collect()}
+    assert {k: (bytes(r["payload"]), r["problem"]) for k, r in got.items()} == {
+        "warcinfo": (b"software: x", None), "resource": (b"<p>raw</p>", None), "request": (b"", None),
+        "response": (b"body", None), "conversion": (b"text", None)}
+    assert got["resource"]["target"] == "http://a/"
