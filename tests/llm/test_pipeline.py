@@ -60,3 +60,27 @@ def test_stage_on_odd_rows(spark, docs_frame, k, empty):
 def test_rows_that_stand_twice_stay_once(spark, docs_frame):
     got = corpus_pipeline.drop_copies(spark, docs_frame([(1, "a"), (1, "a"), (2, "b"), (1, "c")]), SF)
     assert sorted((r["doc_id"], r["text"]) for r in got.collect()) == [(1, "a"), (1, "c"), (2, "b")]
+
+
+def test_columns_may_have_any_name(spark, docs_frame):
+    """Extra columns named like what the stages use inside come back unchanged."""
+    rows = [(1, "der und das ist die", "de"), (2, "the and of it is", "en"), (3, "the and of it is", "en"), (4, "12"),
+            (5, " ".join(f"w{i}" for i in range(60))), (6, " ".join(f"w{i}" for i in range(61)))]
+    names = ["score", "langs", "lang_pred", "sha", "document_key", "document", "gone", "slot", "nameless", "text_hash",
+             "_text_", "held_out", "n", "class", "again"]
+    df = docs_frame(rows, extra=False).selectExpr("*", *[f"concat('{n}', doc_id) as `{n}`" for n in names])
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        got = stage(spark, df, SF)
+        assert got.columns == df.columns and got.exceptAll(df).isEmpty(), name
+    assert stage(spark, df, SF).count() == 6
+
+
+def test_stages_leave_small_tables_only(spark, docs_frame):
+    import os
+    from tablewright.session import run_dir
+    rows = [(i, " ".join(f"w{i}-{j // 2}" for j in range(30))) for i in range(40)]
+    before = set(os.listdir(run_dir(spark).replace("file://", ""))) if os.path.exists(run_dir(spark)) else set()
+    corpus_pipeline.drop_near_copies(spark, docs_frame(rows), SF).count()
+    corpus_pipeline.drop_contaminated(spark, docs_frame(rows), SF).count()
+    left = set(os.listdir(run_dir(spark))) - before
+    assert {x.rsplit("-", 1)[0] for x in left} == {"gone"}
