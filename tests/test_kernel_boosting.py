@@ -110,6 +110,31 @@ def test_svr_reaches_the_minimum_of_the_tube_loss(spark, tmp_dir):
     assert both.where("before != prediction").isEmpty() and both.count() == 400
 
 
+def test_svr_needs_few_passes_over_the_rows(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(600, 2))
+    df = frame(spark, x, np.sin(2 * x[:, 0]) + 0.5 * x[:, 1] ** 2)
+    passes, loss = [], kernel._loss
+    monkeypatch.setattr(kernel, "_loss", lambda *args: passes.append(1) or loss(*args))
+    by_newton = kernel.EpsilonSVR(components=40, regParam=1 / 600, gamma=0.5).fit(df)
+    assert len(passes) <= 45
+    monkeypatch.setattr(kernel, "MOST_CURVED", 39)  # as for many components: gradients only
+    by_gradient = kernel.EpsilonSVR(components=40, regParam=1 / 600, gamma=0.5, maxIter=200).fit(df)
+    a, b = ([r.prediction for r in m.transform(df).collect()] for m in (by_newton, by_gradient))
+    assert np.allclose(a, b, atol=0.05)
+
+
+def test_newton_meets_the_exact_minimum_of_a_square():
+    h, at = np.array([[3.0, 1.0], [1.0, 2.0]]), np.array([1.0, -2.0])
+
+    def along(w, back):
+        ends = [w + (1 - share) * back - at for share in kernel.SHARES]
+        return np.array([0.5 * e @ h @ e for e in ends]), h @ (w - at), h
+
+    point, value, calls = kernel.newton(along, np.zeros(2), 50)
+    assert np.allclose(point, at) and value < 1e-12 and calls <= 3
+
+
 def test_svr_does_not_move_for_residuals_inside_the_tube(spark):
     x = np.linspace(-1, 1, 60)[:, None]
     y = 3 + 0.09 * np.sign(np.sin(50 * x[:, 0]))  # all within epsilon of a constant
