@@ -387,3 +387,39 @@ def test_text_feature_of_very_many_values(spark):
     assert trainer.predict(got, df).where("`y Prediction` is null").isEmpty()
     hit = trainer.train_model(df, ["x", "kind"], "big", "SGDClassifier", "classification", key_cols=["id"])
     assert hit.metrics["accuracy"] > 0.9
+
+
+@pytest.mark.parametrize("most", [10_000, 0])
+def test_kth_hash_gathers_no_group(spark, monkeypatch, most):
+    """Rows meet the groups' state by broadcast, or, where groups are many, by
+    group and prefix: never by the group alone."""
+    from pyspark.sql import functions as F
+    from tablewright.operators import select
+    rows = spark.range(6000).selectExpr("id % 3 as g", "md5(cast(id as string)) as h")
+    monkeypatch.setattr(select, "BROADCAST_CLASSES", most)
+    monkeypatch.setattr(select, "PREFIX_DIGITS", 1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plans, cut = [], select.cut_lineage
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(select, "cut_lineage", kept)
+    try:
+        k = rows.groupBy("g").agg(F.lit(700).cast("long").alias("__k"))
+        got = {r["g"]: (r["__thr"], r["__ties"], r["__need"])
+               for r in select.kth_hash_per_group(rows, "h", ["g"], k).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    by_group = {}
+    for r in rows.collect():
+        by_group.setdefault(r["g"], []).append(r["h"])
+    assert got == {g: (sorted(hs)[699], 1, 1) for g, hs in by_group.items()}
+    assert len(plans) > 3
+    for plan in plans[2:]:
+        if most:
+            assert "SortMergeJoin" not in plan
+        else:
+            joins = [line for line in plan.splitlines() if "SortMergeJoin" in line]
+            assert joins and all("substring" in line for line in joins)
