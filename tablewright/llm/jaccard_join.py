@@ -15,17 +15,17 @@ one class, so copies are never compared. The join:
    one tile: (head, size band). Tiles hold each class once, however many
    shingles it shares.
 3. Every class of a tile is first paired with its head (linear in the tile).
-   Links found that way merge classes, and of the other pairs of a tile those
-   across merged groups are listed, block by block, with blocks of bounded size
-   dealt to different tasks.
+   Links found that way merge classes into groups.
 4. Bit counts of hashed bitmap signatures, eight bits a shingle, bound each
-   pair's overlap from above; survivors get the exact intersection of their
-   sorted shingle hashes.
-5. All links are counted. The signatures also tell which classes of a tile may
-   link with another than its head; these get their shingles, and every pair of
-   them is compared exactly, block by block, in the tile of its smallest common
-   head. Tasks return a number of links per class, so a group of thousands of
-   near copies is compared in full and makes no row per pair.
+   pair's overlap from above. With the head, survivors get the exact intersection
+   of their sorted shingle hashes.
+5. Of the other pairs of a tile, the bounds tell which classes may link with
+   another, block by block, with blocks of bounded size dealt to different tasks.
+   These classes get their shingles, and every pair of them is compared exactly,
+   in the tile of its smallest common head. Tasks return a number of links per
+   class and links that connect groups, fewer than classes, so a group of
+   thousands of near copies is compared in full and makes no row per pair. Where
+   no links are counted, pairs that are connected already are left out.
 
 The result is connected components over all links, and every class's number
 of links. Words: A-Z lower-cased, `[^\x20\x09-\x0D]+`. Shingles and
@@ -316,57 +316,47 @@ def _block_pairs(tiles: DataFrame, columns: list[str]) -> DataFrame:
             .select("head", "band", "i", "j", *columns))
 
 
-def _compared(tiles: DataFrame, percent: int, flagged: bool) -> DataFrame:
-    """Of a tile's block pair, but for pairs with the head: the pairs ``(a, b)``
-    that stand in different groups and whose bounds allow a link, and, if
-    ``flagged``, each ``class`` that has any pair whose bounds allow a link."""
-    schema = "head long, band int, i int, j int, class long, a long, b long"
-
+def _flagged(tiles: DataFrame, percent: int, counts: bool) -> DataFrame:
+    """Of a tile's block pair: each ``class`` of a pair without the head whose
+    bounds allow a link; unless ``counts``, of a pair in different groups."""
     def candidates(key, held):
         c, g, n, home, block = (np.array(x) for x in zip(*[r[:5] for r in held]))
         size = min(len(r[5]) for r in held)
         sig = np.stack([fold(np.frombuffer(r[5], np.uint8), size) for r in held])
         may = np.zeros(len(c), bool)
-        found = [(c[:0], c[:0])]
         left, right = np.flatnonzero((block == key[2]) & (c != key[0])), np.flatnonzero((block == key[3]) & (c != key[0]))
         for i in left:
             r = right[right > i] if key[2] == key[3] else right
-            wanted = g[r] != g[i]
-            if flagged:
-                wanted |= ~(may[r] & may[i])
-            r = r[wanted & (home[r] | home[i])]
+            wanted = ~(may[r] & may[i]) & (home[r] | home[i])
+            r = r[wanted if counts else wanted & (g[r] != g[i])]
             r = r[100 * np.minimum(n[r], n[i]) >= percent * np.maximum(n[r], n[i])]
             r = r[enough(overlap_bound(n[r], n[i], sig[r], sig[i]), n[r], n[i], percent)]
             if len(r):
                 may[r] = may[i] = True
-                r = r[g[r] != g[i]]
-                found.append((np.minimum(c[r], c[i]), np.maximum(c[r], c[i])))
-        a, b = (np.concatenate(x) for x in zip(*found))
-        return c[may] if flagged else c[:0], a, b
+        return c[may]
 
-    def compared(batches):
+    def flagged(batches):
         for key, held in _held(batches):
-            c, a, b = candidates(key, held)
-            for mine in ({"class": c}, {"a": a, "b": b}):
-                size = len(next(iter(mine.values())))
-                if size:
-                    tile = zip(("head", "band", "i", "j"), key, (pa.int64(), *[pa.int32()] * 3))
-                    columns = {x: pa.array([v] * size, k) for x, v, k in tile}
-                    columns |= {x: pa.array(mine[x], pa.int64()) if x in mine else pa.nulls(size, pa.int64())
-                                for x in ("class", "a", "b")}
-                    yield pa.RecordBatch.from_pydict(columns)
-
-    return _block_pairs(tiles, ["class", "group", "n", "home", "block", "sig"]).mapInArrow(compared, schema)
-
-
-def _counted(tiles: DataFrame, percent: int) -> DataFrame:
-    """``(class, n_links)``: links within a tile's block pair by exact
-    intersection, but for those ``linked`` already (the smaller classes of
-    known links) and those of a smaller common head."""
+            c = candidates(key, held)
+            if len(c):
+                tile = zip(("head", "band", "i", "j"), key, (pa.int64(), *[pa.int32()] * 3))
+                yield pa.RecordBatch.from_pydict({x: pa.array([v] * len(c), k) for x, v, k in tile}
+                                                 | {"class": pa.array(c, pa.int64())})
+
+    return (_block_pairs(tiles, ["class", "group", "n", "home", "block", "sig"])
+            .mapInArrow(flagged, "head long, band int, i int, j int, class long"))
+
+
+def _intersected(tiles: DataFrame, percent: int, counts: bool) -> DataFrame:
+    """Links within a tile's block pair by exact intersection, but for those
+    ``linked`` already (the smaller classes of known links) and those of a
+    smaller common head: rows ``(class, other)`` of links that connect groups,
+    fewer than the block pair has classes, and, if ``counts``, ``(class, n_links)``
+    over all. Without ``counts``, pairs that are connected are not compared."""
     def links(key, held):
         head, _, i_block, j_block = key
-        c, home, block = (np.array(x) for x in zip(*[r[:3] for r in held]))
-        sets = [np.frombuffer(r[5], np.uint64) for r in held]
+        c, g, home, block = (np.array(x) for x in zip(*[r[:4] for r in held]))
+        sets = [np.frombuffer(r[6], np.uint64) for r in held]
         n = np.array([len(x) for x in sets])
         sigs = [signature(x) for x in sets]
         size = min(len(x) for x in sigs)
@@ -378,24 +368,25 @@ def _counted(tiles: DataFrame, percent: int) -> DataFrame:
         elsewhere: dict = {}  # smaller head -> its classes here
         known: dict = {}  # class -> classes here that link with it
         for k, r in enumerate(held):
-            for x in r[3]:
+            for x in r[4]:
                 if x < head:
                     elsewhere.setdefault(x, []).append(k)
-            for x in r[4] or ():
+            for x in r[5] or ():
                 if x in place:
                     known.setdefault(place[x], []).append(k)
                     known.setdefault(k, []).append(place[x])
         elsewhere = {x: np.array(k) for x, k in elsewhere.items() if len(k) > 1}
         degree = np.zeros(len(c), np.int64)
+        g, found = g.copy(), []
         left, right = np.flatnonzero((block == i_block) & (c != head)), np.flatnonzero((block == j_block) & (c != head))
         for i in left:
             r = right[right > i] if i_block == j_block else right
             here = home | home[i]
-            for x in held[i][3]:
+            for x in held[i][4]:
                 if x in elsewhere:
                     here[elsewhere[x]] = False
             here[known.get(i, [])] = False
-            r = r[here[r]]
+            r = r[here[r] if counts else here[r] & (g[r] != g[i])]
             r = r[100 * np.minimum(n[r], n[i]) >= percent * np.maximum(n[r], n[i])]
             r = r[enough(overlap_bound(n[r], n[i], sig[r], sig[i]), n[r], n[i], percent)]
             mark[at[i]] = 1
@@ -406,27 +397,36 @@ def _counted(tiles: DataFrame, percent: int) -> DataFrame:
                     r = r[enough(same, n[r], n[i], percent)]
                     degree[r] += 1
                     degree[i] += len(r)
+                    for k in r[g[r] != g[i]]:
+                        if g[k] != g[i]:
+                            found.append((min(c[k], c[i]), max(c[k], c[i])))
+                            g[g == g[k]] = g[i]
             mark[at[i]] = 0
-        return c[degree > 0], degree[degree > 0]
+        return c[degree > 0], degree[degree > 0], found
 
-    def counted(batches):
+    def compared(batches):
         for key, held in _held(batches):
-            c, degree = links(key, held)
-            yield pa.RecordBatch.from_pydict({"class": c.astype(np.int64), "n_links": degree})
-
-    return (_block_pairs(tiles, ["class", "home", "block", "heads", "linked", "shingles"])
-            .mapInArrow(counted, "class long, n_links long"))
-
-
-def _link_counts(compared: DataFrame, dealt: DataFrame, first: DataFrame, sets: DataFrame,
-                 percent: int) -> DataFrame:
-    """``(class, n_links)`` over all links: the verified pairs ``first`` with
-    tiles' heads, and the other pairs of the flagged classes."""
-    flags = compared.where("class is not null").select("head", "band", "i", "j", "class")
+            c, degree, found = links(key, held)
+            if counts and len(c):
+                yield pa.RecordBatch.from_pydict({"class": pa.array(c, pa.int64()), "other": pa.nulls(len(c), pa.int64()),
+                                                  "n_links": pa.array(degree, pa.int64())})
+            if found:
+                a, b = zip(*found)
+                yield pa.RecordBatch.from_pydict({"class": pa.array(a, pa.int64()), "other": pa.array(b, pa.int64()),
+                                                  "n_links": pa.nulls(len(a), pa.int64())})
+
+    return (_block_pairs(tiles, ["class", "group", "home", "block", "heads", "linked", "shingles"])
+            .mapInArrow(compared, "class long, other long, n_links long"))
+
+
+def _further(flags: DataFrame, dealt: DataFrame, first: DataFrame, sets: DataFrame, percent: int,
+             counts: bool) -> DataFrame:
+    """What :func:`_intersected` finds among the flagged classes; ``first`` are the
+    verified pairs with tiles' heads."""
     heads = flags.groupBy("class", "band").agg(F.collect_set("head").alias("heads"))
     heads = heads.join(first.groupBy("b").agg(F.collect_set("a").alias("linked")), F.col("class") == F.col("b"), "left")
     heads = written(heads.select("class", "band", "heads", "linked"), "jaccard-met")
-    table = compared.sparkSession.sparkContext.broadcast(token_filter(heads, "class"))
+    table = flags.sparkSession.sparkContext.broadcast(token_filter(heads, "class"))
 
     def wanted(batches):
         for b in batches:
@@ -437,8 +437,13 @@ def _link_counts(compared: DataFrame, dealt: DataFrame, first: DataFrame, sets:
     whole = written(whole.mapInArrow(wanted, whole.schema).dropDuplicates(["class"]), "jaccard-compared")
     held = (flags.join(dealt, ["head", "band", "i", "j", "class"]).join(heads, ["class", "band"])
             .join(whole, "class"))
-    inside = _counted(held, percent)
+    return written(_intersected(held, percent, counts), "jaccard-further")
+
+
+def _link_counts(further: DataFrame, first: DataFrame) -> DataFrame:
+    """``(class, n_links)`` over all links: those with tiles' heads and the others."""
     ends = first.select(F.explode(F.array("a", "b")).alias("class"), F.lit(1).cast("long").alias("n_links"))
+    inside = further.where("n_links is not null").select("class", "n_links")
     return written(inside.unionByName(ends).groupBy("class").agg(F.sum("n_links").alias("n_links")),
                    "jaccard-counts")
 
@@ -519,12 +524,12 @@ def _joined(docs, doc_id, text, shingle, percent, sketch_bits, block, counts, ta
              .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
              .select("head", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
                      "class", "group", "n", "home", "block"))
-    compared = written(_compared(dealt.join(classes.select("class", "sig"), "class"), percent, counts),
-                       "jaccard-pairs")
-    pairs = written(compared.where("a is not null").select("a", "b").distinct(), "jaccard-across")
-    more = written(_verified(pairs, classes, sets, percent), "jaccard-more")
-    counted = (_link_counts(compared, dealt.select("head", "band", "i", "j", "class", "home", "block"), links,
-                            sets, percent) if counts else None)
+    flags = written(_flagged(dealt.join(classes.select("class", "sig"), "class"), percent, counts), "jaccard-flags")
+    further = _further(flags, dealt.select("head", "band", "i", "j", "class", "group", "home", "block"), links, sets,
+                       percent, counts)
+    more = written(further.where("other is not null").selectExpr("class as a", "other as b").distinct(),
+                   "jaccard-more")
+    counted = _link_counts(further, links) if counts else None
     links = links.unionByName(more)
 
     joined = components(links)

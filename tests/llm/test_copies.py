@@ -140,6 +140,30 @@ def test_jaccard_counts_all_links(docs_frame, corpus, block):
     same(members, JACCARD, brute.jaccard(rows))
 
 
+@pytest.mark.parametrize("counts", [True, False])
+def test_jaccard_makes_no_row_per_pair(docs_frame, monkeypatch, counts):
+    """Copies of one text, a word changed in each: most link with a few others
+    and not with their head. Further links are a forest, not a list of pairs."""
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(base[:i % 60] + [f"own{i}"] + base[i % 60 + 1:])) for i in range(240)]
+    sizes, written = {}, jaccard_join.written
+
+    def kept(df, name, *args):
+        out = written(df, name, *args)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard_join, "written", kept)
+    got, links = jaccard_join.jaccard_join(docs_frame(rows), counts=counts, block=32)
+    assert {(r["doc_id"], r["component_id"]) for r in got.collect()} == {(i, c) for i, _, c in brute.jaccard(rows)}
+    assert "jaccard-across" not in sizes and sizes["jaccard-more"] < sizes["jaccard-flags"]
+    sets = {jaccard_join.class_of(s): set(s.tolist()) for s in jaccard_join.shingle_sets(text_array(rows))}
+    assert all(100 * len(sets[r["a"]] & sets[r["b"]]) >= 80 * len(sets[r["a"]] | sets[r["b"]]) for r in links.collect())
+    if counts:
+        degree = {k: sum(100 * len(s & t) >= 80 * len(s | t) for j, t in sets.items() if j != k) for k, s in sets.items()}
+        assert {r["class"]: r["n_links"] for r in got.collect()} == degree
+
+
 def test_jaccard_counts_links_of_a_large_group(docs_frame):
     rng = random.Random(9)
     core = words(rng, 200)
