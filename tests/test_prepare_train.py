@@ -1,3 +1,4 @@
+import hashlib
 import math
 import uuid
 
@@ -423,3 +424,25 @@ def test_kth_hash_gathers_no_group(spark, monkeypatch, most):
         else:
             joins = [line for line in plan.splitlines() if "SortMergeJoin" in line]
             assert joins and all("substring" in line for line in joins)
+
+
+def test_split_sorts_no_row_and_escapes_keys(spark, monkeypatch):
+    """The pass over all rows hashes its counts; text aggregates sort them."""
+    rows = spark.range(5000).select("id", F.col("id").cast("string").alias("t"), (F.col("id") % 3).alias("g"))
+    plans, cut = [], select.cut_lineage
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(select, "cut_lineage", seen)
+    hashed = rows.withColumn("h", prepare.split_hash(["t"]))
+    k = spark.createDataFrame([(0, 300), (1, 1), (2, 1666)], "g long, __k long")
+    got = {r["g"]: r for r in select.kth_hash_per_group(hashed, "h", ["g"], k).collect()}
+    first_pass = plans[1]
+    assert "SortAggregate" not in first_pass and "HashAggregate" in first_pass
+    for g, kth in ((0, 300), (1, 1), (2, 1666)):
+        want = sorted(hashlib.md5(f"{i}|42".encode()).hexdigest() for i in range(g, 5000, 3))[kth - 1]
+        assert (got[g]["__thr"], got[g]["__ties"], got[g]["__need"]) == (want, 1, 1)
+    odd = spark.createDataFrame([("a|b\\", None)], "x string, y string").select(prepare.split_hash(["x", "y"])).first()[0]
+    assert odd == hashlib.md5("a\\|b\\\\|\\N|42".encode()).hexdigest()
