@@ -127,3 +127,61 @@ def test_lines_that_end_in_a_carriage_return_alone(spark, tmp_dir):
     with open(path, "w", newline="") as f:
         f.write('id,a\r1,"p\rq"\r2,z\r')
     assert csv_io.read_csv_text(spark, path).count() == 2
+
+
+def test_lines_are_walked_in_batches_and_blocks_without_open_ends_once(spark, tmp_dir, monkeypatch):
+    """Only lines that hold quotes are looked at one by one, and only blocks that
+    begin or end inside quotes are read for pieces."""
+    rows = some_rows(3000, 7)
+    write(f"{tmp_dir}/w.csv", rows)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        maps = records.block_maps(spark, f"{tmp_dir}/w.csv")
+        states = records.first_states(maps)
+        crossed = sum(states[m["file"], m["block"]] or m["outside"] for m in maps)
+        assert 0 < crossed < len(maps)
+        found = records.records(spark, f"{tmp_dir}/w.csv", maps)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "LeftSemi" in plan
+        texts = [r.record for r in found.where("not head").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    got = sorted(next(csv.reader(io.StringIO(t, newline=""))) for t in texts)
+    assert got == sorted(rows)
+    import numpy as np
+    import pyarrow as pa
+    asked, ends_inside = [], records.ends_inside
+    monkeypatch.setattr(records, "ends_inside", lambda line, inside: asked.append(line) or ends_inside(line, inside))
+    line = pa.array(["a,b", '1,"x', "y", 'z",2', "c"])
+    assert records._open_after(line, False).tolist() == [False, True, True, False, False]
+    assert asked == ['1,"x', 'z",2']
+    assert records._joined(line, np.array([1, 4, 5])).to_pylist() == ["a,b", '1,"x\ny\nz",2', "c"]
+
+
+def test_doubles_print_as_python_does_with_few_patterns(spark):
+    from decimal import Decimal
+
+    from pyspark.sql import functions as F
+
+    from tablewright.functions import as_text
+    rng = random.Random(4)
+    values = [rng.choice((-1, 1)) * rng.random() * 10.0 ** rng.randint(-30, 30) for _ in range(500)]
+    values += [1e16, 1e-5, 1e22, 1.5e300, -2e-300, 1e-4, 123456789012345.0, 0.0, 1e7, -1e15, 2.5e-9]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    text = as_text(F.col("v"), df.schema["v"].dataType)
+
+    def printed(v, raw):
+        """Java's digits (it may write one too many) in Python's form."""
+        if "E" not in raw:
+            return raw
+        if 1e-4 <= abs(v) < 1e16:
+            plain = format(Decimal(raw).normalize(), "f")
+            return plain if "." in plain else plain + ".0"
+        mantissa, exponent = raw.split("E")
+        return f"{mantissa.removesuffix('.0')}e{int(exponent):+03d}"
+
+    got = df.select("v", F.col("v").cast("string").alias("raw"), text.alias("t")).collect()
+    assert [r.t for r in got] == [printed(r.v, r.raw) for r in got] and all(float(r.t) == r.v for r in got)
+    assert sum(r.t == repr(r.v) for r in got) > 400
+    plan = df.select(text)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp") <= 1  # six patterns a value before
