@@ -446,3 +446,21 @@ def test_split_sorts_no_row_and_escapes_keys(spark, monkeypatch):
         assert (got[g]["__thr"], got[g]["__ties"], got[g]["__need"]) == (want, 1, 1)
     odd = spark.createDataFrame([("a|b\\", None)], "x string, y string").select(prepare.split_hash(["x", "y"])).first()[0]
     assert odd == hashlib.md5("a\\|b\\\\|\\N|42".encode()).hexdigest()
+
+
+def test_models_share_one_preparation(spark, monkeypatch):
+    df = spark.range(400).select("id", (F.col("id") % 7).cast("double").alias("a"),
+                                 F.when(F.col("id") % 7 > 3, "x").otherwise("y").alias("y"))
+    calls, fitted = [], trainer.fit_preprocessor
+    monkeypatch.setattr(trainer, "fit_preprocessor", lambda *a: calls.append(a) or fitted(*a))
+    both = trainer.prepare_training(df, ["a"], "y", "classification", ["id"])
+    got = [trainer.train_model(df, ["a"], "y", name, "classification", params, key_cols=["id"], prepared=both)
+           for name, params in (("RandomForestClassifier", {"n_estimators": 3, "max_depth": 3}), ("SGDClassifier", {}))]
+    assert len(calls) == 1 and both.cached.is_cached
+    alone = trainer.train_model(df, ["a"], "y", "RandomForestClassifier", "classification",
+                                {"n_estimators": 3, "max_depth": 3}, key_cols=["id"])
+    assert alone.metrics == got[0].metrics and alone.importance == got[0].importance
+    with pytest.raises(ValueError, match="prepared for"):
+        trainer.train_model(df, ["id"], "y", "SGDClassifier", "classification", prepared=both)
+    both.release()
+    assert not both.cached.is_cached
