@@ -90,6 +90,16 @@ def test_kernel_learners_keep_rows_and_no_mapped_features(spark, monkeypatch):
     assert svc.metrics["accuracy"] > 0.6 and svr.metrics["r2"] > 0.5
 
 
+def test_both_models_of_the_kernel_query_share_the_prepared_rows(spark, monkeypatch):
+    import __spark_entry__ as entry
+    from tablewright.plans import registered
+    made, prepare = [], registered.trainer.prepare_training
+    monkeypatch.setattr(registered.trainer, "prepare_training", lambda *args, **more: made.append(prepare(*args, **more)) or made[-1])
+    got = entry.queries()["kernel_classifier"](spark, "/root/testdata/sf0.001").first()
+    assert len(made) == 1 and not made[0].cached.is_cached
+    assert got["n_rows"] > 0
+
+
 def test_rows_far_out_are_mapped_as_alone():
     to = kernel.Map(*kernel.directions(2, 30, 0.5, 1))
     x = np.random.default_rng(0).normal(size=(50, 2))
