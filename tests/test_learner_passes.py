@@ -100,6 +100,16 @@ def test_both_models_of_the_kernel_query_share_the_prepared_rows(spark, monkeypa
     assert got["n_rows"] > 0
 
 
+def test_a_pass_is_a_task_per_core_over_whole_blocks(spark):
+    """A pass costs its rows, not the tasks of the shuffle that dealt them."""
+    x, y = three_rings()
+    blocks = kernel.packed(frame(spark, x, y).repartition(60), "features", "label")
+    assert blocks.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    got = [(np.frombuffer(r.x).reshape(-1, 2), np.frombuffer(r.y)) for r in blocks.collect()]
+    both = np.column_stack([np.vstack([a for a, _ in got]), np.concatenate([b for _, b in got])])
+    assert sorted(map(tuple, both)) == sorted(map(tuple, np.column_stack([x, y])))
+
+
 def test_rows_far_out_are_mapped_as_alone():
     to = kernel.Map(*kernel.directions(2, 30, 0.5, 1))
     x = np.random.default_rng(0).normal(size=(50, 2))
